@@ -17,6 +17,20 @@ LAYER_NAMES = ("lstm.weight_ih_l{}", "lstm.weight_hh_l{}", "lstm.bias_ih_l{}", "
 HEAD_NAMES = ("fc.weight", "fc.bias")
 
 
+_kept: dict[tuple, np.ndarray] = {}
+
+
+def _workspace(use: str, layer: int, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+    """An array with undefined content that the next batch of the same shape gets again.
+
+    A batch needs several megabytes; taking them anew each time costs as much as the sums.
+    """
+    key = use, layer, dtype
+    if key not in _kept or _kept[key].shape != shape:
+        _kept[key] = np.empty(shape, dtype)
+    return _kept[key]
+
+
 def weight_shapes(n_features: int, hidden: int, layers: int) -> dict[str, tuple[int, ...]]:
     gates = len(GATES) * hidden
     shapes: dict[str, tuple[int, ...]] = {}
@@ -48,7 +62,7 @@ def _inward(x: np.ndarray, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(x.transpose(1, 2, 0), dtype=dtype)
 
 
-def _run_layer(x: np.ndarray, params: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def _run_layer(x: np.ndarray, params: list[np.ndarray], layer: int) -> tuple[np.ndarray, ...]:
     """Joined inputs, gates, cell states and squashed cell states of one layer over all steps.
 
     What goes into step ``t`` is its input on top of the previous hidden state, so the hidden
@@ -63,11 +77,13 @@ def _run_layer(x: np.ndarray, params: list[np.ndarray]) -> tuple[np.ndarray, ...
     double = double.reshape(-1, 1)
     weight = np.hstack((w_in, w_rec)) * -double
     bias = (b_in + b_rec)[:, None] * -double
-    joined = np.zeros((steps + 1, n_in + hidden, batch), x.dtype)
+    joined = _workspace("joined", layer, (steps + 1, n_in + hidden, batch), x.dtype)
+    gates = _workspace("gates", layer, (steps, len(GATES) * hidden, batch), x.dtype)
+    cells = _workspace("cells", layer, (steps + 1, hidden, batch), x.dtype)
+    squashed = _workspace("squashed", layer, (steps, hidden, batch), x.dtype)
     joined[:steps, :n_in] = x
-    gates = np.empty((steps, len(GATES) * hidden, batch), x.dtype)
-    cells = np.zeros((steps + 1, hidden, batch), x.dtype)
-    squashed = np.empty((steps, hidden, batch), x.dtype)
+    joined[0, n_in:] = 0
+    cells[0] = 0
     with np.errstate(over="ignore"):
         for t in range(steps):
             g = gates[t]
@@ -95,39 +111,43 @@ def predict(weights: Weights, x: np.ndarray) -> np.ndarray:
     """One value per window of ``x``, shaped (sample, step, feature). No dropout."""
     out = _inward(x, weights["fc.weight"].dtype)
     for layer in range(_n_layers(weights)):
-        out = _states(_run_layer(out, _layer(weights, layer)))
+        out = _states(_run_layer(out, _layer(weights, layer), layer))
     return weights["fc.weight"][0] @ out[-1] + weights["fc.bias"][0]
 
 
-def _layer_gradients(params, run, d_out):
-    """Gradients of one layer's four arrays and of its input, given those of its output."""
+def _layer_gradients(params: list[np.ndarray], run: tuple[np.ndarray, ...], d_out: np.ndarray,
+                     d_in: np.ndarray | None) -> list[np.ndarray]:
+    """Gradients of one layer's four arrays, given those of its output.
+
+    The gradient of its input goes into ``d_in``, unless that is None.
+    """
     w_in, w_rec = params[:2]
     joined, gates, cells, squashed = run
     steps, hidden, batch = squashed.shape
     n_in = w_in.shape[1]
-    i, f, c, o = gates.reshape(steps, len(GATES), hidden, batch).transpose(1, 0, 2, 3)
-    to_cell = o * (1 - squashed * squashed)
-    by_state = squashed * o * (1 - o)
-    by_cell = np.empty((steps, 3, hidden, batch), gates.dtype)
-    np.multiply(c * i, 1 - i, out=by_cell[:, 0])
-    np.multiply(cells[:-1] * f, 1 - f, out=by_cell[:, 1])
-    np.multiply(i, 1 - c * c, out=by_cell[:, 2])
-    d_pre = np.empty((steps, len(GATES), hidden, batch), gates.dtype)
-    rows = d_pre.reshape(steps, -1, batch)
-    back = np.ascontiguousarray(w_rec.T)
+    back, into = np.ascontiguousarray(w_rec.T), np.ascontiguousarray(w_in.T)
     d_state = np.zeros((hidden, batch), gates.dtype)
-    d_cell = np.zeros((hidden, batch), gates.dtype)
+    d_cell = np.zeros_like(d_state)
+    d_pre = np.empty((len(GATES), hidden, batch), gates.dtype)
+    rows = d_pre.reshape(-1, batch)
     d_weight = np.zeros((len(GATES) * hidden, n_in + hidden), gates.dtype)
+    d_bias = np.zeros(len(GATES) * hidden, gates.dtype)
     for t in reversed(range(steps)):
+        i, f, c, o = gates[t].reshape(d_pre.shape)
+        s = squashed[t]
         d_state += d_out[t]
-        d_cell += d_state * to_cell[t]
-        np.multiply(by_cell[t], d_cell, out=d_pre[t, :3])
-        np.multiply(by_state[t], d_state, out=d_pre[t, 3])
-        d_state = back @ rows[t]
-        d_cell *= f[t]
-        d_weight += rows[t] @ joined[t].T
-    d_bias = rows.sum(axis=0).sum(axis=1)
-    return [d_weight[:, :n_in], d_weight[:, n_in:], d_bias, d_bias], rows
+        d_cell += d_state * o * (1 - s * s)
+        np.multiply(d_cell * c, i * (1 - i), out=d_pre[0])
+        np.multiply(d_cell * cells[t], f * (1 - f), out=d_pre[1])
+        np.multiply(d_cell * i, 1 - c * c, out=d_pre[2])
+        np.multiply(d_state * s, o * (1 - o), out=d_pre[3])
+        np.matmul(back, rows, out=d_state)
+        d_cell *= f
+        d_weight += rows @ joined[t].T
+        d_bias += rows.sum(axis=1)
+        if d_in is not None:
+            np.matmul(into, rows, out=d_in[t])
+    return [d_weight[:, :n_in], d_weight[:, n_in:], d_bias, d_bias]
 
 
 def loss_and_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, dropout: float = 0.0,
@@ -135,53 +155,56 @@ def loss_and_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, dropout: f
     """Mean squared error of a batch and its gradient."""
     dtype = weights["fc.weight"].dtype
     layers = _n_layers(weights)
-    inputs, runs, masks = [_inward(x, dtype)], [], []
+    out, runs, masks = _inward(x, dtype), [], []
     for layer in range(layers):
-        runs.append(_run_layer(inputs[layer], _layer(weights, layer)))
+        runs.append(_run_layer(out, _layer(weights, layer), layer))
         out = _states(runs[layer])
         if dropout and layer < layers - 1:
-            kept = rng.random(out.shape, dtype=np.float32) >= dropout
-            masks.append(kept * dtype.type(1 / (1 - dropout)))
-            out = out * masks[layer]
-        inputs.append(out)
+            draws = rng.random(out=_workspace("draws", layer, out.shape, np.dtype(np.float32)), dtype=np.float32)
+            masks.append((draws >= dropout) * dtype.type(1 / (1 - dropout)))
+            out = np.multiply(out, masks[layer], out=_workspace("dropped", layer, out.shape, dtype))
 
-    last, head = inputs[-1][-1], weights["fc.weight"]
+    last, head = out[-1], weights["fc.weight"]
     error = head[0] @ last + weights["fc.bias"][0] - y.astype(dtype)
     d_error = (2 / len(y)) * error
     grad = {"fc.weight": (last @ d_error)[None, :], "fc.bias": d_error.sum(keepdims=True)}
-    d_out = np.zeros_like(inputs[-1])
+    d_out = _workspace("d_out", layers, out.shape, dtype)
+    d_out[:-1] = 0
     d_out[-1] = head[0][:, None] * d_error
     for layer in reversed(range(layers)):
-        params = _layer(weights, layer)
-        grads, rows = _layer_gradients(params, runs[layer], d_out)
+        below = _workspace("d_out", layer, out.shape, dtype) if layer else None
+        grads = _layer_gradients(_layer(weights, layer), runs[layer], d_out, below)
         grad.update(zip((n.format(layer) for n in LAYER_NAMES), grads))
-        if layer:
-            d_out = np.matmul(params[0].T, rows)
-            if masks:
-                d_out *= masks[layer - 1]
+        if layer and masks:
+            below *= masks[layer - 1]
+        d_out = below
     return float(np.mean(np.square(error, dtype=np.float64))), {name: grad[name].astype(dtype) for name in weights}
 
 
+def to_vector(weights: Weights) -> np.ndarray:
+    return np.concatenate([w.ravel() for w in weights.values()])
+
+
+def from_vector(vector: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> Weights:
+    ends = np.cumsum([int(np.prod(shape)) for shape in shapes.values()])
+    return {name: part.reshape(shape)
+            for (name, shape), part in zip(shapes.items(), np.split(vector, ends[:-1]))}
+
+
 class Adam:
-    """Adam on the driver's copy of the weights."""
+    """Adam on the driver's weight vector."""
 
     # Decay rates and guard of the optimiser.
     DECAY, SQUARE_DECAY, GUARD = 0.9, 0.999, 1e-8
 
-    def __init__(self, weights: Weights, rate: float):
+    def __init__(self, size: int, rate: float):
         self.rate, self.steps = rate, 0
-        self.mean = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.square = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.mean, self.square = np.zeros(size), np.zeros(size)
 
-    def step(self, weights: Weights, grad: Weights) -> Weights:
+    def step(self, vector: np.ndarray, grad: np.ndarray) -> np.ndarray:
         self.steps += 1
-        size = self.rate / (1 - self.DECAY ** self.steps)
-        spread = np.sqrt(1 - self.SQUARE_DECAY ** self.steps)
-        moved = {}
-        for name, value in weights.items():
-            g = grad[name]
-            self.mean[name] += (1 - self.DECAY) * (g - self.mean[name])
-            self.square[name] += (1 - self.SQUARE_DECAY) * (g * g - self.square[name])
-            moved[name] = (value - size * self.mean[name]
-                           / (np.sqrt(self.square[name]) / spread + self.GUARD)).astype(value.dtype)
-        return moved
+        self.mean += (1 - self.DECAY) * (grad - self.mean)
+        self.square += (1 - self.SQUARE_DECAY) * (grad * grad - self.square)
+        mean = self.mean / (1 - self.DECAY ** self.steps)
+        square = self.square / (1 - self.SQUARE_DECAY ** self.steps)
+        return (vector - self.rate * mean / (np.sqrt(square) + self.GUARD)).astype(vector.dtype)
