@@ -2,24 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqcast.config import Settings
+from seqcast.operators.windows import last_step
+from seqcast.plans.panel import Panel, build_panel
 
 KEPT = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 SETTINGS = Settings(symbols=KEPT)
+# The second panel's calendar is cut into several blocks.
+HOURLY = Settings(symbols=("click", "error", "purchase", "view"), block_dates=100)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bars(rows: DataFrame, symbol: Column, date: Column, price: str, order: str) -> DataFrame:
+    p = F.col(price)
+    return rows.groupBy(symbol.alias("Symbol"), date.alias("Date")).agg(
+        F.min_by(p, order).alias("Open"), F.max(p).alias("High"), F.min(p).alias("Low"),
+        F.max_by(p, order).alias("Close"), F.count(F.lit(1)).cast("double").alias("Volume"))
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by day: symbol is the priority, a day's price moves by order key."""
-    price = F.col("o_totalprice")
-    return (table(spark, sf_dir, "orders")
-            .groupBy(F.col("o_orderpriority").alias("Symbol"), F.col("o_orderdate").alias("Date"))
-            .agg(F.min_by(price, "o_orderkey").alias("Open"), F.max(price).alias("High"),
-                 F.min(price).alias("Low"), F.max_by(price, "o_orderkey").alias("Close"),
-                 F.count(F.lit(1)).cast("double").alias("Volume")))
+    return _bars(table(spark, sf_dir, "orders"), F.col("o_orderpriority"), F.col("o_orderdate"),
+                 "o_totalprice", "o_orderkey")
+
+
+def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour: symbol is the event type, an hour's value moves by event id."""
+    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    return _bars(table(spark, sf_dir, "events"), F.col("event_type"), hour, "value", "event_id")
+
+
+def daily_panel(spark: SparkSession, sf_dir: str, settings: Settings = SETTINGS) -> Panel:
+    return build_panel(daily_bars(spark, sf_dir), settings)
+
+
+def hourly_panel(spark: SparkSession, sf_dir: str, settings: Settings = HOURLY) -> Panel:
+    return build_panel(hourly_bars(spark, sf_dir), settings)
+
+
+def persistence(panel: Panel, split: str | None = None) -> DataFrame:
+    """Each sequence's target, and the target feature one step earlier as its forecast."""
+    known = F.element_at(last_step(F.col("x")), panel.settings.target_index + 1)
+    return panel.sequences(split).select("split", "Symbol", "Date", "y", known.alias("p"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a log of runs."""
+    f = F.col
+    return table(spark, sf_dir, "lineitem").select(
+        f("l_orderkey"), f("l_linenumber"),
+        F.when(f("l_linestatus") == "F", "distributed").otherwise("standalone").alias("run_type"),
+        f("l_linenumber").alias("num_processes"), f("l_returnflag").alias("storage"),
+        F.array("l_returnflag", "l_linestatus").alias("symbols"),
+        f("l_partkey").alias("n_samples"), (f("l_extendedprice") / 7).alias("training_time_seconds"),
+        f("l_linenumber").alias("stopped_epoch"), f("l_shipdate").alias("finished"),
+        (f("l_quantity") * f("l_quantity") / 7).alias("MSE"), (f("l_quantity") / 7).alias("RMSE"),
+        (f("l_tax") / 7).alias("MAE"), (f("l_discount") * 100 / 7).alias("MAPE"))
+
+
+def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as learning curves: a customer is a run, whose n-th order is its n-th epoch.
+
+    Losses are square roots: a short decimal could end right between two printed values,
+    where engines round differently.
+    """
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("run_id"), turn.alias("epoch"),
+        (F.sqrt("o_totalprice") / 7000).alias("train_loss"), (F.sqrt("o_totalprice") / 13000).alias("val_loss"))

@@ -21,6 +21,8 @@ def number_rows(df: DataFrame, *order: str | Column, into: str = "position") ->
     row per sort partition.
     """
     placed = checkpointed(df.sort(*order).withColumn("_place", F.monotonically_increasing_id()))
+    if placed.rdd.getNumPartitions() == 1:
+        return placed.withColumnRenamed("_place", into)
     placed = placed.withColumn("_range", F.shiftright("_place", ROW_BITS))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
