@@ -87,6 +87,13 @@ def _windows(panel: Panel, split: str) -> DataFrame:
         "Symbol", "Date", float_window(F.col("x")).alias("x"), F.col("y").cast("float").alias("y"))
 
 
+def _kept_windows(panel: Panel, split: str) -> DataFrame:
+    """Windows spread and sorted by key, so that the join of every epoch leaves them where they are."""
+    partitions = int(panel.bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (_windows(panel, split).repartition(partitions, "Symbol", "Date").sortWithinPartitions("Symbol", "Date")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
 @dataclass(frozen=True)
 class BatchPlan:
     """Packed batches of consecutive epochs and where to find them."""
@@ -241,7 +248,7 @@ def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed")
     vector = to_vector(initial_weights(len(settings.features), settings.hidden_size, settings.num_layers, settings.seed))
     adam = Adam(len(vector), settings.learning_rate)
 
-    windows = _windows(panel, TRAIN).persist(StorageLevel.MEMORY_AND_DISK)
+    windows = _kept_windows(panel, TRAIN)
     validation = (_windows(panel, VALIDATION).withColumn("batch", F.lit(0).cast("bigint")).select("batch", "x", "y")
                   .mapInArrow(_packer(len(settings.features)), PACKED).persist(StorageLevel.MEMORY_AND_DISK))
     plan = None
