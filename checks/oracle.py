@@ -120,7 +120,7 @@ SELECT split, "Symbol", "Date", {_columns('round("{c}_scaled", 9) AS "{c}_scaled
     "float32_roundtrip": f"""{PANEL}
 SELECT "Symbol", "Date", round(CAST(CAST("Close_scaled" AS FLOAT) AS DOUBLE), 9) AS "Close_float" FROM numbered""",
     "sequences": f"{PANEL} {STEPS}",
-    "sequences_in_blocks": f"{HOURLY_PANEL} {STEPS}",
+    "sequences_in_cells": f"{HOURLY_PANEL} {STEPS}",
     "series_positions": f'{HOURLY_PANEL} SELECT split, "Symbol", "Date", position FROM numbered',
     "sequence_counts": f"""{PANEL}
 SELECT split, "Symbol", count(*) AS n_rows, greatest(count(*) - {WINDOW}, 0) AS n_sequences FROM divided GROUP BY 1, 2""",

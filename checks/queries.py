@@ -163,13 +163,13 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(daily_panel(spark, sf_dir).sequences())
 
 
-def sequences_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(hourly_panel(spark, sf_dir).sequences())
 
 
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = hourly_panel(spark, sf_dir)
-    return series_positions(panel.split(), panel.fit.starts).select("split", "Symbol", "Date", "position")
+    return series_positions(panel.split(), panel.fit.spans).select("split", "Symbol", "Date", "position")
 
 
 def counted_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unscale_target": unscale_target,
     "float32_roundtrip": float32_roundtrip,
     "sequences": sequences,
-    "sequences_in_blocks": sequences_in_blocks,
+    "sequences_in_cells": sequences_in_cells,
     "series_positions": row_positions,
     "sequence_counts": counted_sequences,
     "flat_features": flattened,

@@ -11,8 +11,8 @@ from seqcast.plans.panel import Panel, build_panel
 
 KEPT = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 SETTINGS = Settings(symbols=KEPT)
-# The second panel's calendar is cut into several blocks.
-HOURLY = Settings(symbols=("click", "error", "purchase", "view"), block_dates=100)
+# The second panel's series are cut by day.
+HOURLY = Settings(symbols=("click", "error", "purchase", "view"), block_dates=24)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,8 +42,8 @@ class Settings:
     # Stop after this many epochs without a better validation loss; None never stops.
     patience: int | None = None
 
-    # Calendar dates per block when a long series is cut for the window operator.
-    block_dates: int = 4096
+    # Series are cut for the window operator where the calendar has more dates than this.
+    block_dates: int = 250_000
 
     def __post_init__(self) -> None:
         if self.target not in self.features:

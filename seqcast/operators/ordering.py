@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqcast.sources.shared import checkpointed
+from seqcast.sources.shared import written
 
 # monotonically_increasing_id keeps the partition above this bit and the row within it below.
 ROW_BITS = 33
 
 
-def number_rows(df: DataFrame, *order: str | Column, into: str = "position") -> DataFrame:
+def number_rows(df: DataFrame, *order: str, into: str = "position", without: Sequence[str] = ()) -> DataFrame:
     """0-based position of every row in the order given, which should be total.
 
+    Columns named in ``without`` are there to sort by and not kept.
+
     A plain ``row_number`` without partitioning would pull the table into one task. Here
     the table is range-sorted, so no task holds more than its range, and a row's position is
     its place in its range plus the sizes of the ranges before it. The sorted table is
-    checkpointed: the two passes over it must see the same ranges. What is broadcast has one
+    written: the two passes over it must see the same ranges. What is broadcast has one
     row per sort partition.
     """
-    placed = checkpointed(df.sort(*order).withColumn("_place", F.monotonically_increasing_id()))
-    if placed.rdd.getNumPartitions() == 1:
-        return placed.withColumnRenamed("_place", into)
+    ordered = df.sort(*order).drop(*without).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(ordered, "ordered")
+    within = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    # A sort partition writes one file, so a single file is a single range.
+    if len(placed.inputFiles()) <= 1:
+        return placed.withColumn(into, within).drop("_place")
     placed = placed.withColumn("_range", F.shiftright("_place", ROW_BITS))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
               .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
-    within = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (placed.join(F.broadcast(starts), "_range")
             .withColumn(into, F.col("_start") + within)
             .drop("_place", "_range", "_start"))

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from seqcast.operators.ordering import number_rows
 
 
-def _numbered_within(keys: DataFrame, group: str, *order: str) -> DataFrame:
+def _numbered_within(keys: DataFrame, group: str, *order: str, without: Sequence[str] = ()) -> DataFrame:
     """Position and size within each of a few groups, from one numbering of all rows.
 
     What is broadcast has one row per group: a split or an epoch of the plan.
     """
-    numbered = number_rows(keys, group, *order, into="_row")
+    numbered = number_rows(keys, group, *order, into="_row", without=without)
     groups = numbered.groupBy(group).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
     return (numbered.join(F.broadcast(groups), group)
             .withColumn("pos", F.col("_row") - F.col("_first")).drop("_row", "_first"))
@@ -39,7 +39,7 @@ def assign_shards(keys: DataFrame, world_size: int, batch_size: int, seed: int =
     """
     drawn = (keys.select("Symbol", "Date", F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"))
              .withColumn("_order", permutation_key(seed, F.col("epoch"))))
-    placed = _numbered_within(drawn, "epoch", "_order", "Symbol", "Date")
+    placed = _numbered_within(drawn, "epoch", "_order", "Symbol", "Date", without=["_order"])
     padded = F.ceil(F.col("_size") / world_size) * world_size
     pos = F.explode(F.sequence("pos", padded - 1, F.col("_size"))).alias("pos")
     in_rank = F.floor(F.col("pos") / world_size)

@@ -1,8 +1,8 @@
 """Sliding windows over the series of a panel.
 
-A series is the rows of one symbol within one split. The calendar is cut into blocks of
-consecutive dates, so that a very long series is spread over many tasks; a panel of daily
-bars usually has one block.
+A series is the rows of one symbol within one split. Where the calendar is so long that a
+series could be too much for one task, series are cut into cells: spans of time such as the
+rows of one day. A panel of daily bars needs none.
 """
 
 from __future__ import annotations
@@ -13,82 +13,83 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES = ("split", "Symbol")
-MAX_BLOCKS = 1024
+# Spans of time, as how much of a date's text they share; each is at most 60 of the one before.
+SPANS = {"second": 19, "minute": 16, "hour": 13, "day": 10, "month": 7, "year": 4}
 
 
-def block_starts(profile: DataFrame, n_dates: int, block_dates: int) -> DataFrame:
-    """First date of each block, at most ``MAX_BLOCKS`` rows.
+def cell_of(date: Column, span: str) -> Column:
+    """The span of time that holds ``date``. Taken from its text, which knows no time zone."""
+    return F.substring(date.cast("string"), 1, SPANS[span])
 
-    A block has ``block_dates`` dates, more only where the calendar is too long for that.
-    """
-    size = max(block_dates, -(-n_dates // MAX_BLOCKS))
-    return (profile.groupBy(F.floor(F.col("position") / size).alias("block"))
-            .agg(F.min("Date").alias("first_date")))
 
+def choose_spans(profile: DataFrame, n_dates: int, block_dates: int) -> tuple[str, ...]:
+    """Spans to cut series by, finest first: none if the calendar has at most ``block_dates`` dates.
 
-def block_of(date: Column, starts: Sequence[Column]) -> Column:
-    """Number of the block that holds ``date``, given the blocks' first dates."""
-    if len(starts) <= 1:
-        return F.lit(1)
-    return F.size(F.filter(F.array(*starts), lambda first: first <= date))
+    The finest is the longest span of which none holds more than ``block_dates`` dates, and
+    thereby bounds what a window task gets of a series; it is followed by all longer ones.
+    """
+    if n_dates <= block_dates:
+        return ()
+    finest_first = tuple(SPANS)
+    for span in reversed(finest_first):
+        cells = profile.groupBy(cell_of(F.col("Date"), span).alias("cell")).agg(F.count(F.lit(1)).alias("dates"))
+        if cells.agg(F.max("dates")).first()[0] <= block_dates:
+            return finest_first[finest_first.index(span):]
+    return finest_first
 
 
-def _by_date(*partition: str) -> WindowSpec:
+def _by_date(*partition: str | Column) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy("Date")
 
 
 def sequences(rows: DataFrame, features: Sequence[str], target: str, window: int,
-              starts: Sequence[Column] = ()) -> DataFrame:
+              spans: Sequence[str] = ()) -> DataFrame:
     """Every run of ``window`` consecutive rows of a series with the target of the row after it.
 
     ``rows`` has ``split``, ``Symbol``, ``Date`` and the feature columns. A result row carries
     the date of its target. Series of at most ``window`` rows give nothing.
 
-    Rows are shuffled once, by series and block. Within a block the window is a plain bounded
-    frame. The first rows of a block lack context from before it; they get it in a second,
-    small window over nothing but the first and last ``window`` rows of each block, which
-    between them hold every row such a context can need.
+    Rows are shuffled by series and cell, and a window is a plain bounded frame in the cell.
+    The first rows of a cell lack context from before it. They try again in the next longer
+    span, over nothing but the first and last ``window`` rows of each cell, which between them
+    hold every row such a context can need; and at last in the whole series.
     """
-    bars = rows.select(*SERIES, "Date", block_of(F.col("Date"), starts).alias("block"),
-                       F.array(*features).alias("_bar"), F.col(target).alias("y"))
-    in_block = _by_date(*SERIES, "block")
-
-    def context(w: WindowSpec) -> Column:
-        return F.collect_list("_bar").over(w.rowsBetween(-window, -1))
-
-    whole = (bars.withColumn("x", context(in_block))
-             .where(F.size("x") == window).select(*SERIES, "Date", "x", "y"))
-    if len(starts) <= 1:
-        return whole
-
-    edges = (bars.withColumn("_rank", F.row_number().over(in_block))
-             .withColumn("_tail", F.lead(F.lit(1), window).over(in_block).isNull())
-             .where((F.col("_rank") <= window) | F.col("_tail")))
-    heads = (edges.withColumn("x", context(_by_date(*SERIES)))
-             .where((F.col("_rank") <= window) & (F.size("x") == window))
-             .select(*SERIES, "Date", "x", "y"))
-    return whole.unionByName(heads)
-
-
-def series_positions(rows: DataFrame, starts: Sequence[Column] = (), into: str = "position") -> DataFrame:
-    """0-based place of each row in its series: its rank in its block plus the blocks before.
-
-    The cumulated table has one row per series and block, so at most ``MAX_BLOCKS`` per series.
+    date = F.col("Date")
+    left = rows.select(*SERIES, "Date", F.array(*features).alias("_bar"), F.col(target).alias("y"),
+                       F.lit(True).alias("_open"))
+    made = None
+    for cell in [*(cell_of(date, span) for span in spans), None]:
+        partition = _by_date(*SERIES) if cell is None else _by_date(*SERIES, cell)
+        context = F.collect_list("_bar").over(partition.rowsBetween(-window, -1))
+        found = (left.withColumn("x", context).where(F.col("_open") & (F.size("x") == window))
+                 .select(*SERIES, "Date", "x", "y"))
+        made = found if made is None else made.unionByName(found)
+        ranked = (left.withColumn("_rank", F.row_number().over(partition))
+                  .withColumn("_last", F.lead(F.lit(1), window).over(partition).isNull()))
+        left = (ranked.where((F.col("_rank") <= window) | F.col("_last"))
+                .withColumn("_open", F.col("_rank") <= window).drop("_rank", "_last"))
+    return made
+
+
+def series_positions(rows: DataFrame, spans: Sequence[str] = (), into: str = "position") -> DataFrame:
+    """0-based place of each row in its series: its rank in its cell plus the cells before.
+
+    The table that is summed up has one row per series and cell.
     """
-    bars = rows.withColumn("block", block_of(F.col("Date"), starts))
-    ranked = bars.withColumn("_rank", F.row_number().over(_by_date(*SERIES, "block")) - 1)
-    if len(starts) <= 1:
-        return ranked.withColumn(into, F.col("_rank").cast("bigint")).drop("_rank", "block")
-    before = Window.partitionBy(*SERIES).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (bars.groupBy(*SERIES, "block").agg(F.count(F.lit(1)).alias("_rows"))
-               .select(*SERIES, "block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
-    return (ranked.join(offsets, [*SERIES, "block"])
-            .withColumn(into, F.col("_offset") + F.col("_rank")).drop("_rank", "_offset", "block"))
-
-
-def sequence_keys(rows: DataFrame, window: int, starts: Sequence[Column] = ()) -> DataFrame:
+    if not spans:
+        return rows.withColumn(into, F.row_number().over(_by_date(*SERIES)).cast("bigint") - 1)
+    bars = rows.withColumn("_cell", cell_of(F.col("Date"), spans[0]))
+    ranked = bars.withColumn("_rank", F.row_number().over(_by_date(*SERIES, "_cell")) - 1)
+    before = Window.partitionBy(*SERIES).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (bars.groupBy(*SERIES, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+               .select(*SERIES, "_cell", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
+    return (ranked.join(offsets, [*SERIES, "_cell"])
+            .withColumn(into, F.col("_offset") + F.col("_rank")).drop("_rank", "_offset", "_cell"))
+
+
+def sequence_keys(rows: DataFrame, window: int, spans: Sequence[str] = ()) -> DataFrame:
     """Key and series position of every sequence, without building the arrays."""
-    return (series_positions(rows.select(*SERIES, "Date"), starts)
+    return (series_positions(rows.select(*SERIES, "Date"), spans)
             .where(F.col("position") >= window))
 
 

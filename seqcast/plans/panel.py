@@ -11,7 +11,7 @@ from seqcast.config import Settings
 from seqcast.operators.prepare import prepare
 from seqcast.operators.scale import scale
 from seqcast.operators.split import cut_positions, date_profile, in_split, split_name
-from seqcast.operators.windows import block_starts, sequence_keys, sequences
+from seqcast.operators.windows import choose_spans, sequence_keys, sequences
 
 
 def _date(text: str) -> Column:
@@ -20,7 +20,7 @@ def _date(text: str) -> Column:
 
 @dataclass(frozen=True)
 class PanelFit:
-    """What one pass over the bars decides: cut-off dates, scaler bounds, calendar blocks.
+    """What one pass over the bars decides: cut-off dates, scaler bounds, the spans long series are cut by.
 
     A handful of plain values whatever the size of the bars, so that everything downstream
     compares columns with literals.
@@ -30,11 +30,7 @@ class PanelFit:
     train_end: str
     val_end: str
     bounds: dict[str, tuple[float, float]]
-    block_firsts: tuple[str, ...]
-
-    @property
-    def starts(self) -> list[Column]:
-        return [_date(d) for d in self.block_firsts]
+    spans: tuple[str, ...]
 
     @property
     def cuts(self) -> tuple[Column, Column]:
@@ -62,10 +58,10 @@ class Panel:
     def sequences(self, only: str | None = None) -> DataFrame:
         s = self.settings
         return sequences(self.scaled(only), [f"{c}_scaled" for c in s.features], f"{s.target}_scaled",
-                         s.window, self.fit.starts)
+                         s.window, self.fit.spans)
 
     def sequence_keys(self, only: str | None = None) -> DataFrame:
-        return sequence_keys(self.split(only), self.settings.window, self.fit.starts)
+        return sequence_keys(self.split(only), self.settings.window, self.fit.spans)
 
     @property
     def target_bounds(self) -> tuple[float, float]:
@@ -87,14 +83,10 @@ def fit_panel(clean: DataFrame, settings: Settings) -> PanelFit:
         *[F.min(F.when(in_train, F.col(f"{c}_min"))).alias(f"{c}_min") for c in settings.features],
         *[F.max(F.when(in_train, F.col(f"{c}_max"))).alias(f"{c}_max") for c in settings.features],
     ).first()
-    firsts = ()
-    if n_dates > settings.block_dates:
-        blocks = block_starts(profile, n_dates, settings.block_dates)
-        firsts = tuple(sorted(r[0] for r in blocks.select(F.col("first_date").cast("string")).collect()))
     return PanelFit(
         n_dates=n_dates, train_end=found.train_end, val_end=found.val_end,
         bounds={c: (float(found[f"{c}_min"]), float(found[f"{c}_max"])) for c in settings.features},
-        block_firsts=firsts)
+        spans=choose_spans(profile, n_dates, settings.block_dates))
 
 
 def build_panel(bars: DataFrame, settings: Settings) -> Panel:

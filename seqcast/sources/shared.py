@@ -24,12 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody has used yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a cut in its lineage that outlives executors.
+
+    A parquet table rather than a checkpoint, so that later passes read only the columns they use.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

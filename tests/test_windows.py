@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +7,9 @@ from conftest import data_dir
 from checks.stand_in import SETTINGS, daily_panel
 from panels import FEATURES, bars, brute_sequences, settings
 from seqcast.operators.prepare import prepare
-from seqcast.operators.windows import flat_features, last_step, sequence_counts, sequence_keys, sequences, series_positions
+from seqcast.operators import windows as cells
+from seqcast.operators.split import date_profile
+from seqcast.operators.windows import cell_of, choose_spans, flat_features, last_step, sequence_counts, sequence_keys, sequences, series_positions
 from seqcast.plans.panel import build_panel
 
 KNOWN_COUNTS = {
@@ -24,18 +27,16 @@ def test_known_sequence_counts(spark, scale_factor, window):
     assert tuple(made.get(s, 0) for s in ("train", "val", "test")) == KNOWN_COUNTS[scale_factor, window]
 
 
-def starts_of(pdf, block):
-    days = sorted(pdf.Date.unique())
-    return [F.lit(str(d)).cast("timestamp_ntz") for d in days[::block]]
+SPANS = [(), ("year",), ("month", "year"), ("day", "month", "year"), ("hour", "day", "month", "year")]
 
 
-@pytest.mark.parametrize("block", [None, 3, 5, 16, 50])
-@pytest.mark.parametrize("window", [1, 4, 7])
-def test_windows_equal_brute_force(spark, block, window):
-    """Blocks shorter than the window, series with one bar in many blocks, and one of exactly ``window`` bars."""
-    raw, pdf = bars(spark, {"A": 60, "B": 13, "C": 9, "D": window, "E": window + 1}, every={"B": 5, "C": 17})
+@pytest.mark.parametrize("spans", SPANS)
+@pytest.mark.parametrize("window", [1, 4, 40])
+def test_windows_equal_brute_force(spark, spans, window):
+    """Cells shorter than the window, series with a bar in a cell now and then, and one of exactly ``window`` bars."""
+    raw, pdf = bars(spark, {"A": 500, "B": 60, "C": 50, "D": window, "E": window + 1}, every={"B": 5, "C": 37})
     rows = prepare(raw, settings(symbols=tuple("ABCDE"))).withColumn("split", F.lit("train"))
-    got = sequences(rows, FEATURES, "Close", window, starts_of(pdf, block) if block else ()).collect()
+    got = sequences(rows, FEATURES, "Close", window, spans).collect()
     want = brute_sequences(pdf.assign(split="train"), ["split", "Symbol"], FEATURES, "Close", window)
     assert len(got) == len(want)
     for r in got:
@@ -43,10 +44,33 @@ def test_windows_equal_brute_force(spark, block, window):
         assert np.array_equal(np.array(r.x), x) and r.y == y
 
 
+def test_windows_of_seconds(spark):
+    """Cells at every level: seconds with fractions up to years."""
+    rng = np.random.default_rng(5)
+    gaps = rng.choice([0.25, 1, 45, 3600, 86400 * 20], 400)
+    text = [str(d) for d in pd.Timestamp("2019-11-03") + pd.to_timedelta(np.cumsum(gaps), "s")]
+    pdf = pd.DataFrame({"Symbol": "A", "Date": text, **{c: rng.random(400) for c in FEATURES}})
+    rows = prepare(spark.createDataFrame(pdf), settings()).withColumn("split", F.lit("train"))
+    want = brute_sequences(pdf.assign(split="train", Date=pd.to_datetime(pdf.Date, format="ISO8601")), ["split", "Symbol"],
+                           FEATURES, "Close", 6)
+    got = sequences(rows, FEATURES, "Close", 6, tuple(cells.SPANS)).collect()
+    assert len(got) == len(want) == 394
+    assert all(np.array_equal(np.array(r.x), want[r.split, r.Symbol, r.Date][0]) for r in got)
+
+
+@pytest.mark.parametrize("block, spans", [
+    (1000, ()), (731, ()), (400, ("year",)), (366, ("year",)), (365, ("month", "year")), (31, ("month", "year")),
+    (30, ("day", "month", "year")), (1, ("day", "month", "year"))])
+def test_spans_bound_the_dates_of_a_cell(spark, block, spans):
+    raw, _ = bars(spark, {"A": 731})
+    profile = date_profile(prepare(raw, settings()))
+    assert choose_spans(profile, 731, block) == spans
+
+
 def test_windows_stay_within_series_and_split(spark):
     raw, pdf = bars(spark, {"A": 50, "B": 50})
-    panel = build_panel(raw, settings(block_dates=6))
-    assert len(panel.fit.block_firsts) == 9
+    panel = build_panel(raw, settings(block_dates=40))
+    assert panel.fit.spans == ("month", "year")
     split = panel.split().toPandas()
     want = brute_sequences(split, ["split", "Symbol"], FEATURES, "Close", 4)
     got = panel.sequences().collect()
@@ -65,16 +89,15 @@ def test_length_guard(spark):
     assert [r.Symbol for r in sequences(rows, FEATURES, "Close", 4).collect()] == ["B"]
 
 
-@pytest.mark.parametrize("block", [None, 4])
-def test_positions_and_keys(spark, block):
-    raw, pdf = bars(spark, {"A": 23, "B": 11}, every={"B": 3})
+@pytest.mark.parametrize("spans", SPANS)
+def test_positions_and_keys(spark, spans):
+    raw, pdf = bars(spark, {"A": 90, "B": 30}, every={"B": 13})
     rows = prepare(raw, settings()).withColumn("split", F.lit("train"))
-    starts = starts_of(pdf, block) if block else ()
-    for r in series_positions(rows, starts).collect():
+    for r in series_positions(rows, spans).collect():
         mine = sorted(pdf[pdf.Symbol == r.Symbol].Date)
         assert mine[r.position] == r.Date
-    keys = {(r.Symbol, r.Date) for r in sequence_keys(rows, 4, starts).collect()}
-    assert keys == {(r.Symbol, r.Date) for r in sequences(rows, FEATURES, "Close", 4, starts).collect()}
+    keys = {(r.Symbol, r.Date) for r in sequence_keys(rows, 4, spans).collect()}
+    assert keys == {(r.Symbol, r.Date) for r in sequences(rows, FEATURES, "Close", 4, spans).collect()}
 
 
 def test_flat_and_last(spark):
@@ -84,22 +107,22 @@ def test_flat_and_last(spark):
 
 
 def test_a_hot_series_is_spread_over_tasks(spark):
-    """A third of the rows in one series: no window task sees more than a block and its edges."""
-    hot, block = 3000, 100
-    raw, pdf = bars(spark, {"A": hot, **{f"s{i}": 60 for i in range(100)}})
-    names = tuple(pdf.Symbol.unique())
-    rows = prepare(raw, settings(symbols=names)).withColumn("split", F.lit("train"))
-    made = sequences(rows, FEATURES, "Close", 4, starts_of(pdf, block))
-    assert made.count() == (hot - 4) + 100 * 56
-    plan = made._jdf.queryExecution().optimizedPlan().toString()
-    assert "block" in plan and plan.count("Window") == 3
-
-
-def test_split_and_symbols_reach_the_scan(spark, tmp_path):
+    """A third of the rows in one series: it is shuffled by series and cell, and only its edges by series."""
+    raw, pdf = bars(spark, {"A": 3000, **{f"s{i}": 60 for i in range(100)}})
+    panel = build_panel(raw, settings(symbols=tuple(pdf.Symbol.unique()), block_dates=100))
+    assert panel.fit.spans == ("month", "year")
+    made = panel.sequences("train")
+    assert made.count() == sequence_counts(panel.split("train"), 4).agg(F.sum("n_sequences")).first()[0]
+    rows = panel.split("train").withColumn("cell", cell_of(F.col("Date"), "month"))
+    assert rows.groupBy("Symbol", "cell").count().agg(F.max("count")).first()[0] <= 31
+
+
+def test_split_and_symbols_reach_the_scan(spark, tmp_path, capsys):
     raw, _ = bars(spark, {"A": 60, "B": 60, "Z": 60})
     raw.withColumn("Date", F.col("Date").cast("timestamp_ntz")).withColumn("Other", F.lit(1)).write.parquet(str(tmp_path / "b"))
     panel = build_panel(spark.read.parquet(str(tmp_path / "b")), settings())
-    plan = panel.sequences("test")._jdf.queryExecution().executedPlan().toString()
-    pushed = plan[plan.index("PushedFilters"):plan.index("ReadSchema")]
+    panel.sequences("test").explain("formatted")
+    plan = capsys.readouterr().out
+    pushed, read = (next(line for line in plan.splitlines() if line.startswith(k)) for k in ("PushedFilters", "ReadSchema"))
     assert "GreaterThan(Date" in pushed and "In(Symbol" in pushed
-    assert "Other" not in plan[plan.index("ReadSchema"):].split(">")[0]
+    assert "Other" not in read
