@@ -13,6 +13,7 @@ from seqcast.functions.lstm import Weights, predict
 from seqcast.operators.scale import unscale
 from seqcast.operators.windows import float_window
 from seqcast.plans.panel import Panel
+from seqcast.sources.ship import ship_package
 
 # Windows that go through the network together.
 CHUNK = 1024
@@ -35,6 +36,7 @@ def score(sequences: DataFrame, weights: Weights, n_features: int) -> DataFrame:
     Rows keep their key, so batches need no order and are never put together again. The
     weights travel with the function: their size depends on the model alone.
     """
+    ship_package(sequences.sparkSession.sparkContext)
     keys = [c for c in sequences.columns if c not in ("x", "y")]
     rows = sequences.select(*keys, F.col("y").cast("float").alias("y"), float_window(F.col("x")).alias("x"))
 

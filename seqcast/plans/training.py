@@ -24,6 +24,7 @@ from seqcast.operators.split import TRAIN, VALIDATION
 from seqcast.operators.windows import float_window
 from seqcast.plans.panel import Panel
 from seqcast.plans.scoring import predict_in_chunks, window_matrix
+from seqcast.sources.ship import ship_package
 
 # A batch larger than this is worked off in pieces, whose gradients add up.
 PIECE = 512
@@ -244,6 +245,7 @@ def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed")
     if weighting not in ("rank", "sample"):
         raise ValueError(f"no loss weighting named {weighting!r}")
     sc = panel.bars.sparkSession.sparkContext
+    ship_package(sc)
     shapes = weight_shapes(len(settings.features), settings.hidden_size, settings.num_layers)
     vector = to_vector(initial_weights(len(settings.features), settings.hidden_size, settings.num_layers, settings.seed))
     adam = Adam(len(vector), settings.learning_rate)
