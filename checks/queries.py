@@ -26,8 +26,8 @@ from seqcast.plans.scoring import forecast, score
 from seqcast.plans.training import TrainedModel, train, train_single
 from seqcast.plans.window_regressor import fit_window_regressor, regressor_forecast
 from seqcast.sources.bars import read_bars
-from seqcast.sources.runs import (METRICS_FIELD, WEIGHTS_SCHEMA, append_summary, append_table,
-                                  curve_table, read_summaries, read_table, summarise, weights_table)
+from seqcast.sources.runs import (METRICS_FIELD, WEIGHTS_SCHEMA, append_summary, curve_table, read_summaries, read_table,
+                                  summarise, weights_table, write_table)
 from seqcast.sources.shared import new_table_path
 
 FEATURES = SETTINGS.features
@@ -288,7 +288,7 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "weights")
-    append_table(weights_table(spark, _model(spark, sf_dir)[1].weights, "run"), path)
+    write_table(weights_table(spark, _model(spark, sf_dir)[1].weights, "run"), path)
     return read_table(spark, path, WEIGHTS_SCHEMA, "run").select("name", "shape", F.size("values").alias("n_values"))
 
 

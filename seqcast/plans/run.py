@@ -13,10 +13,12 @@ from seqcast.functions.text import ARTEFACTS
 from seqcast.operators.metrics import METRICS, regression_metrics
 from seqcast.operators.split import TEST
 from seqcast.plans.panel import Panel, build_panel
+from seqcast.plans.reports import repeat_stats
 from seqcast.plans.scoring import forecast
 from seqcast.plans.training import TrainedModel, train, train_single
 from seqcast.sources.bars import read_bars
-from seqcast.sources.runs import SUMMARY_SCHEMA, append_summary, append_table, curve_table, summarise, weights_table
+from seqcast.sources.runs import (SUMMARY_SCHEMA, append_summary, curve_table, read_summaries, summarise, weights_table,
+                                  write_table)
 
 
 @dataclass(frozen=True)
@@ -50,12 +52,22 @@ def run_panel(panel: Panel, output_dir: str | None = None, single: bool = False)
         def path(artefact: str) -> str:
             return f"{output_dir.rstrip('/')}/{ARTEFACTS[artefact]}"
 
-        append_table(weights_table(spark, model.weights, summary.run_id), path("weights"))
-        append_table(curve_table(spark, model.curve, summary.run_id), path("curve"))
+        write_table(weights_table(spark, model.weights, summary.run_id), path("weights"))
+        write_table(curve_table(spark, model.curve, summary.run_id), path("curve"))
         append_summary(spark.createDataFrame([summary], SUMMARY_SCHEMA), path("summary"))
     return RunResult(model, summary, forecasts)
 
 
+def run_repeatedly(spark: SparkSession, settings: Settings, times: int, format: str = "csv",
+                   single: bool = False) -> DataFrame | None:
+    """The same run several times, and the spread of the times of all runs like it so far."""
+    for _ in range(times):
+        if run(spark, settings, format, single) is None:
+            return None
+    summaries = read_summaries(spark, f"{settings.output_dir.rstrip('/')}/{ARTEFACTS['summary']}")
+    return repeat_stats(summaries, "run_type", "num_processes")
+
+
 def run(spark: SparkSession, settings: Settings, format: str = "csv", single: bool = False) -> RunResult | None:
     """A run from the bar table the settings name. A single run without input gives None."""
     bars = read_bars(spark, settings.bars_path, settings, format, missing_ok=single)

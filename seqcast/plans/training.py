@@ -95,6 +95,15 @@ def _kept_windows(panel: Panel, split: str) -> DataFrame:
             .persist(StorageLevel.MEMORY_AND_DISK))
 
 
+def count_keys(windows: DataFrame) -> int:
+    """Number of windows, each of which must have a key of its own."""
+    found = windows.groupBy("Symbol", "Date").count().agg(
+        F.sum("count").alias("n"), F.max("count").alias("alike")).first()
+    if found.n and found.alike > 1:
+        raise ValueError("bars must be unique by symbol and date")
+    return found.n or 0
+
+
 @dataclass(frozen=True)
 class BatchPlan:
     """Packed batches of consecutive epochs and where to find them."""
@@ -255,7 +264,7 @@ def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed")
                   .mapInArrow(_packer(len(settings.features)), PACKED).persist(StorageLevel.MEMORY_AND_DISK))
     plan = None
     try:
-        n_samples = windows.count()
+        n_samples = count_keys(windows)
         if not n_samples:
             raise ValueError(f"no train series is longer than the window of {settings.window}")
         validation.count()

@@ -1,6 +1,6 @@
 """Tables that a run writes, and how to read them back.
 
-Every table carries ``run_id``; runs append.
+Every table carries ``run_id``; a run adds its rows to those of others.
 """
 
 from __future__ import annotations
@@ -72,9 +72,10 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUMMARY_SCHEMA).json(path)
 
 
-def append_table(table: DataFrame, path: str) -> None:
-    """Weights and curves: parquet, one folder per run."""
-    table.write.mode("append").partitionBy("run_id").parquet(path)
+def write_table(table: DataFrame, path: str) -> None:
+    """Weights and curves: parquet, one folder per run. A run of the same name is replaced."""
+    (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id").parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, schema: str, run_id: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from seqcast.operators.shards import assign_shards
 from seqcast.operators.windows import float_window
 from seqcast.plans import training, window_regressor
 from seqcast.plans.panel import build_panel
-from seqcast.plans.run import run, run_panel
+from seqcast.plans.run import run, run_panel, run_repeatedly
 from seqcast.plans.scoring import forecast, score
 from seqcast.plans.training import EpochLoss, train, train_single
 from seqcast.plans.window_regressor import fit_window_regressor, regressor_forecast
@@ -181,6 +181,27 @@ def test_validation_is_optional(spark):
     assert train(short).curve[0][2] is None
 
 
+def test_a_bar_that_occurs_twice_is_refused(spark):
+    raw, _ = bars(spark, {"A": 60})
+    with pytest.raises(ValueError, match="unique"):
+        train(build_panel(raw.union(raw.limit(40)), settings()))
+
+
+def test_runs_of_the_same_minute(spark, tmp_path):
+    """Summaries add up; weights and curve are those of the later run."""
+    _, pdf = bars(spark, {"A": 80})
+    pdf.to_csv(tmp_path / "bars.csv", index=False)
+    s = settings(data_dir=str(tmp_path), bars_file="bars.csv", output_dir=str(tmp_path / "out"), symbols=("A",),
+                 world_size=1, batch_size=32, epochs=1)
+    stats = run_repeatedly(spark, s, 3).collect()
+    assert [(r.run_type, r.num_processes, r.runs) for r in stats] == [("distributed", 1, 3)]
+    names = {r.run_id for r in read_summaries(spark, f"{s.output_dir}/risultati").collect()}
+    for name in names:
+        assert read_table(spark, f"{s.output_dir}/grafico_loss", CURVE_SCHEMA, name).count() == 1
+        assert read_table(spark, f"{s.output_dir}/modello", WEIGHTS_SCHEMA, name).count() == 10
+    assert run_repeatedly(spark, s.override(bars_file="none.csv"), 3, single=True) is None
+
+
 def test_no_series_is_long_enough(spark):
     raw, _ = bars(spark, {"A": 20})
     with pytest.raises(ValueError, match="longer than the window"):
