@@ -159,8 +159,9 @@ FROM named""",
     "run_name": f"{RUNS} SELECT l_orderkey, l_linenumber, run_id, 'modello_' || run_id AS weights_name FROM named",
     "curve_milestones": """WITH curves AS (
   SELECT CAST(o_custkey AS VARCHAR) AS run_id,
-         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS epoch,
-         sqrt(o_totalprice) / 7000 AS train_loss, sqrt(o_totalprice) / 13000 AS val_loss FROM orders)
+         CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS epoch,
+         sqrt(avg(o_totalprice)) / 7000 AS train_loss, sqrt(avg(o_totalprice)) / 13000 AS val_loss
+  FROM orders GROUP BY 1, 2)
 SELECT run_id, epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss,
        printf('Epoch [%03d/%d] - Train Loss: %.6f - Val Loss: %.6f', epoch, 200, train_loss, val_loss) AS line
 FROM curves WHERE epoch = 1 OR epoch % 10 = 0""",

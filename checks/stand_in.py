@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqcast.config import Settings
@@ -67,12 +67,13 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as learning curves: a customer is a run, whose n-th order is its n-th epoch.
+    """Orders as learning curves: a customer is a run, a month since 1995 an epoch.
 
     Losses are square roots: a short decimal could end right between two printed values,
     where engines round differently.
     """
-    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("run_id"), turn.alias("epoch"),
-        (F.sqrt("o_totalprice") / 7000).alias("train_loss"), (F.sqrt("o_totalprice") / 13000).alias("val_loss"))
+    epoch = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
+    price = F.avg("o_totalprice")
+    return (table(spark, sf_dir, "orders")
+            .groupBy(F.col("o_custkey").cast("string").alias("run_id"), epoch.alias("epoch"))
+            .agg((F.sqrt(price) / 7000).alias("train_loss"), (F.sqrt(price) / 13000).alias("val_loss")))

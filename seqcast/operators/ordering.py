@@ -31,6 +31,7 @@ def number_rows(df: DataFrame, *order: str, into: str = "position", without: Seq
     if len(placed.inputFiles()) <= 1:
         return placed.withColumn(into, within).drop("_place")
     placed = placed.withColumn("_range", F.shiftright("_place", ROW_BITS))
+    # One row per range goes through this window.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
               .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
