@@ -31,8 +31,9 @@ PIECE = 512
 # A step reads one partition per rank. Small batches share a partition up to this size, since
 # a task costs more than reading past a few batches ...
 PARTITION_BYTES = 1 << 20
-# ... and more do when an epoch would otherwise need more partitions than this.
-MAX_PARTITIONS = 20_000
+# ... and more do when an epoch would otherwise need more partitions than this. A step then
+# lets the scan skip what lies outside its batch, at the price of a plan of its own.
+MAX_PARTITIONS = 100_000
 # Short epochs are laid out together, as many as stay below this many partitions.
 PLANNED_PARTITIONS = 256
 
@@ -113,6 +114,11 @@ class BatchPlan:
     steps: int
     per_partition: int
     world_size: int
+    skip: bool
+
+    def rows(self, step: int) -> RDD:
+        """Rows to look for a step's batches in, partitioned alike for all steps."""
+        return self.packed.where(F.col("batch") == step).rdd if self.skip else self.rdd
 
     def partitions(self, nth_epoch: int, step: int) -> list[int]:
         first = self._slot(nth_epoch, step) * self.world_size
@@ -122,10 +128,12 @@ class BatchPlan:
         return nth_epoch * -(-self.steps // self.per_partition) + step // self.per_partition
 
 
-def batches_per_partition(settings: Settings, steps: int) -> int:
+def batches_per_partition(settings: Settings, steps: int) -> tuple[int, bool]:
+    """How many batches share a partition, and whether that is for want of partitions."""
     batch_bytes = 4 * settings.batch_size * (settings.window * len(settings.features) + 1)
+    small_enough = max(min(steps, PARTITION_BYTES // batch_bytes), 1)
     few_enough = -(-steps * settings.world_size // MAX_PARTITIONS)
-    return max(few_enough, min(steps, PARTITION_BYTES // batch_bytes), 1)
+    return max(few_enough, small_enough), few_enough > small_enough
 
 
 def plan_batches(windows: DataFrame, settings: Settings, n_samples: int, epochs: range) -> BatchPlan:
@@ -136,7 +144,7 @@ def plan_batches(windows: DataFrame, settings: Settings, n_samples: int, epochs:
     """
     world = settings.world_size
     steps = steps_per_epoch(n_samples, world, settings.batch_size)
-    per_partition = batches_per_partition(settings, steps)
+    per_partition, skip = batches_per_partition(settings, steps)
     slots = -(-steps // per_partition)
     dealt = assign_shards(windows.select("Symbol", "Date"), world, settings.batch_size, settings.seed, list(epochs))
     slot = (F.col("epoch") - epochs.start) * slots + F.floor(F.col("batch") / per_partition)
@@ -147,7 +155,7 @@ def plan_batches(windows: DataFrame, settings: Settings, n_samples: int, epochs:
               .select("batch", "x", "y")
               .mapInArrow(_packer(len(settings.features)), PACKED)
               .persist(StorageLevel.MEMORY_AND_DISK))
-    return BatchPlan(packed, packed.rdd, steps, per_partition, world)
+    return BatchPlan(packed, packed.rdd, steps, per_partition, world, skip)
 
 
 def _batch_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, dropout: float,
@@ -270,7 +278,7 @@ def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed")
         validation.count()
         val_rdd = validation.rdd
         steps = steps_per_epoch(n_samples, settings.world_size, settings.batch_size)
-        slots = -(-steps // batches_per_partition(settings, steps))
+        slots = -(-steps // batches_per_partition(settings, steps)[0])
         together = max(1, PLANNED_PARTITIONS // (slots * settings.world_size))
 
         started = time.time()
@@ -291,7 +299,7 @@ def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed")
                         seen.add([loss], [size])
             else:
                 for step in range(steps):
-                    found = sc.runJob(plan.rdd, gradient_task(vector, settings, epoch - 1, step),
+                    found = sc.runJob(plan.rows(step), gradient_task(vector, settings, epoch - 1, step),
                                       plan.partitions(nth, step))
                     losses, sizes, grads = zip(*found)
                     vector = adam.step(vector, sum(grads) / len(grads))

@@ -39,10 +39,11 @@ def test_text_that_is_no_number_raises(spark, tmp_path):
         read_bars(spark, path).collect()
 
 
-def test_parquet_reads_the_same(spark, tmp_path):
+@pytest.mark.parametrize("format", ["parquet", "orc", "json"])
+def test_other_formats_read_the_same(spark, tmp_path, format):
     csv = read_bars(spark, write(tmp_path, "Date,Symbol,Open,High,Low,Close,Volume\n2020-01-01,A,1,2,3,4,5\n"))
-    csv.write.parquet(str(tmp_path / "p"))
-    assert read_bars(spark, str(tmp_path / "p"), format="parquet").collect() == csv.collect()
+    csv.write.format(format).save(str(tmp_path / "t"))
+    assert read_bars(spark, str(tmp_path / "t"), format=format).select(*csv.columns).collect() == csv.collect()
 
 
 def test_missing_input(spark, tmp_path):

@@ -137,10 +137,28 @@ def test_layout_does_not_change_the_result(spark, panel, monkeypatch):
     monkeypatch.setattr(training, "PARTITION_BYTES", 1)
     monkeypatch.setattr(training, "PLANNED_PARTITIONS", 1)
     assert np.array_equal(to_vector(train(panel).weights), to_vector(usual.weights))
+    assert training.batches_per_partition(panel.settings, 8) == (1, False)
     monkeypatch.setattr(training, "MAX_PARTITIONS", 2)
+    assert training.batches_per_partition(panel.settings, 8) == (8, True)
     assert np.array_equal(to_vector(train(panel).weights), to_vector(usual.weights))
 
 
+def test_a_step_skips_the_batches_of_others(spark, panel, monkeypatch, capsys):
+    monkeypatch.setattr(training, "PARTITION_BYTES", 1)
+    monkeypatch.setattr(training, "MAX_PARTITIONS", 2)
+    windows = training._kept_windows(panel, "train")
+    n = training.count_keys(windows)
+    plan = training.plan_batches(windows, panel.settings, n, range(0, 1))
+    assert plan.skip and plan.rdd.getNumPartitions() == plan.rows(3).getNumPartitions() == 2
+    found = spark.sparkContext.runJob(plan.rows(3), lambda rows: [r.batch for r in rows], plan.partitions(0, 3))
+    assert found == [3, 3]
+    plan.packed.where("batch = 3").explain("formatted")
+    assert "batch" in next(line for line in capsys.readouterr().out.splitlines() if "InMemoryTableScan" not in line
+                           and line.startswith("Arguments: [batch"))
+    plan.packed.unpersist()
+    windows.unpersist()
+
+
 def test_lone_rank_takes_the_steps_of_the_general_path(spark, panel):
     """By hand: the batches of the shard table, one gradient and one step each."""
     s = panel.settings.override(world_size=1, dropout=0.0, epochs=2)
