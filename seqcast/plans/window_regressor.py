@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
@@ -21,9 +22,16 @@ def _vectors(sequences: DataFrame) -> DataFrame:
 
 
 def fit_window_regressor(panel: Panel) -> LinearRegressionModel:
-    """Fit by normal equations: one pass that sums a matrix as wide as the window."""
+    """Fit by normal equations, which sum a matrix as wide as the window.
+
+    The fit reads its input more than once, so the windows are kept meanwhile.
+    """
     regressor = LinearRegression(featuresCol="x", labelCol="y", predictionCol="p", solver="normal", regParam=RIDGE)
-    return regressor.fit(_vectors(panel.sequences(TRAIN)).select("x", "y"))
+    rows = _vectors(panel.sequences(TRAIN)).select("x", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return regressor.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def regressor_forecast(panel: Panel, model: LinearRegressionModel, split: str) -> DataFrame:
