@@ -24,9 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nobody has used yet; it goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.mkdirs(where.getParent())
+    files.deleteOnExit(where)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nobody reads any more."""
+    for path in paths:
+        files, where = _file_system(spark, path)
+        files.delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
