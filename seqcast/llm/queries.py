@@ -9,6 +9,8 @@ from seqcast.llm.exact_dedup import exact_duplicates
 from seqcast.llm.licenses import license_matches
 from seqcast.llm.mixing import mix_sources
 from seqcast.llm.packing import pack
+from seqcast.llm.quality import quality
+from seqcast.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +29,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_source_mix, op6_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_source_mix, op6_exact_dedup, op8_toxicity, op9_quality, op10_packing)}
