@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqcast.llm.exact_dedup import exact_duplicates
+from seqcast.llm.jaccard_join import Similarity, near_duplicates
 from seqcast.llm.licenses import license_matches
 from seqcast.llm.mixing import mix_sources
 from seqcast.llm.packing import pack
@@ -25,6 +26,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Similarity(words=4, percent=85))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -42,4 +47,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_source_mix, op6_exact_dedup, op8_toxicity, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_ngram_jaccard, op6_exact_dedup, op8_toxicity, op9_quality, op10_packing)}
