@@ -37,10 +37,20 @@ SELECT doc_id, license, rule, CAST(place AS BIGINT) AS first_sentence, CAST(n AS
 FROM chosen WHERE reached IS NULL OR reached < place + n
 """
 
+OP5 = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                  max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper
+           FROM pages),
+q AS (SELECT *, coalesce(payload_bytes >= 1000 AND page_id <> keeper, FALSE) AS again FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN keeper END AS refers_to
+FROM q
+"""
+
 OP6 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        row_number() OVER (same ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES = {"op1_license_scan": OP1, "op6_exact_dedup": OP6}
+ORACLES = {"op1_license_scan": OP1, "op5_warc": OP5, "op6_exact_dedup": OP6}

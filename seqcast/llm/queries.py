@@ -12,6 +12,9 @@ from seqcast.llm.mixing import mix_sources
 from seqcast.llm.packing import pack
 from seqcast.llm.quality import quality
 from seqcast.llm.toxicity import toxicity
+from seqcast.llm.vector_search import nearest_neighbours
+from seqcast.llm.warc import read_archive, write_archive
+from seqcast.sources.shared import new_table_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +33,20 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Similarity(words=4, percent=85))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "warc")
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,4 +60,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_ngram_jaccard, op6_exact_dedup, op8_toxicity, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_ngram_jaccard, op5_warc, op6_exact_dedup, op7_nearest_vectors,
+                                op8_toxicity, op9_quality, op10_packing)}
