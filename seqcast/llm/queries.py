@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqcast.llm.exact_dedup import exact_duplicates
+from seqcast.llm.html_extract import main_text
 from seqcast.llm.jaccard_join import Similarity, near_duplicates
 from seqcast.llm.licenses import license_matches
 from seqcast.llm.mixing import mix_sources
@@ -25,6 +26,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -60,5 +65,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_ngram_jaccard, op5_warc, op6_exact_dedup, op7_nearest_vectors,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_text, op3_source_mix, op4_ngram_jaccard, op5_warc, op6_exact_dedup, op7_nearest_vectors,
                                 op8_toxicity, op9_quality, op10_packing)}
