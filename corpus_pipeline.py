@@ -7,14 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcast.llm.exact_dedup import exact_duplicates
+from seqcast.llm.exact_dedup import drop_exact_duplicates
+from seqcast.llm.jaccard_join import Similarity, near_duplicates
 from seqcast.llm.mixing import mix_sources
 from seqcast.llm.packing import pack
+from seqcast.llm.toxicity import reject_toxic, train_toxicity
 from seqcast.sources.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that a classifier, trained on the labels, calls toxic."""
+    return reject_toxic(docs.select(*COLUMNS), train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: that with the smallest id."""
+    return drop_exact_duplicates(docs.select(*COLUMNS))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8): that with the smallest id.
+
+    A document without an id is in no group. Rows that share an id stay or go together.
+    """
+    gone = near_duplicates(docs, Similarity(words=5, percent=80)).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(written(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it. One without words adds nothing to a mix and is not in it."""
+    mixed = mix_sources(docs, carry=[c for c in COLUMNS if c not in ("doc_id", "source")]).filter("taken > 0")
+    times = (F.col("taken") / F.col("size")).cast("int")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two length, with their ids."""
+    return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("packing", packing)]
 
 # Neither a trained classifier nor a fitted subset sum nor a tokenizer can be written in SQL.
 ORACLE_SQL: str | None = None

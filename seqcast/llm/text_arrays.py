@@ -40,8 +40,10 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts in a row, and where each begins (one more entry for the end). Texts are not null."""
-    wide = pa.types.is_large_binary(column.type)
+    """Bytes of all texts in a row, and where each begins (one more entry for the end). Null counts as empty."""
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
     every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seqcast.llm.labelled import held_out, training_labels
 from seqcast.llm.text_arrays import runs_of_words, slices, texts_of, word_hashes
@@ -111,7 +112,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     return learned["at"].to_numpy(np.int64), learned["weight"].to_numpy(float)
 
 
-def _score_task(model, bits: int):
+def _score_task(model, bits: int, carry: list[str]):
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values = model.value
         weights = np.zeros((1 << bits) + 1)
@@ -121,23 +122,27 @@ def _score_task(model, bits: int):
                 each = features(*word_hashes(*texts_of(part.column("text")), lower=True), bits)
                 margin = np.array([weights[x].sum() for x in each]) + weights[-1]
                 score = 1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700)))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in part.schema.names if c != "text"), pa.array(score, pa.float64())],
-                    [*(c for c in part.schema.names if c != "text"), "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(score, pa.float64())], [*carry, "_score"])
 
     return task
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
-    """``doc_id, score`` of every row, the score from 0 to 1.
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns named in ``carry`` and ``_score``, from 0 to 1, for every row.
 
     The weights that are not zero are broadcast: at most ``2**bits`` numbers, in practice some thousands.
     Null and empty texts get the bias's score. Labels are not looked at.
     """
     ship_package(docs.sparkSession.sparkContext)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return (docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-            .mapInArrow(_score_task(shared, bits), "doc_id long, score double"))
+    kept = [docs.schema[c] for c in carry]
+    return docs.select(*carry, *(() if "text" in carry else ("text",))).mapInArrow(
+        _score_task(shared, bits, list(carry)), StructType([*kept, StructField("_score", DoubleType())]))
+
+
+def reject_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.5) -> DataFrame:
+    """The rows that score below ``threshold``, with all columns."""
+    return score_toxicity(docs, model, carry=docs.columns).filter(F.col("_score") < threshold).drop("_score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED,
@@ -148,5 +153,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int
     Other columns of the inputs are ignored; an empty table gives no rows.
     """
     scored = score_toxicity(docs, train_toxicity(docs, labels, label, most, settings))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+                         (F.col("_score") >= 0.5).cast("int").alias("predicted"))
