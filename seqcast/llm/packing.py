@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ LONGEST = 2048
 END = 1
 CACHED_CHUNKS = 300_000
 LONG_CHUNK = 64
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPECIAL = b"<|"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -28,35 +31,64 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
 class ChunkEncoder:
     """Ids of a text as little-endian 32-bit bytes, encoded by chunks between ASCII white space.
 
-    This vocabulary's pre-tokenizer drops white space and no token crosses it, so the ids of a
-    text are those of its chunks one after the other; tests compare the two. Ids of short chunks
-    are kept, up to a bound.
+    This vocabulary's pre-tokenizer drops white space, lower-cases, and parts letters from marks, and no token crosses these
+    borders. So the ids of a text are those of its chunks one after the other, and a word with
+    ASCII marks behind it has the word's ids and then the marks'; tests compare with whole texts.
+    Ids of short chunks are kept in two generations, the older of which goes when the younger is full.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        # Not the batch call: its threads would take more than this task's core.
-        encode = self.tokenizer.encode
-        return [np.array(encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    def _find(self, chunk: bytes) -> bytes | None:
+        ids = self.young.get(chunk)
+        if ids is None and (ids := self.old.get(chunk)) is not None:
+            self.young[chunk] = ids
+        return ids
+
+    def _encode(self, chunk: bytes) -> bytes:
+        ids = self._find(chunk)
+        if ids is None:
+            # Not the batch call: its threads would take more than this task's core.
+            ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            self._keep(chunk, ids)
+        return ids
+
+    def _keep(self, chunk: bytes, ids: bytes) -> None:
+        if len(chunk) <= LONG_CHUNK:
+            if len(self.young) >= CACHED_CHUNKS:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = ids
+
+    def _fresh(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(MARKS)
+        if word == chunk or not word.decode("utf-8", "replace").isalpha():
+            return self._encode(chunk)
+        ids = self._encode(word) + self._encode(chunk[len(word):])
+        self._keep(chunk, ids)
+        return ids
 
     def __call__(self, text: bytes) -> bytes:
-        chunks = text.split()
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        new = {c for c in chunks if c not in known}
-        if len(known) + len(new) > CACHED_CHUNKS:
-            known.clear()
-            new = set(chunks)
-        fresh = dict(zip(new, self._encode(list(new)), strict=True))
-        known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONG_CHUNK and len(known) < CACHED_CHUNKS)
-        return b"".join([fresh[c] if c in fresh else known[c] for c in chunks])
+        if SPECIAL in text:  # names of special tokens are told apart by case and may touch words
+            return b"".join([self._encode(c) for c in text.split()])
+        young, out = self.young.get, []
+        for chunk in text.lower().split():
+            ids = young(chunk)
+            if ids is None:
+                ids = self._find(chunk)
+                if ids is None:
+                    ids = self._fresh(chunk)
+                young = self.young.get
+            out.append(ids)
+        return b"".join(out)
+
+
+@cache
+def encoder(path: str) -> ChunkEncoder:
+    """One per worker process, so that later tasks find what earlier ones encoded."""
+    return ChunkEncoder(path)
 
 
 def _pieces(tokenizer_path: str | None, longest: int):
@@ -64,9 +96,9 @@ def _pieces(tokenizer_path: str | None, longest: int):
         if tokenizer_path is None:
             import public_tokenizers
 
-            encode = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+            encode = encoder(public_tokenizers.path("word_bpe_49k.json"))
         else:
-            encode = ChunkEncoder(tokenizer_path)
+            encode = encoder(tokenizer_path)
         end = np.array([END], "<u4").tobytes()
         names = [f.split()[0] for f in PIECES.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
