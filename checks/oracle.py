@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from checks.stand_in import HAND_SET
+
 FEATURES = ("Open", "High", "Low", "Close", "Volume")
 WINDOW = 60
 BATCH = 64
@@ -97,8 +99,33 @@ RUNS = """WITH runs AS (
          round(l_tax / 7, 4) AS "MAE", round(l_discount * 100 / 7, 4) AS "MAPE"
   FROM lineitem),
 named AS (SELECT *, CASE WHEN run_type = 'distributed' THEN 'Distributed_MultiStock_' || num_processes || 'proc'
-                    ELSE 'Standalone_MultiStock_2tickers' END || '_' || strftime(finished, '%Y%m%d_%H%M') AS run_id
-          FROM runs)"""
+                    ELSE 'Standalone_MultiStock_2tickers' END || '_' || strftime(finished, '%Y%m%d_%H%M') AS run_name,
+                 CASE WHEN run_type = 'distributed' THEN num_processes END AS stated, round(seconds, 2) AS logged,
+                 CASE WHEN run_type = 'distributed' THEN num_processes ELSE 1 END AS sized,
+                 l_orderkey || '.' || l_linenumber AS uniq FROM runs)"""
+
+def _gate(row: int) -> str:
+    """Input of a gate of the hand-set unit: its bar as 32-bit floats, the state before, and both biases."""
+    ih, hh, b, c = (HAND_SET[f"lstm.{n}_l0"][row] for n in ("weight_ih", "weight_hh", "bias_ih", "bias_hh"))
+    inputs = " + ".join(f'{w} * CAST(CAST(x."{n}_scaled" AS FLOAT) AS DOUBLE)' for n, w in zip(FEATURES, ih))
+    return f"{inputs} + {hh[0]} * s.h + {b} + {c}"
+
+
+# The unit's recurrence, a step at a time over all windows of the test period.
+SCORED = f"""{PANEL.replace("WITH ", "WITH RECURSIVE ", 1)},
+states AS (
+  SELECT split, "Symbol", "Date", position, 0 AS step, CAST(0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS c FROM samples WHERE split = 'test'
+  UNION ALL
+  SELECT split, "Symbol", "Date", position, step + 1, 1 / (1 + exp(-o)) * tanh(new_c), new_c
+  FROM (SELECT *, 1 / (1 + exp(-f)) * c + 1 / (1 + exp(-i)) * tanh(g) AS new_c
+        FROM (SELECT s.*, {_gate(0)} AS i, {_gate(1)} AS f, {_gate(2)} AS g, {_gate(3)} AS o
+              FROM states s JOIN numbered x
+                ON x.split = s.split AND x."Symbol" = s."Symbol" AND x.position = s.position - {WINDOW} + s.step
+              WHERE s.step < {WINDOW}))),
+scored AS (
+  SELECT split, "Symbol", "Date", CAST(CAST("Close_scaled" AS FLOAT) AS DOUBLE) AS y,
+         CAST(CAST({HAND_SET["fc.weight"][0][0]} * h + {HAND_SET["fc.bias"][0]} AS FLOAT) AS DOUBLE) AS p
+  FROM states JOIN numbered USING (split, "Symbol", "Date", position) WHERE step = {WINDOW})"""
 
 ORACLES: dict[str, str] = {
     "scan_bars": f'WITH {DAILY_BARS} SELECT "Symbol", "Date", {_columns(chr(34) + "{c}" + chr(34))} FROM bars',
@@ -152,11 +179,11 @@ FROM samples y JOIN numbered x
   SELECT split, "Symbol", "Date", row_number() OVER (PARTITION BY split ORDER BY "Symbol", "Date") - 1 AS pos FROM samples)
 SELECT *, pos // {BATCH} AS batch FROM placed""",
     "run_summary": f"""{RUNS}
-SELECT run_id, run_type, CASE WHEN run_type = 'distributed' THEN num_processes END AS num_processes,
-       symbols AS stocks_analyzed, n_samples AS total_training_samples, round(seconds, 2) AS training_time_seconds,
-       CASE WHEN run_type = 'distributed' THEN num_processes END AS stopped_at_epoch, "MSE", "RMSE", "MAE", "MAPE"
+SELECT run_name || '-' || uniq AS run_id, run_name, run_type, stated AS num_processes, storage, symbols AS stocks_analyzed,
+       n_samples AS total_training_samples, logged AS training_time_seconds, stated AS stopped_at_epoch, "MSE", "RMSE", "MAE", "MAPE"
 FROM named""",
-    "run_name": f"{RUNS} SELECT l_orderkey, l_linenumber, run_id, 'modello_' || run_id AS weights_name FROM named",
+    "run_name": f"""{RUNS}
+SELECT l_orderkey, l_linenumber, run_name, run_name || '-' || uniq AS run_id, 'modello_' || run_name || '-' || uniq AS weights_name FROM named""",
     "curve_milestones": """WITH curves AS (
   SELECT CAST(o_custkey AS VARCHAR) AS run_id,
          CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS epoch,
@@ -165,17 +192,38 @@ FROM named""",
 SELECT run_id, epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss,
        printf('Epoch [%03d/%d] - Train Loss: %.6f - Val Loss: %.6f', epoch, 200, train_loss, val_loss) AS line
 FROM curves WHERE epoch = 1 OR epoch % 10 = 0""",
-    "speedup_report": f"""{RUNS}, means AS (SELECT num_processes, avg(seconds) AS seconds FROM runs GROUP BY 1),
+    "speedup_report": f"""{RUNS}, means AS (SELECT sized AS num_processes, avg(logged) AS seconds FROM named GROUP BY 1),
 base AS (SELECT seconds AS one FROM means WHERE num_processes = 1)
 SELECT num_processes, round(seconds, 6) AS seconds, round(one / seconds, 6) AS speedup,
        round(one / seconds / num_processes, 6) AS efficiency FROM means, base""",
-    "storage_report": f"""{RUNS}, means AS (SELECT storage, avg(seconds) AS seconds FROM runs GROUP BY 1),
+    "storage_report": f"""{RUNS}, means AS (SELECT storage, avg(logged) AS seconds FROM named GROUP BY 1),
 base AS (SELECT seconds AS local FROM means WHERE storage = 'N')
 SELECT storage, round(seconds, 6) AS seconds, round((local - seconds) / local * 100, 6) AS improvement FROM means, base""",
     "accuracy_report": f"""{RUNS}
-SELECT CASE WHEN run_type = 'distributed' THEN num_processes END AS num_processes, count(*) AS runs,
-       round(avg("MAPE"), 6) AS "MAPE", round(avg("RMSE"), 6) AS "RMSE" FROM runs GROUP BY 1""",
+SELECT sized AS num_processes, count(*) AS runs, round(avg("MAPE"), 6) AS "MAPE", round(avg("RMSE"), 6) AS "RMSE" FROM named GROUP BY 1""",
     "repeat_stats": f"""{RUNS}
-SELECT run_type, num_processes, storage, count(*) AS runs, round(avg(seconds), 6) AS mean, round(min(seconds), 6) AS low,
-       round(max(seconds), 6) AS high, round(stddev_samp(seconds), 6) AS spread FROM runs GROUP BY 1, 2, 3""",
+SELECT run_type, stated AS num_processes, storage, count(*) AS runs, round(avg(logged), 6) AS mean, round(min(logged), 6) AS low,
+       round(max(logged), 6) AS high, round(stddev_samp(logged), 6) AS spread FROM named GROUP BY 1, 2, 3""",
+    "parse_dates_by_format": f"""WITH {DAILY_BARS}, texts AS (
+  SELECT "Symbol", CASE WHEN "Volume" = 1 THEN '?' ELSE '' END || strftime("Date", '%m/%d/%Y') AS date_text FROM bars)
+SELECT "Symbol", date_text, CAST(try_strptime(date_text, '%m/%d/%Y') AS TIMESTAMP) AS "Date" FROM texts""",
+    "learning_curve": """SELECT o_orderpriority AS run_id, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS epoch,
+       round(sqrt(avg(o_totalprice)) / 7000, 9) AS train_loss, round(sqrt(avg(o_totalprice)) / 13000, 9) AS val_loss
+FROM orders GROUP BY 1, 2""",
+    "model_table": """SELECT l_returnflag || l_linestatus AS run_id, count(*) AS n_arrays, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS n_shaped,
+       round(sum(l_tax * CAST(l_quantity AS INTEGER)), 4) AS total, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS n_parameters
+FROM lineitem GROUP BY 1""",
+    "score_sequences": f"""{SCORED}
+SELECT split, "Symbol", "Date", round(y, 6) AS y, round(p, 6) AS p FROM scored""",
+    "forecast_actual": f"""{SCORED}
+SELECT split, "Symbol", "Date", round(y * ("Close_max" - "Close_min") + "Close_min", 3) AS y_actual,
+       round(p * ("Close_max" - "Close_min") + "Close_min", 3) AS y_pred FROM scored, bounds""",
+    "fit_window_regressor": f"""{PANEL},
+pairs AS (SELECT *, lag("Close_scaled") OVER (PARTITION BY split, "Symbol" ORDER BY "Date") AS x FROM numbered),
+line AS (SELECT regr_slope("Close_scaled", x) AS slope, regr_intercept("Close_scaled", x) AS intercept FROM pairs WHERE split = 'train'),
+forecasts AS (SELECT "Symbol", "Close" AS y, (x * slope + intercept) * ("Close_max" - "Close_min") + "Close_min" AS p
+              FROM pairs, line WHERE split = 'test' AND x IS NOT NULL)
+SELECT "Symbol", count(*) AS n, round(avg((y - p) * (y - p)) / 1e6, 1) AS "MSE", round(sqrt(avg((y - p) * (y - p))), 1) AS "RMSE",
+       round(avg(abs(y - p)), 1) AS "MAE", round(coalesce(avg(CASE WHEN y <> 0 THEN abs((y - p) / y) END) * 100, 0), 4) AS "MAPE"
+FROM forecasts GROUP BY 1""",
 }

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from checks import stand_in
 from checks.stand_in import SETTINGS, daily_bars, daily_panel, hourly_panel, persistence, table
-from seqcast.functions.text import artefact_name, run_name
+from seqcast.functions.text import artefact_name, run_id, run_name
 from seqcast.operators.metrics import (batch_losses, mape, rank_epoch_loss, reduced_epoch_loss, regression_metrics,
                                        weighted_epoch_loss)
-from seqcast.operators.ordering import number_rows
-from seqcast.operators.prepare import drop_missing, filter_symbols, parse_dates, prepare, project_features
+from seqcast.operators.prepare import bar_positions, drop_missing, filter_symbols, parse_dates, prepare, project_features
 from seqcast.operators.scale import bounds_from_profile, narrowed, unscale
 from seqcast.operators.shards import assign_shards, ordered_batches
 from seqcast.operators.split import TEST, TRAIN, cutoffs, date_profile
@@ -23,17 +22,17 @@ from seqcast.plans.panel import Panel
 from seqcast.plans.reports import accuracy_report, milestones, repeat_stats, speedup_report, storage_report
 from seqcast.plans.run import summary_of
 from seqcast.plans.scoring import forecast, score
-from seqcast.plans.training import TrainedModel, train, train_single
+from seqcast.plans.training import train, train_single
 from seqcast.plans.window_regressor import fit_window_regressor, regressor_forecast
 from seqcast.sources.bars import read_bars
-from seqcast.sources.runs import (METRICS_FIELD, WEIGHTS_SCHEMA, append_summary, curve_table, read_summaries, read_table,
-                                  summarise, weights_table, write_table)
+from seqcast.sources.runs import (CURVE_SCHEMA, METRICS_FIELD, WEIGHTS_SCHEMA, append_summary, parameter_counts, read_summaries,
+                                  read_table, summarise, write_table)
 from seqcast.sources.shared import new_table_path
 
 FEATURES = SETTINGS.features
 WORLD = 4
-# A run of this many epochs shows that the trainer works; 200 are the default.
-TRAINED = SETTINGS.override(world_size=WORLD, epochs=2)
+# All windows and all epochs, with a small network whose ranks average their weights once an epoch or more often.
+TRAINED = SETTINGS.override(world_size=WORLD, hidden_size=8, num_layers=1, sync_every=64)
 
 
 def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -54,24 +53,27 @@ def scan_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_dates(read_bars(spark, path))
 
 
-def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries as runs leave them: appended to a log and read back."""
     path = new_table_path(spark, "run-summaries")
-    append_summary(_summaries(spark, sf_dir), path)
-    flat = [F.col(f"{METRICS_FIELD}.{m}").alias(m) for m in ("MSE", "RMSE", "MAE", "MAPE")]
-    return read_summaries(spark, path).select(
-        "run_id", "run_type", "num_processes", F.array_join("stocks_analyzed", ",").alias("stocks_analyzed"),
-        "total_training_samples", "training_time_seconds", "stopped_at_epoch", *flat)
+    f = F.col
+    append_summary(summarise(
+        stand_in.runs(spark, sf_dir), F.concat_ws(".", "l_orderkey", "l_linenumber"), f("run_type"), f("num_processes"), f("storage"),
+        f("symbols"), f("n_samples"), f("training_time_seconds"), f("stopped_epoch"), f("finished")), path)
+    return read_summaries(spark, path)
 
 
-def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = F.col
-    return summarise(stand_in.runs(spark, sf_dir), f("run_type"), f("num_processes"), f("symbols"), f("n_samples"),
-                     f("training_time_seconds"), f("stopped_epoch"), f("finished"))
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = [F.col(f"{METRICS_FIELD}.{m}").alias(m) for m in ("MSE", "RMSE", "MAE", "MAPE")]
+    return _log(spark, sf_dir).select(
+        "run_id", "run_name", "run_type", "num_processes", "storage", F.array_join("stocks_analyzed", ",").alias("stocks_analyzed"),
+        "total_training_samples", "training_time_seconds", "stopped_at_epoch", *flat)
 
 
 def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run_id = run_name(F.col("run_type"), F.col("num_processes"), F.size("symbols"), F.col("finished"))
-    return (stand_in.runs(spark, sf_dir).select("l_orderkey", "l_linenumber", run_id.alias("run_id"))
+    name = run_name(F.col("run_type"), F.col("num_processes"), F.size("symbols"), F.col("finished"))
+    unique = F.concat_ws(".", "l_orderkey", "l_linenumber")
+    return (stand_in.runs(spark, sf_dir).select("l_orderkey", "l_linenumber", name.alias("run_name"), run_id(name, unique).alias("run_id"))
             .withColumn("weights_name", artefact_name("weights", F.col("run_id"))))
 
 
@@ -93,6 +95,13 @@ def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_dates(marred.select("Symbol", "date_text", F.col("date_text").alias("Date")), lenient=True)
 
 
+def dates_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written month first; days with a single order get a text that is no date."""
+    text = F.date_format("Date", "MM/dd/yyyy")
+    marred = daily_bars(spark, sf_dir).withColumn("date_text", F.when(F.col("Volume") == 1, F.concat(F.lit("?"), text)).otherwise(text))
+    return parse_dates(marred.select("Symbol", "date_text", F.col("date_text").alias("Date")), lenient=True, date_format="MM/dd/yyyy")
+
+
 def features_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_features(daily_bars(spark, sf_dir), ("Volume", "Close"))
 
@@ -113,7 +122,7 @@ def chrono_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_rows(prepare(daily_bars(spark, sf_dir), SETTINGS), "Symbol", "Date")
+    return bar_positions(prepare(daily_bars(spark, sf_dir), SETTINGS))
 
 
 def date_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +178,7 @@ def sequences_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = hourly_panel(spark, sf_dir)
-    return series_positions(panel.split(), panel.fit.spans).select("split", "Symbol", "Date", "position")
+    return series_positions(panel.split(), panel.fit.cells).select("split", "Symbol", "Date", "position")
 
 
 def counted_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,91 +248,105 @@ def epoch_loss_allreduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Shards and batches
 
 
+def _keys(spark: SparkSession, sf_dir: str, split: str | None = TRAIN) -> DataFrame:
+    """Keys of windows. The stand-in has one bar per symbol and date, so that these are enough."""
+    return daily_panel(spark, sf_dir).sequence_keys(split).drop("position")
+
+
 def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(daily_panel(spark, sf_dir).sequence_keys(TRAIN), WORLD, SETTINGS.batch_size)
+    return assign_shards(_keys(spark, sf_dir), WORLD, SETTINGS.batch_size)
 
 
 def epoch_reshuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(daily_panel(spark, sf_dir).sequence_keys(TRAIN), WORLD, SETTINGS.batch_size, epochs=(1, 2))
+    return assign_shards(_keys(spark, sf_dir), WORLD, SETTINGS.batch_size, epochs=(1, 2))
 
 
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(daily_panel(spark, sf_dir).sequence_keys(TRAIN), 1, SETTINGS.batch_size).drop("rank")
+    return assign_shards(_keys(spark, sf_dir), 1, SETTINGS.batch_size).drop("rank")
 
 
 def batches_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered_batches(daily_panel(spark, sf_dir).sequence_keys(), SETTINGS.batch_size)
+    return ordered_batches(_keys(spark, sf_dir, None), SETTINGS.batch_size)
 
 
 # Training and scoring
 
-_trained: dict[tuple[str, str, bool], tuple[Panel, TrainedModel]] = {}
-
-
-def _model(spark: SparkSession, sf_dir: str, single: bool = False) -> tuple[Panel, TrainedModel]:
-    """One training per session and scale for the queries that look at a model."""
-    key = spark.sparkContext.applicationId, sf_dir, single
-    if key not in _trained:
-        panel = daily_panel(spark, sf_dir, TRAINED)
-        _trained[key] = panel, train_single(panel) if single else train(panel)
-    return _trained[key]
-
 
-def _summary(spark: SparkSession, sf_dir: str, single: bool) -> DataFrame:
-    panel, model = _model(spark, sf_dir, single)
+def _trained(spark: SparkSession, sf_dir: str, single: bool) -> DataFrame:
+    """Summary of a run over all train windows, for all epochs of the settings."""
+    panel = daily_panel(spark, sf_dir, TRAINED)
+    model = train_single(panel) if single else train(panel)
     return summary_of(spark, model, forecast(panel, model.weights, TEST), datetime.now())
 
 
 def train_sequence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(spark, sf_dir, single=False)
+    return _trained(spark, sf_dir, single=False)
 
 
 def train_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(spark, sf_dir, single=True)
+    return _trained(spark, sf_dir, single=True)
+
+
+def _written_table(spark: SparkSession, rows: DataFrame, name: str, schema: str) -> DataFrame:
+    path = new_table_path(spark, name)
+    write_table(rows, path)
+    return read_table(spark, path, schema)
 
 
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curve_table(spark, _model(spark, sf_dir)[1].curve, "run")
+    curves = _written_table(spark, stand_in.priority_curves(spark, sf_dir), "curves", CURVE_SCHEMA)
+    return _rounded(curves, 9, "train_loss", "val_loss")
 
 
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_table_path(spark, "weights")
-    write_table(weights_table(spark, _model(spark, sf_dir)[1].weights, "run"), path)
-    return read_table(spark, path, WEIGHTS_SCHEMA, "run").select("name", "shape", F.size("values").alias("n_values"))
+    """Arrays and numbers of each model as its table holds them."""
+    models = _written_table(spark, stand_in.weights(spark, sf_dir), "weights", WEIGHTS_SCHEMA)
+    arrays = models.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_arrays"), F.sum(F.col("shape")[0]).alias("n_shaped"),
+        F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)), 4).alias("total"))
+    return arrays.join(parameter_counts(models), "run_id")
+
+
+def _scored_panel(spark: SparkSession, sf_dir: str) -> Panel:
+    return daily_panel(spark, sf_dir, SETTINGS.override(hidden_size=1, num_layers=1))
 
 
 def score_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, model = _model(spark, sf_dir)
-    return score(panel.sequences(TEST), model.weights, len(FEATURES))
+    """A network of one unit with weights set by hand."""
+    scored = score(_scored_panel(spark, sf_dir).sequences(TEST), stand_in.HAND_SET, len(FEATURES)).drop("position")
+    return scored.select("split", "Symbol", "Date", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("y", "p")])
 
 
 def forecast_in_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, model = _model(spark, sf_dir)
-    return forecast(panel, model.weights, TEST)
+    prices = forecast(_scored_panel(spark, sf_dir), stand_in.HAND_SET, TEST).drop("position")
+    return _rounded(prices, 3, "y_actual", "y_pred")
 
 
 def window_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = daily_panel(spark, sf_dir)
-    return regression_metrics(regressor_forecast(panel, fit_window_regressor(panel), TEST), "Symbol")
+    """The close regressed on the close before it, which a line fitted in SQL does too."""
+    panel = daily_panel(spark, sf_dir, SETTINGS.override(features=("Close",), window=1))
+    model = fit_window_regressor(panel, ridge=0.0)
+    found = regression_metrics(regressor_forecast(panel, model, TEST), "Symbol")
+    return _rounded(_rounded(found.withColumn("MSE", F.col("MSE") / 1e6), 1, "MSE", "RMSE", "MAE"), 4, "MAPE")
 
 
 # Run comparison
 
 
 def speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(speedup_report(stand_in.runs(spark, sf_dir)), 6, "seconds", "speedup", "efficiency")
+    return _rounded(speedup_report(_log(spark, sf_dir)), 6, "seconds", "speedup", "efficiency")
 
 
 def storage_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(storage_report(stand_in.runs(spark, sf_dir), "N"), 6, "seconds", "improvement")
+    return _rounded(storage_report(_log(spark, sf_dir), "N"), 6, "seconds", "improvement")
 
 
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(accuracy_report(_summaries(spark, sf_dir)), 6, "MAPE", "RMSE")
+    return _rounded(accuracy_report(_log(spark, sf_dir)), 6, "MAPE", "RMSE")
 
 
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = repeat_stats(stand_in.runs(spark, sf_dir), "run_type", "num_processes", "storage")
+    stats = repeat_stats(_log(spark, sf_dir), "run_type", "num_processes", "storage")
     return _rounded(stats, 6, "mean", "low", "high", "spread")
 
 
@@ -331,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_bars": scan_bars,
     "filter_symbols": symbols_kept,
     "parse_dates": dates_parsed,
+    "parse_dates_by_format": dates_by_format,
     "project_features": features_projected,
     "drop_missing": missing_dropped,
     "sorted_bars": sorted_bars,

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqcast.config import Settings
-from seqcast.operators.windows import last_step
+from seqcast.functions.lstm import Weights
 from seqcast.plans.panel import Panel, build_panel
 
 KEPT = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
 SETTINGS = Settings(symbols=KEPT)
-# The second panel's series are cut by day.
-HOURLY = Settings(symbols=("click", "error", "purchase", "view"), block_dates=24)
+# The second panel's series are cut into many blocks.
+HOURLY = Settings(symbols=("click", "error", "purchase", "view"), block_rows=64, cell_rows=100)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +49,14 @@ def hourly_panel(spark: SparkSession, sf_dir: str, settings: Settings = HOURLY)
 
 def persistence(panel: Panel, split: str | None = None) -> DataFrame:
     """Each sequence's target, and the target feature one step earlier as its forecast."""
-    known = F.element_at(last_step(F.col("x")), panel.settings.target_index + 1)
-    return panel.sequences(split).select("split", "Symbol", "Date", "y", known.alias("p"))
+    value, place = F.col(f"{panel.settings.target}_scaled"), Window.partitionBy("split", "Symbol").orderBy("Date")
+    return (panel.scaled(split).select("split", "Symbol", "Date", value.alias("y"), F.lag(value).over(place).alias("p"),
+                                       F.row_number().over(place).alias("place"))
+            .filter(F.col("place") > panel.settings.window).drop("place"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as a log of runs."""
+    """Line items as a log of runs, told apart by order and line."""
     f = F.col
     return table(spark, sf_dir, "lineitem").select(
         f("l_orderkey"), f("l_linenumber"),
@@ -66,7 +69,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (f("l_tax") / 7).alias("MAE"), (f("l_discount") * 100 / 7).alias("MAPE"))
 
 
-def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def curves(spark: SparkSession, sf_dir: str, run: str = "o_custkey") -> DataFrame:
     """Orders as learning curves: a customer is a run, a month since 1995 an epoch.
 
     Losses are square roots: a short decimal could end right between two printed values,
@@ -75,5 +78,31 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     epoch = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
     price = F.avg("o_totalprice")
     return (table(spark, sf_dir, "orders")
-            .groupBy(F.col("o_custkey").cast("string").alias("run_id"), epoch.alias("epoch"))
+            .groupBy(F.col(run).cast("string").alias("run_id"), epoch.alias("epoch"))
             .agg((F.sqrt(price) / 7000).alias("train_loss"), (F.sqrt(price) / 13000).alias("val_loss")))
+
+
+def priority_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a run per order priority, as a run has a folder of its own."""
+    return curves(spark, sf_dir, "o_orderpriority")
+
+
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as arrays of models: flag and status are the run, and the quantity is the array's size."""
+    size = F.col("l_quantity").cast("int")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("run_id"),
+        F.concat_ws(".", "l_orderkey", "l_linenumber").alias("name"),
+        F.array(size).alias("shape"), F.array_repeat(F.col("l_tax"), size).alias("values"))
+
+
+def _hand_set() -> Weights:
+    """One unit; a row per gate in the order input, forget, cell, output, and a column per feature."""
+    return {"lstm.weight_ih_l0": np.array([[0.5, -0.3, 0.2, 0.4, 0.1], [0.1, 0.2, -0.1, 0.3, 0.2],
+                                           [0.6, -0.2, 0.3, -0.5, 0.4], [-0.3, 0.5, 0.2, 0.1, -0.2]]),
+            "lstm.weight_hh_l0": np.array([[0.3], [-0.2], [0.5], [0.4]]),
+            "lstm.bias_ih_l0": np.array([0.1, 0.6, -0.1, 0.2]), "lstm.bias_hh_l0": np.array([0.05, 0.3, 0.1, -0.1]),
+            "fc.weight": np.array([[1.5]]), "fc.bias": np.array([0.25])}
+
+
+HAND_SET = _hand_set()

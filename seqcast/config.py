@@ -15,6 +15,21 @@ DEFAULT_WORLD_SIZE = 2
 WORLD_SIZE_VARIABLE = "NUM_PROCESSES"
 
 
+def _checked(name: str, kind: str, value: object) -> object:
+    """The value as a setting of its kind. One name stands for a tuple of names; a whole number for any number."""
+    if kind == "tuple[str, ...]":
+        names = (value,) if isinstance(value, str) else tuple(value) if isinstance(value, (list, tuple)) else ()
+        if not names or not all(isinstance(n, str) for n in names):
+            raise ValueError(f"{name} takes names, not {value!r}")
+        return names
+    if kind.endswith(" | None") and value is None:
+        return None
+    expected = {"str": str, "int": int, "float": (int, float)}[kind.removesuffix(" | None")]
+    if not isinstance(value, expected) or isinstance(value, bool):
+        raise ValueError(f"{name} takes {kind}, not {value!r}")
+    return float(value) if kind == "float" else value
+
+
 @dataclass(frozen=True)
 class Settings:
     """Everything a run depends on. Immutable: change it with :meth:`override`."""
@@ -42,15 +57,27 @@ class Settings:
     # Stop after this many epochs without a better validation loss; None never stops.
     patience: int | None = None
 
-    # Series are cut for the window operator where the calendar has more dates than this.
-    block_dates: int = 250_000
+    # Steps that ranks take on their own before they average; 1 averages the gradients of every step.
+    sync_every: int = 1
+    # Rows of a series that are windowed together, and rows of the table that are counted together.
+    block_rows: int = 4096
+    cell_rows: int = 250_000
+    # Where a run's bars are kept, as a name for comparisons.
+    storage: str = "local"
+    # Pattern of dates that are text, as Spark spells it; None reads ISO dates.
+    date_format: str | None = None
+    # Zone in which a date with a time zone is read as a day and time.
+    time_zone: str = "UTC"
 
     def __post_init__(self) -> None:
+        for f in fields(self):
+            object.__setattr__(self, f.name, _checked(f.name, f.type, getattr(self, f.name)))
         if self.target not in self.features:
             raise ValueError(f"target {self.target!r} is not one of {self.features}")
         if self.train_ratio <= 0 or self.val_ratio < 0 or self.train_ratio + self.val_ratio >= 1:
             raise ValueError("the two ratios must leave room for a test period")
-        for name in ("window", "world_size", "batch_size", "epochs", "hidden_size", "num_layers", "block_dates"):
+        for name in ("window", "world_size", "batch_size", "epochs", "hidden_size", "num_layers", "sync_every",
+                     "block_rows", "cell_rows"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
 
@@ -63,7 +90,7 @@ class Settings:
         unknown = sorted(set(values) - known)
         if unknown:
             raise ValueError(f"unknown settings: {', '.join(unknown)}")
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+        return cls(**values)
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, **changes) -> Settings:

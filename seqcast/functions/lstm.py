@@ -153,6 +153,13 @@ def _layer_gradients(params: list[np.ndarray], run: tuple[np.ndarray, ...], d_ou
 def loss_and_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, dropout: float = 0.0,
                       rng: np.random.Generator | None = None) -> tuple[float, Weights]:
     """Mean squared error of a batch and its gradient."""
+    errors, gradient = errors_and_gradient(weights, x, y, dropout, rng)
+    return float(np.mean(errors)), gradient
+
+
+def errors_and_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, dropout: float = 0.0,
+                        rng: np.random.Generator | None = None) -> tuple[np.ndarray, Weights]:
+    """Squared error of each sample of a batch, and the gradient of their mean."""
     dtype = weights["fc.weight"].dtype
     layers = _n_layers(weights)
     out, runs, masks = _inward(x, dtype), [], []
@@ -178,7 +185,7 @@ def loss_and_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, dropout: f
         if layer and masks:
             below *= masks[layer - 1]
         d_out = below
-    return float(np.mean(np.square(error, dtype=np.float64))), {name: grad[name].astype(dtype) for name in weights}
+    return np.square(error, dtype=np.float64), {name: grad[name].astype(dtype) for name in weights}
 
 
 def to_vector(weights: Weights) -> np.ndarray:
@@ -201,6 +208,12 @@ class Adam:
         self.rate, self.steps = rate, 0
         self.mean, self.square = np.zeros(size), np.zeros(size)
 
+    def at(self, mean: np.ndarray, square: np.ndarray, steps: int) -> Adam:
+        """The same optimiser after other steps."""
+        moved = Adam(len(mean), self.rate)
+        moved.mean, moved.square, moved.steps = mean.copy(), square.copy(), steps
+        return moved
+
     def step(self, vector: np.ndarray, grad: np.ndarray) -> np.ndarray:
         self.steps += 1
         self.mean += (1 - self.DECAY) * (grad - self.mean)

@@ -19,10 +19,15 @@ def run_tag(run_type: Column, world_size: Column, n_symbols: Column) -> Column:
 
 
 def run_name(run_type: Column, world_size: Column, n_symbols: Column, finished: Column) -> Column:
-    """Tag and minute of a run: the id of its rows in every table it writes."""
+    """Tag and minute of a run, for people to read; runs of one minute share it."""
     return F.concat_ws("_", run_tag(run_type, world_size, n_symbols), F.date_format(finished, STAMP_FORMAT))
 
 
+def run_id(name: Column, unique: Column) -> Column:
+    """The id of a run's rows in every table it writes: its name and something no other run has."""
+    return F.concat_ws("-", name, unique)
+
+
 def artefact_name(artefact: str, run_id: Column) -> Column:
     return F.concat_ws("_", F.lit(ARTEFACTS[artefact]), run_id)
 

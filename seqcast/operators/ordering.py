@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqcast.sources.shared import written
 
-# monotonically_increasing_id keeps the partition above this bit and the row within it below.
-ROW_BITS = 33
+def number_rows(df: DataFrame, *order: str, cells: Mapping[str, Column], within: Sequence[str] = (),
+                into: str = "position") -> DataFrame:
+    """0-based position of every row in the order given, in the whole table or in each group of ``within``.
 
+    ``cells`` are columns that follow the order: a row in a later cell, by these columns in turn, comes later. They are
+    functions of the row alone, so the two looks at the table, one that counts the rows of each cell and one that
+    ranks rows within their cell, see the same cells however they are planned. A plain ``row_number``
+    would bring a whole group into one task; here a task holds a cell, and counts are combined before they move. The
+    table of counts, which is summed up within each group, has a row per group and cell.
 
-def number_rows(df: DataFrame, *order: str, into: str = "position", without: Sequence[str] = ()) -> DataFrame:
-    """0-based position of every row in the order given, which should be total.
-
-    Columns named in ``without`` are there to sort by and not kept.
-
-    A plain ``row_number`` without partitioning would pull the table into one task. Here
-    the table is range-sorted, so no task holds more than its range, and a row's position is
-    its place in its range plus the sizes of the ranges before it. The sorted table is
-    written: the two passes over it must see the same ranges. What is broadcast has one
-    row per sort partition.
+    Nothing runs before the result is asked for, and nothing is written. Rows equal in ``order`` get different positions in
+    no particular order.
+    """
+    named = {f"_cell_{name}": column for name, column in cells.items()}
+    celled = df.withColumns(named)
+    key = [*within, *named]
+    before = Window.partitionBy(*within).orderBy(*named).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (celled.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+              .select(*[F.col(c).alias(f"_of_{c}") for c in key], "_start"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    return (celled.withColumn("_rank", rank).join(starts, same)
+            .select(*df.columns, (F.col("_start") + F.col("_rank")).alias(into)))
+
+
+def number_groups(df: DataFrame, group: str, position: str, within: Sequence[str] = (), into: str = "position") -> DataFrame:
+    """Positions within groups turned into positions over all groups in order, in the whole table or in each of ``within``.
+
+    The table of groups, which is summed up, has a row per group.
     """
-    ordered = df.sort(*order).drop(*without).withColumn("_place", F.monotonically_increasing_id())
-    placed = written(ordered, "ordered")
-    within = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    # A sort partition writes one file, so a single file is a single range.
-    if len(placed.inputFiles()) <= 1:
-        return placed.withColumn(into, within).drop("_place")
-    placed = placed.withColumn("_range", F.shiftright("_place", ROW_BITS))
-    # One row per range goes through this window.
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-              .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
-    return (placed.join(F.broadcast(starts), "_range")
-            .withColumn(into, F.col("_start") + within)
-            .drop("_place", "_range", "_start"))
+    before = Window.partitionBy(*within).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (df.groupBy(*within, group).agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"))
+    return df.join(starts, [*within, group]).withColumn(into, F.col("_before") + F.col(position)).drop("_before")

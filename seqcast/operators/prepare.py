@@ -9,19 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcast.config import Settings
+from seqcast.operators.ordering import number_groups, number_rows
+from seqcast.operators.windows import Cells
 
 
 def filter_symbols(bars: DataFrame, symbols: Sequence[str]) -> DataFrame:
     return bars.where(F.col("Symbol").isin(*symbols))
 
 
-def parse_dates(bars: DataFrame, lenient: bool = False) -> DataFrame:
-    """``Date`` as a timestamp without time zone.
+def parse_dates(bars: DataFrame, lenient: bool = False, date_format: str | None = None, time_zone: str = "UTC") -> DataFrame:
+    """``Date`` as a timestamp without time zone, whatever the session's zone.
 
-    Text that is no date raises, or becomes null with ``lenient``.
+    Text is read as ISO, or by ``date_format`` (a date or a date and time, in Spark's pattern letters). Text that is no
+    date raises, or becomes null with ``lenient``. A timestamp with a time zone is an instant; it
+    becomes the day and time that clocks in ``time_zone`` show.
     """
     date = F.col("Date")
-    return bars.withColumn("Date", date.try_cast("timestamp_ntz") if lenient else date.cast("timestamp_ntz"))
+    if bars.schema["Date"].dataType.typeName() == "timestamp":
+        # Not a cast, which goes by the session's zone and is ambiguous where clocks are set back.
+        seconds = (F.unix_micros(date).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+        utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+        return bars.withColumn("Date", F.convert_timezone(F.lit("UTC"), F.lit(time_zone), utc))
+    if date_format is None or bars.schema["Date"].dataType.typeName() != "string":
+        return bars.withColumn("Date", date.try_cast("timestamp_ntz") if lenient else date.cast("timestamp_ntz"))
+    pattern = F.lit(date_format)
+    # Spark parses a date and time only by a pattern that has both.
+    has_time = any(letter in date_format for letter in "HhKka")
+    if has_time:
+        parsed = F.expr("try_to_timestamp(Date, '{0}')".format(date_format.replace("'", "''"))) if lenient else F.to_timestamp_ntz(date, pattern)
+    else:
+        parsed = F.try_to_date(date, date_format) if lenient else F.to_date(date, date_format)
+    return bars.withColumn("Date", parsed.cast("timestamp_ntz"))
 
 
 def project_features(bars: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -44,8 +62,14 @@ def sort_bars(bars: DataFrame) -> DataFrame:
     return bars.orderBy("Symbol", "Date")
 
 
+def bar_positions(bars: DataFrame, cells: Cells = Cells()) -> DataFrame:
+    """0-based place of each bar in symbol and date order over the whole table."""
+    placed = number_rows(bars, "Date", cells=cells.columns(F.lit(0)), within=["Symbol"], into="_place")
+    return number_groups(placed, "Symbol", "_place").drop("_place")
+
+
 def prepare(bars: DataFrame, settings: Settings) -> DataFrame:
     """Filter, parse, project and clean. Rows without a date belong to no split and go too."""
     kept = filter_symbols(bars, settings.symbols)
-    dated = parse_dates(kept).where(F.col("Date").isNotNull())
+    dated = parse_dates(kept, date_format=settings.date_format, time_zone=settings.time_zone).where(F.col("Date").isNotNull())
     return drop_missing(project_features(dated, settings.features), settings.features)

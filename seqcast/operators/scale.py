@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 SMALLEST_RANGE = 10 * sys.float_info.epsilon
 
 
-def fit_bounds(train: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row with minimum and maximum of every feature, over all symbols together."""
-    return train.agg(*[f(c).alias(f"{c}_{n}") for c in features for n, f in (("min", F.min), ("max", F.max))])
-
-
 def bounds_from_profile(profile: DataFrame, train_end: Column, features: Sequence[str]) -> DataFrame:
-    """:func:`fit_bounds` from the calendar, without another pass over the bars."""
+    """One row with minimum and maximum of every feature in train, over all symbols together.
+
+    Taken from the calendar's bounds by date, without another pass over the bars.
+    """
     return profile.where(F.col("Date") <= train_end).agg(
         *[f(f"{c}_{n}").alias(f"{c}_{n}") for c in features for n, f in (("min", F.min), ("max", F.max))])
 

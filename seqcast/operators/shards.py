@@ -10,18 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqcast.operators.ordering import number_rows
+from seqcast.operators.ordering import number_groups, number_rows
+from seqcast.operators.windows import Cells
 
-
-def _numbered_within(keys: DataFrame, group: str, *order: str, without: Sequence[str] = ()) -> DataFrame:
-    """Position and size within each of a few groups, from one numbering of all rows.
-
-    What is broadcast has one row per group: a split or an epoch of the plan.
-    """
-    numbered = number_rows(keys, group, *order, into="_row", without=without)
-    groups = numbered.groupBy(group).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    return (numbered.join(F.broadcast(groups), group)
-            .withColumn("pos", F.col("_row") - F.col("_first")).drop("_row", "_first"))
+# Leading digits of a permutation's keys by which they are counted: 4096 even cells of an epoch.
+DIGITS = 3
 
 
 def permutation_key(seed: int, epoch: Column) -> Column:
@@ -34,24 +27,31 @@ def assign_shards(keys: DataFrame, world_size: int, batch_size: int, seed: int =
     """Rank and batch of every sample in each of ``epochs``.
 
     A sample at place ``pos`` of the epoch's permutation goes to rank ``pos % world_size``.
-    All ranks get equally many: the permutation is continued from its start until it divides,
+    Keys that repeat a symbol and date have a ``position`` to tell them apart, which is then kept; it
+    breaks ties only. All ranks get equally many: the permutation is continued from its start until it divides,
     so some samples appear again. One rank and no seed change is the single-process case.
     """
-    drawn = (keys.select("Symbol", "Date", F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"))
+    key = [c for c in ("Symbol", "Date", "position") if c in keys.columns]
+    drawn = (keys.select(*key, F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"))
              .withColumn("_order", permutation_key(seed, F.col("epoch"))))
-    placed = _numbered_within(drawn, "epoch", "_order", "Symbol", "Date", without=["_order"])
+    sizes = drawn.groupBy("epoch").agg(F.count(F.lit(1)).alias("_size"))
+    placed = number_rows(drawn, "_order", *key, cells={"digits": F.substring("_order", 1, DIGITS)}, within=["epoch"], into="pos")
+    # One row per epoch of the plan.
+    placed = placed.join(F.broadcast(sizes), "epoch")
     padded = F.ceil(F.col("_size") / world_size) * world_size
     pos = F.explode(F.sequence("pos", padded - 1, F.col("_size"))).alias("pos")
     in_rank = F.floor(F.col("pos") / world_size)
-    return placed.select("epoch", "Symbol", "Date", pos).select(
+    return placed.select("epoch", *key, pos).select(
         "epoch", (F.col("pos") % world_size).cast("int").alias("rank"), "pos",
-        F.floor(in_rank / batch_size).alias("batch"), "Symbol", "Date")
+        F.floor(in_rank / batch_size).alias("batch"), *key)
 
 
-def ordered_batches(keys: DataFrame, batch_size: int) -> DataFrame:
+def ordered_batches(keys: DataFrame, batch_size: int, cells: Cells = Cells()) -> DataFrame:
     """Batches in symbol and date order within each split, the last one short."""
-    placed = _numbered_within(keys.select("split", "Symbol", "Date"), "split", "Symbol", "Date")
-    return placed.select("split", "Symbol", "Date", "pos", F.floor(F.col("pos") / batch_size).alias("batch"))
+    key = [c for c in ("Symbol", "Date", "position") if c in keys.columns]
+    in_series = number_rows(keys.select("split", *key), *key[1:], cells=cells.columns(F.lit(0)), within=["split", "Symbol"], into="_place")
+    placed = number_groups(in_series, "Symbol", "_place", within=["split"], into="pos")
+    return placed.select("split", *key, "pos", F.floor(F.col("pos") / batch_size).alias("batch"))
 
 
 def steps_per_epoch(n_samples: int, world_size: int, batch_size: int) -> int:

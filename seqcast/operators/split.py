@@ -21,7 +21,8 @@ def date_profile(bars: DataFrame, features: Sequence[str] = ()) -> DataFrame:
     """
     ranges = [f(c).alias(f"{c}_{n}") for c in features for n, f in (("min", F.min), ("max", F.max))]
     daily = bars.groupBy("Date").agg(F.count(F.lit(1)).alias("rows"), *ranges)
-    return number_rows(daily, "Date")
+    # Dates are counted by the hour, so that a calendar of instants is not numbered in one task.
+    return number_rows(daily, "Date", cells={"hour": F.substring(F.date_format("Date", "yyyy-MM-dd HH:mm"), 1, 13)})
 
 
 def cutoffs(profile: DataFrame, train_ratio: float, val_ratio: float) -> DataFrame:
@@ -48,12 +49,6 @@ def cutoffs(profile: DataFrame, train_ratio: float, val_ratio: float) -> DataFra
              "train_end", "val_end")
 
 
-def cut_positions(n_dates: int, train_ratio: float, val_ratio: float) -> tuple[int, int]:
-    """The two positions of :func:`cutoffs` when the number of dates is at hand."""
-    train = int(n_dates * train_ratio)
-    return train, train + int(n_dates * val_ratio)
-
-
 def split_name(date: Column, train_end: Column, val_end: Column) -> Column:
     return F.when(date <= train_end, TRAIN).when(date <= val_end, VALIDATION).otherwise(TEST)
 

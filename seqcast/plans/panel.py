@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from seqcast.config import Settings
 from seqcast.operators.prepare import prepare
-from seqcast.operators.scale import scale
-from seqcast.operators.split import cut_positions, date_profile, in_split, split_name
-from seqcast.operators.windows import choose_spans, sequence_keys, sequences
+from seqcast.operators.scale import bounds_from_profile, scale
+from seqcast.operators.split import cutoffs, date_profile, in_split, split_name
+from seqcast.operators.windows import Cells, blocked, choose_cells, sequence_keys, sequences
 
 
 def _date(text: str) -> Column:
@@ -20,7 +20,7 @@ def _date(text: str) -> Column:
 
 @dataclass(frozen=True)
 class PanelFit:
-    """What one pass over the bars decides: cut-off dates, scaler bounds, the spans long series are cut by.
+    """What one pass over the bars decides: cut-off dates, scaler bounds, and how finely series are cut to be numbered.
 
     A handful of plain values whatever the size of the bars, so that everything downstream
     compares columns with literals.
@@ -30,7 +30,7 @@ class PanelFit:
     train_end: str
     val_end: str
     bounds: dict[str, tuple[float, float]]
-    spans: tuple[str, ...]
+    cells: Cells = Cells()
 
     @property
     def cuts(self) -> tuple[Column, Column]:
@@ -57,11 +57,21 @@ class Panel:
 
     def sequences(self, only: str | None = None) -> DataFrame:
         s = self.settings
-        return sequences(self.scaled(only), [f"{c}_scaled" for c in s.features], f"{s.target}_scaled",
-                         s.window, self.fit.spans)
+        return sequences(self.scaled(only), [f"{c}_scaled" for c in s.features], f"{s.target}_scaled", s.window, s.block_rows, self.fit.cells)
 
     def sequence_keys(self, only: str | None = None) -> DataFrame:
-        return sequence_keys(self.split(only), self.settings.window, self.fit.spans)
+        """Keys of the windows. Scaled values order rows of one date, as they do for the windows themselves."""
+        return sequence_keys(self.scaled(only), self.settings.window, self._values, self.fit.cells)
+
+    def blocks(self, only: str) -> DataFrame:
+        """Scaled bars of a split dealt to the blocks that need them."""
+        s = self.settings
+        return blocked(self.scaled(only).select("split", "Symbol", "Date", *self._values), s.window, s.block_rows, self.fit.cells)
+
+    @property
+    def _values(self) -> list[str]:
+        s = self.settings
+        return list(dict.fromkeys(f"{c}_scaled" for c in (*s.features, s.target)))
 
     @property
     def target_bounds(self) -> tuple[float, float]:
@@ -69,24 +79,20 @@ class Panel:
 
 
 def fit_panel(clean: DataFrame, settings: Settings) -> PanelFit:
-    """Fit on prepared bars. Reads them once; the rest works on the calendar."""
-    profile = date_profile(clean, settings.features)
-    n_dates = profile.count()
-    if not n_dates:
-        raise ValueError("no bars left to split")
-    train_pos, val_pos = cut_positions(n_dates, settings.train_ratio, settings.val_ratio)
-    position, date = F.col("position"), F.col("Date").cast("string")
-    in_train = position <= train_pos
-    found = profile.agg(
-        F.max(F.when(position == train_pos, date)).alias("train_end"),
-        F.max(F.when(position == val_pos, date)).alias("val_end"),
-        *[F.min(F.when(in_train, F.col(f"{c}_min"))).alias(f"{c}_min") for c in settings.features],
-        *[F.max(F.when(in_train, F.col(f"{c}_max"))).alias(f"{c}_max") for c in settings.features],
-    ).first()
+    """Fit on prepared bars. They are grouped by date once, and that table, a row per date, is kept for the few looks at it."""
+    profile = date_profile(clean, settings.features).persist()
+    try:
+        cuts = cutoffs(profile, settings.train_ratio, settings.val_ratio).select(
+            "n_dates", F.col("train_end").cast("string").alias("train_end"), F.col("val_end").cast("string").alias("val_end")).first()
+        if not cuts.n_dates:
+            raise ValueError("no bars left to split")
+        cells = choose_cells(profile, settings.cell_rows)
+        found = bounds_from_profile(profile, _date(cuts.train_end), settings.features).first()
+    finally:
+        profile.unpersist()
     return PanelFit(
-        n_dates=n_dates, train_end=found.train_end, val_end=found.val_end,
-        bounds={c: (float(found[f"{c}_min"]), float(found[f"{c}_max"])) for c in settings.features},
-        spans=choose_spans(profile, n_dates, settings.block_dates))
+        n_dates=cuts.n_dates, train_end=cuts.train_end, val_end=cuts.val_end,
+        bounds={c: (float(found[f"{c}_min"]), float(found[f"{c}_max"])) for c in settings.features}, cells=cells)
 
 
 def build_panel(bars: DataFrame, settings: Settings) -> Panel:

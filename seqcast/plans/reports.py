@@ -23,6 +23,11 @@ def repeat_stats(runs: DataFrame, *by: str, value: str = "training_time_seconds"
                                  F.max(v).alias("high"), F.stddev_samp(v).alias("spread"))
 
 
+def sized(runs: DataFrame) -> DataFrame:
+    """Runs with their number of processes; a single-process run, whose summary has none, counts as one."""
+    return runs.withColumn("num_processes", F.coalesce("num_processes", F.lit(1)))
+
+
 def _base_mean(means: DataFrame, label: str, base: object) -> Column:
     """The base's mean time, looked up once as a scalar."""
     return means.where(F.col(label) == F.lit(base)).select("seconds").scalar()
@@ -34,7 +39,7 @@ def _mean_seconds(runs: DataFrame, label: str) -> DataFrame:
 
 def speedup_report(runs: DataFrame, base: int = 1) -> DataFrame:
     """Mean time by world size, and how many times faster than ``base`` it is."""
-    means = _mean_seconds(runs, "num_processes")
+    means = _mean_seconds(sized(runs), "num_processes")
     speedup = _base_mean(means, "num_processes", base) / F.col("seconds")
     return means.select("num_processes", "seconds", speedup.alias("speedup"),
                         (speedup * F.lit(base) / F.col("num_processes")).alias("efficiency"))
@@ -49,6 +54,6 @@ def storage_report(runs: DataFrame, base: str, label: str = "storage") -> DataFr
 
 def accuracy_report(summaries: DataFrame) -> DataFrame:
     """Mean MAPE and RMSE by world size."""
-    return summaries.groupBy("num_processes").agg(
+    return sized(summaries).groupBy("num_processes").agg(
         F.count(F.lit(1)).alias("runs"), F.avg(f"{METRICS_FIELD}.MAPE").alias("MAPE"),
         F.avg(f"{METRICS_FIELD}.RMSE").alias("RMSE"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from seqcast.config import Settings
-from seqcast.functions.text import ARTEFACTS
+from seqcast.functions.text import ARTEFACTS, PROGRESS_LINE
 from seqcast.operators.metrics import METRICS, regression_metrics
 from seqcast.operators.split import TEST
 from seqcast.plans.panel import Panel, build_panel
@@ -21,6 +23,9 @@ from seqcast.sources.runs import (SUMMARY_SCHEMA, append_summary, curve_table, r
                                   write_table)
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class RunResult:
     model: TrainedModel
@@ -34,18 +39,28 @@ def summary_of(spark: SparkSession, model: TrainedModel, forecasts: DataFrame, f
     found = regression_metrics(forecasts)
     measured = found.select(*[F.when(F.col("n") > 0, F.col(m)).alias(m) for m in METRICS])
     return summarise(
-        measured, F.lit(model.run_type), F.lit(s.world_size), F.array(*[F.lit(x) for x in s.symbols]),
+        measured, F.lit(uuid.uuid4().hex), F.lit(model.run_type), F.lit(s.world_size), F.lit(s.storage), F.array(*[F.lit(x) for x in s.symbols]),
         F.lit(model.n_samples), F.lit(model.seconds), F.lit(model.stopped_epoch),
         F.lit(finished.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
 
 
+def _report(epochs: int):
+    """Logs the first and every tenth epoch while a run goes on."""
+    def progress(epoch: int, train_loss: float, val_loss: float | None) -> None:
+        if epoch == 1 or epoch % 10 == 0:
+            log.info(PROGRESS_LINE, epoch, epochs, train_loss, float("nan") if val_loss is None else val_loss)
+
+    return progress
+
+
 def run_panel(panel: Panel, output_dir: str | None = None, single: bool = False) -> RunResult:
     """Train, forecast the test period and measure; write three tables unless ``output_dir`` is None.
 
     The time in the summary covers the epoch loop, not reading and window building.
     """
     spark = panel.bars.sparkSession
-    model = train_single(panel) if single else train(panel)
+    progress = _report(panel.settings.epochs)
+    model = train_single(panel, progress) if single else train(panel, progress=progress)
     forecasts = forecast(panel, model.weights, TEST)
     summary = summary_of(spark, model, forecasts, datetime.now()).first()
     if output_dir is not None:

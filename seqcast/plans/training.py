@@ -1,8 +1,9 @@
-"""Data-parallel training as Spark jobs.
+"""Data-parallel training as Spark jobs over bars that stay where they are.
 
-Each optimiser step is one small job: every rank is a task that reads one packed batch and
-returns its gradient, and the driver averages the gradients and moves the weights. What
-reaches the driver per step is one gradient per rank, whatever the size of the data.
+Blocks of bars are dealt to tasks once and kept. An epoch's permutation, ranks and batches are found on keys, and only
+they move: each block is told which of its windows go into which step. A step, or ``sync_every`` of
+them, is one job. Its tasks cut the windows they need from their blocks, and what they return, a gradient
+sum or moved weights, is added up in a tree on its way to the driver, whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -18,26 +19,22 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from seqcast.config import Settings
-from seqcast.functions.lstm import Adam, Weights, from_vector, initial_weights, loss_and_gradient, to_vector, weight_shapes
+from seqcast.functions.lstm import Adam, Weights, errors_and_gradient, from_vector, initial_weights, to_vector, weight_shapes
 from seqcast.operators.shards import assign_shards, steps_per_epoch
 from seqcast.operators.split import TRAIN, VALIDATION
-from seqcast.operators.windows import float_window
+from seqcast.operators.windows import in_own_block
 from seqcast.plans.panel import Panel
-from seqcast.plans.scoring import predict_in_chunks, window_matrix
+from seqcast.plans.scoring import CHUNK, predict_in_chunks
 from seqcast.sources.ship import ship_package
 
-# A batch larger than this is worked off in pieces, whose gradients add up.
+# A task's windows of a step are worked off in pieces of this many, whose gradients add up.
 PIECE = 512
-# A step reads one partition per rank. Small batches share a partition up to this size, since
-# a task costs more than reading past a few batches ...
-PARTITION_BYTES = 1 << 20
-# ... and more do when an epoch would otherwise need more partitions than this. A step then
-# lets the scan skip what lies outside its batch, at the price of a plan of its own.
-MAX_PARTITIONS = 100_000
-# Short epochs are laid out together, as many as stay below this many partitions.
-PLANNED_PARTITIONS = 256
+# Epochs whose keys are laid out together.
+PLANNED_EPOCHS = 10
 
-PACKED = "batch bigint, x binary, y binary"
+# Bars by position as raw 32-bit floats, the first bar's position, and each pick as four 32-bit numbers:
+# epoch, step, rank, position of the target less that of the first bar.
+BLOCK = "bars binary, picks binary"
 
 
 @dataclass(frozen=True)
@@ -49,187 +46,165 @@ class TrainedModel:
     seconds: float
     stopped_epoch: int
     curve: list[tuple[int, float, float | None]] = field(default_factory=list)
+    steps: int = 0
 
 
-def _packer(n_features: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of (batch, x, y) ordered by batch, into one row of raw floats per batch."""
+def kept_blocks(panel: Panel, split: str) -> DataFrame:
+    """A row per block of a split, spread over one task per rank: ``Symbol, block, first, bars``.
 
-    def row(batch: int, xs: list[np.ndarray], ys: list[np.ndarray]) -> pa.RecordBatch:
-        cells = ([batch], [np.concatenate(xs).tobytes()], [np.concatenate(ys).tobytes()])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.binary(), pa.binary()))], names=["batch", "x", "y"])
-
-    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, xs, ys = None, [], []
-        for part in parts:
-            x = window_matrix(part.column("x"), n_features)
-            y = part.column("y").to_numpy()
-            numbers = part.column("batch").to_numpy()
-            cuts = np.flatnonzero(np.diff(numbers)) + 1
-            for number, x_piece, y_piece in zip(numbers[np.r_[0, cuts]] if len(numbers) else (),
-                                                np.split(x, cuts), np.split(y, cuts)):
-                if current is not None and number != current:
-                    yield row(current, xs, ys)
-                    xs, ys = [], []
-                current = int(number)
-                xs.append(x_piece)
-                ys.append(y_piece)
-        if xs:
-            yield row(current, xs, ys)
-
-    return pack
-
-
-def _unpacked(row: Row, window: int, n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    return (np.frombuffer(row.x, np.float32).reshape(-1, window, n_features), np.frombuffer(row.y, np.float32))
-
-
-def _windows(panel: Panel, split: str) -> DataFrame:
-    return panel.sequences(split).select(
-        "Symbol", "Date", float_window(F.col("x")).alias("x"), F.col("y").cast("float").alias("y"))
-
-
-def _kept_windows(panel: Panel, split: str) -> DataFrame:
-    """Windows spread and sorted by key, so that the join of every epoch leaves them where they are."""
-    partitions = int(panel.bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (_windows(panel, split).repartition(partitions, "Symbol", "Date").sortWithinPartitions("Symbol", "Date")
-            .persist(StorageLevel.MEMORY_AND_DISK))
-
-
-def count_keys(windows: DataFrame) -> int:
-    """Number of windows, each of which must have a key of its own."""
-    found = windows.groupBy("Symbol", "Date").count().agg(
-        F.sum("count").alias("n"), F.max("count").alias("alike")).first()
-    if found.n and found.alike > 1:
-        raise ValueError("bars must be unique by symbol and date")
-    return found.n or 0
-
-
-@dataclass(frozen=True)
-class BatchPlan:
-    """Packed batches of consecutive epochs and where to find them."""
-
-    packed: DataFrame
-    rdd: RDD
-    steps: int
-    per_partition: int
-    world_size: int
-    skip: bool
-
-    def rows(self, step: int) -> RDD:
-        """Rows to look for a step's batches in, partitioned alike for all steps."""
-        return self.packed.where(F.col("batch") == step).rdd if self.skip else self.rdd
-
-    def partitions(self, nth_epoch: int, step: int) -> list[int]:
-        first = self._slot(nth_epoch, step) * self.world_size
-        return list(range(first, first + self.world_size))
-
-    def _slot(self, nth_epoch: int, step: int) -> int:
-        return nth_epoch * -(-self.steps // self.per_partition) + step // self.per_partition
-
-
-def batches_per_partition(settings: Settings, steps: int) -> tuple[int, bool]:
-    """How many batches share a partition, and whether that is for want of partitions."""
-    batch_bytes = 4 * settings.batch_size * (settings.window * len(settings.features) + 1)
-    small_enough = max(min(steps, PARTITION_BYTES // batch_bytes), 1)
-    few_enough = -(-steps * settings.world_size // MAX_PARTITIONS)
-    return max(few_enough, small_enough), few_enough > small_enough
-
-
-def plan_batches(windows: DataFrame, settings: Settings, n_samples: int, epochs: range) -> BatchPlan:
-    """Deal the windows out to ranks and batches for each of ``epochs``.
-
-    Ranks and batches are found on keys alone. The windows then move once per epoch, straight
-    to the partition of their rank and batch.
+    ``bars`` holds the features and the target in order of position, the rows that only serve as context first.
     """
-    world = settings.world_size
-    steps = steps_per_epoch(n_samples, world, settings.batch_size)
-    per_partition, skip = batches_per_partition(settings, steps)
-    slots = -(-steps // per_partition)
-    dealt = assign_shards(windows.select("Symbol", "Date"), world, settings.batch_size, settings.seed, list(epochs))
-    slot = (F.col("epoch") - epochs.start) * slots + F.floor(F.col("batch") / per_partition)
-    packed = (dealt.join(windows, ["Symbol", "Date"])
-              .withColumn("_partition", (slot * world + F.col("rank")).cast("int"))
-              .repartitionById(len(epochs) * slots * world, F.col("_partition"))
-              .sortWithinPartitions("batch", "pos")
-              .select("batch", "x", "y")
-              .mapInArrow(_packer(len(settings.features)), PACKED)
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    return BatchPlan(packed, packed.rdd, steps, per_partition, world, skip)
-
-
-def _batch_gradient(weights: Weights, x: np.ndarray, y: np.ndarray, dropout: float,
-                    rng: np.random.Generator) -> tuple[float, np.ndarray]:
-    loss, total = 0.0, 0.0
+    s = panel.settings
+    values = [F.col(f"{c}_scaled").cast("float") for c in (*s.features, s.target)]
+    gathered = F.array_sort(F.collect_list(F.struct("position", F.array(*values).alias("bar"))))
+    return (panel.blocks(split).groupBy("Symbol", "block").agg(gathered.alias("rows"))
+            .select("Symbol", "block", F.col("rows")[0]["position"].alias("first"), F.flatten("rows.bar").alias("bars"))
+            .repartition(s.world_size, "Symbol", "block").persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def block_keys(panel: Panel, split: str) -> DataFrame:
+    """Key and block of every window."""
+    s = panel.settings
+    return (panel.blocks(split).filter((F.col("position") >= s.window) & in_own_block(s.window, s.block_rows))
+            .select("Symbol", "Date", "position", "block"))
+
+
+def _raw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks as raw numbers, a row each, the picks in order of epoch and step."""
+    for batch in batches:
+        for first, bars, picks in zip(*(batch.column(c) for c in ("first", "bars", "picks")), strict=True):
+            raw = np.empty((0, 4), np.int32)
+            if picks.is_valid:
+                epoch, step, rank, position = (picks.values.field(c).to_numpy() for c in ("epoch", "batch", "rank", "position"))
+                raw = np.stack([epoch, step, rank, position - first.as_py()], axis=1).astype(np.int32)
+                raw = raw[np.lexsort(raw.T[::-1])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c.tobytes()], pa.binary()) for c in (bars.values.to_numpy().astype(np.float32), raw)], ["bars", "picks"])
+
+
+def plan_epochs(blocks: DataFrame, keys: DataFrame, settings: Settings, epochs: range) -> RDD:
+    """Each block with the windows that it gives to the steps of ``epochs``. Blocks stay; keys move to them."""
+    dealt = assign_shards(keys.select("Symbol", "Date", "position"), settings.world_size, settings.batch_size, settings.seed, list(epochs))
+    size = max(settings.block_rows, settings.window)
+    picks = (dealt.withColumn("block", F.floor(F.col("position") / size))
+             .groupBy("Symbol", "block").agg(F.collect_list(F.struct("epoch", "batch", "rank", "position")).alias("picks")))
+    return (blocks.join(picks.repartition(settings.world_size, "Symbol", "block"), ["Symbol", "block"], "left")
+            .select("first", F.col("bars"), "picks").mapInArrow(_raw, BLOCK).rdd.persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def _bars(row: Row, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """A block's windows by the position after them, and the targets by position; both are views."""
+    bars = np.frombuffer(row.bars, np.float32).reshape(-1, len(settings.features) + 1)
+    x = np.lib.stride_tricks.sliding_window_view(bars[:, :-1], settings.window, axis=0).transpose(0, 2, 1) \
+        if len(bars) >= settings.window else np.empty((0, settings.window, len(settings.features)), np.float32)
+    return x, bars[:, -1]
+
+
+def batch_size_of(settings: Settings, n_samples: int, step: int) -> int:
+    """Windows of each rank in a step: all steps are full but the last."""
+    in_rank = -(-n_samples // settings.world_size)
+    return min(settings.batch_size, in_rank - step * settings.batch_size)
+
+
+def _gathered(rows: Iterable[Row], settings: Settings, epoch: int, steps: range) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The task's windows, targets and ranks by step. No more is held than the windows of these steps."""
+    parts: dict[int, list] = {}
+    for row in rows:
+        picks = np.frombuffer(row.picks, np.int32).reshape(-1, 4)
+        picks = picks[(picks[:, 0] == epoch) & (picks[:, 1] >= steps.start) & (picks[:, 1] < steps.stop)]
+        if len(picks):
+            x, y = _bars(row, settings)
+            for step in np.unique(picks[:, 1]):
+                at = picks[picks[:, 1] == step]
+                parts.setdefault(int(step), []).append((x[at[:, 3] - settings.window], y[at[:, 3]], at[:, 2]))
+    return {step: tuple(np.concatenate(c) for c in zip(*found, strict=True)) for step, found in parts.items()}
+
+
+def _sums(weights: Weights, x: np.ndarray, y: np.ndarray, ranks: np.ndarray, settings: Settings,
+          rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over windows of the gradient of their squared error, and sums of squared errors by rank."""
+    total, losses = np.zeros(sum(map(np.size, weights.values()))), np.zeros(settings.world_size)
     for at in range(0, len(y), PIECE):
-        share = len(y[at:at + PIECE]) / len(y)
-        part, grad = loss_and_gradient(weights, x[at:at + PIECE], y[at:at + PIECE], dropout, rng)
-        loss += share * part
-        total += share * to_vector(grad)
-    return loss, total
+        part = slice(at, at + PIECE)
+        errors, gradient = errors_and_gradient(weights, x[part], y[part], settings.dropout, rng)
+        total += len(errors) * to_vector(gradient).astype(np.float64)
+        losses += np.bincount(ranks[part], errors, settings.world_size)
+    return total, losses
 
 
-def gradient_task(vector: np.ndarray, settings: Settings, epoch: int, step: int) -> Callable:
-    """The work of one rank in one step: (loss, size, gradient) of its batch."""
-    n_features = len(settings.features)
-    shapes = weight_shapes(n_features, settings.hidden_size, settings.num_layers)
+def interval_task(vector: np.ndarray, adam: Adam, settings: Settings, n_samples: int, epoch: int, steps: range) -> Callable:
+    """One task's share of the steps of an interval, in sums that a tree can add up.
 
-    def task(rows: Iterable[Row]) -> Iterator[tuple[float, int, np.ndarray]]:
-        rank = TaskContext.get().partitionId() % settings.world_size
-        for row in rows:
-            if row.batch == step:
-                x, y = _unpacked(row, settings.window, n_features)
-                rng = np.random.default_rng((settings.seed, epoch, step, rank))
-                loss, grad = _batch_gradient(from_vector(vector, shapes), x, y, settings.dropout, rng)
-                yield loss, len(y), grad.astype(np.float32)
+    A lone step gives the task's part of the mean gradient over ranks. Several steps are taken on
+    the task's own windows and give its weights, optimiser moments and a count, to be averaged.
+    Either way the losses by step and rank come along.
+    """
+    shapes = weight_shapes(len(settings.features), settings.hidden_size, settings.num_layers)
 
-    return task
+    def task(rows: Iterable[Row]) -> Iterator[np.ndarray]:
+        found = _gathered(rows, settings, epoch, steps)
+        seeds = (settings.seed, epoch), TaskContext.get().partitionId()
+        losses = np.zeros((len(steps), settings.world_size))
+        moved, own, taken = vector, adam.at(adam.mean, adam.square, adam.steps), 0
+        gradient = np.zeros(len(vector))
+        for step in steps:
+            if step not in found:
+                continue
+            x, y, ranks = found.pop(step)
+            rng = np.random.default_rng((*seeds[0], step, seeds[1]))
+            total, by_rank = _sums(from_vector(moved, shapes), x, y, ranks, settings, rng)
+            losses[step - steps.start] = by_rank
+            if len(steps) == 1:
+                gradient = total / (settings.world_size * batch_size_of(settings, n_samples, step))
+            else:
+                moved, taken = own.step(moved, (total / len(y)).astype(np.float32)), taken + 1
+        if len(steps) == 1:
+            yield np.concatenate([gradient, losses.ravel()])
+        else:
+            # A task without windows in the interval has no say in the mean.
+            say = float(taken > 0)
+            yield np.concatenate([say * np.concatenate([moved, own.mean, own.square]), [say, say * own.steps], losses.ravel()])
 
+    return task
 
-def lone_rank_task(vector: np.ndarray, adam: Adam, settings: Settings, epoch: int) -> Callable:
-    """All steps of a partition in a row, for a single rank, which has nobody to wait for.
 
-    Returns the moved weights and optimiser, and the losses and sizes of the batches.
-    """
-    n_features = len(settings.features)
-    shapes = weight_shapes(n_features, settings.hidden_size, settings.num_layers)
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a + b
 
-    def task(rows: Iterable[Row]) -> Iterator[tuple[np.ndarray, Adam, list[float], list[int]]]:
-        moved, losses, sizes = vector, [], []
-        for row in rows:
-            x, y = _unpacked(row, settings.window, n_features)
-            rng = np.random.default_rng((settings.seed, epoch, row.batch, 0))
-            loss, grad = _batch_gradient(from_vector(moved, shapes), x, y, settings.dropout, rng)
-            moved = adam.step(moved, grad.astype(np.float32))
-            losses.append(loss)
-            sizes.append(len(y))
-        yield moved, adam, losses, sizes
 
-    return task
+def run_interval(plan: RDD, vector: np.ndarray, adam: Adam, settings: Settings, n_samples: int, epoch: int,
+                 steps: range) -> tuple[np.ndarray, Adam, np.ndarray]:
+    """Weights and optimiser after the interval, and sums of squared errors by step and rank."""
+    found = plan.mapPartitions(interval_task(vector, adam, settings, n_samples, epoch, steps)).treeReduce(_added)
+    n = len(vector)
+    if len(steps) == 1:
+        return adam.step(vector, found[:n].astype(np.float32)), adam, found[n:].reshape(1, -1)
+    mean = found[: 3 * n] / found[3 * n]
+    moved = adam.at(mean[n: 2 * n].astype(np.float32), mean[2 * n:].astype(np.float32), round(found[3 * n + 1] / found[3 * n]))
+    return mean[:n].astype(np.float32), moved, found[3 * n + 2:].reshape(len(steps), -1)
 
 
 def error_task(vector: np.ndarray, settings: Settings) -> Callable:
-    """Sum of squared errors and number of windows of a partition."""
-    n_features = len(settings.features)
-    shapes = weight_shapes(n_features, settings.hidden_size, settings.num_layers)
+    """Sum of squared errors and number of windows of a task's blocks, in chunks cut from them in order."""
+    shapes = weight_shapes(len(settings.features), settings.hidden_size, settings.num_layers)
 
-    def task(rows: Iterable[Row]) -> Iterator[tuple[float, int]]:
-        weights = from_vector(vector, shapes)
-        squares, n = 0.0, 0
+    def task(rows: Iterable[Row]) -> Iterator[np.ndarray]:
+        weights, sums = from_vector(vector, shapes), np.zeros(2)
         for row in rows:
-            x, y = _unpacked(row, settings.window, n_features)
-            squares += float(np.square(predict_in_chunks(weights, x) - y, dtype=np.float64).sum())
-            n += len(y)
-        yield squares, n
+            x, y = _bars(row, settings)
+            x, y = x[: max(0, len(y) - settings.window)], y[settings.window:]
+            for at in range(0, len(y), CHUNK):
+                p = predict_in_chunks(weights, np.ascontiguousarray(x[at: at + CHUNK]))
+                sums += np.square(p - y[at: at + CHUNK], dtype=np.float64).sum(), len(p)
+        yield sums
 
     return task
 
 
-def _validation_loss(packed: RDD, vector: np.ndarray, settings: Settings) -> float | None:
+def _validation_loss(blocks: RDD, vector: np.ndarray, settings: Settings) -> float | None:
     """Mean squared error over all validation windows, None when there are none."""
-    found = packed.context.runJob(packed, error_task(vector, settings))
-    n = sum(size for _, size in found)
-    return sum(squares for squares, _ in found) / n if n else None
+    squares, n = blocks.mapPartitions(error_task(vector, settings)).treeReduce(_added)
+    return float(squares / n) if n else None
 
 
 class EpochLoss:
@@ -252,60 +227,56 @@ class EpochLoss:
         return float((self.totals / self.counts).mean())
 
 
-def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed") -> TrainedModel:
+def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed",
+          progress: Callable[[int, float, float | None], None] | None = None) -> TrainedModel:
     """Train on the panel's train windows, ``world_size`` batches per step.
 
     ``weighting`` says how an epoch's train loss is averaged: over ranks and their batches
-    ("rank"), or over samples ("sample"). Weights and dropout depend on the seed alone.
+    ("rank"), or over samples ("sample"). ``progress`` is called with each epoch and its losses. Weights and dropout depend
+    on the seed alone.
+
+    Gradients are averaged after every step, or tasks take ``sync_every`` steps on their own windows and then average
+    their weights. One rank has nobody to average with: it takes an epoch's steps in one job, which is the same.
     """
     settings = panel.settings
     if weighting not in ("rank", "sample"):
         raise ValueError(f"no loss weighting named {weighting!r}")
-    sc = panel.bars.sparkSession.sparkContext
-    ship_package(sc)
+    ship_package(panel.bars.sparkSession.sparkContext)
     shapes = weight_shapes(len(settings.features), settings.hidden_size, settings.num_layers)
     vector = to_vector(initial_weights(len(settings.features), settings.hidden_size, settings.num_layers, settings.seed))
     adam = Adam(len(vector), settings.learning_rate)
 
-    windows = _kept_windows(panel, TRAIN)
-    validation = (_windows(panel, VALIDATION).withColumn("batch", F.lit(0).cast("bigint")).select("batch", "x", "y")
-                  .mapInArrow(_packer(len(settings.features)), PACKED).persist(StorageLevel.MEMORY_AND_DISK))
+    blocks, keys = kept_blocks(panel, TRAIN), block_keys(panel, TRAIN).persist(StorageLevel.MEMORY_AND_DISK)
+    held = kept_blocks(panel, VALIDATION).withColumn("picks", F.lit(None).cast("array<struct<epoch:int>>"))
+    validation = held.select("first", "bars", "picks").mapInArrow(_raw, BLOCK).rdd.persist(StorageLevel.MEMORY_AND_DISK)
     plan = None
     try:
-        n_samples = count_keys(windows)
+        n_samples = keys.count()
         if not n_samples:
             raise ValueError(f"no train series is longer than the window of {settings.window}")
+        blocks.count()
         validation.count()
-        val_rdd = validation.rdd
         steps = steps_per_epoch(n_samples, settings.world_size, settings.batch_size)
-        slots = -(-steps // batches_per_partition(settings, steps)[0])
-        together = max(1, PLANNED_PARTITIONS // (slots * settings.world_size))
+        interval = steps if settings.world_size == 1 else settings.sync_every
 
         started = time.time()
         curve, best, stale, epoch = [], np.inf, 0, 0
         for epoch in range(1, settings.epochs + 1):
-            nth = (epoch - 1) % together
-            if nth == 0:
+            if (epoch - 1) % PLANNED_EPOCHS == 0:
                 if plan:
-                    plan.packed.unpersist()
-                plan = plan_batches(windows, settings, n_samples,
-                                    range(epoch - 1, min(epoch - 1 + together, settings.epochs)))
+                    plan.unpersist()
+                plan = plan_epochs(blocks, keys, settings, range(epoch - 1, min(epoch - 1 + PLANNED_EPOCHS, settings.epochs)))
             seen = EpochLoss(settings.world_size, weighting)
-            if settings.world_size == 1:
-                for step in range(0, steps, plan.per_partition):
-                    (vector, adam, losses, sizes), = sc.runJob(
-                        plan.rdd, lone_rank_task(vector, adam, settings, epoch - 1), plan.partitions(nth, step))
-                    for loss, size in zip(losses, sizes):
-                        seen.add([loss], [size])
-            else:
-                for step in range(steps):
-                    found = sc.runJob(plan.rows(step), gradient_task(vector, settings, epoch - 1, step),
-                                      plan.partitions(nth, step))
-                    losses, sizes, grads = zip(*found)
-                    vector = adam.step(vector, sum(grads) / len(grads))
-                    seen.add(losses, sizes)
-            val_loss = _validation_loss(val_rdd, vector, settings)
+            for first in range(0, steps, interval):
+                part = range(first, min(first + interval, steps))
+                vector, adam, errors = run_interval(plan, vector, adam, settings, n_samples, epoch - 1, part)
+                for step, by_rank in zip(part, errors, strict=True):
+                    size = batch_size_of(settings, n_samples, step)
+                    seen.add(by_rank / size, [size] * settings.world_size)
+            val_loss = _validation_loss(validation, vector, settings)
             curve.append((epoch, seen.value, val_loss))
+            if progress:
+                progress(*curve[-1])
             if settings.patience is not None and val_loss is not None:
                 stale = 0 if val_loss < best else stale + 1
                 best = min(best, val_loss)
@@ -313,14 +284,15 @@ def train(panel: Panel, weighting: str = "rank", run_type: str = "distributed")
                     break
         seconds = time.time() - started
     finally:
-        windows.unpersist()
+        blocks.unpersist()
+        keys.unpersist()
         validation.unpersist()
         if plan:
-            plan.packed.unpersist()
-    return TrainedModel(from_vector(vector, shapes), settings, run_type, n_samples, seconds, epoch, curve)
+            plan.unpersist()
+    return TrainedModel(from_vector(vector, shapes), settings, run_type, n_samples, seconds, epoch, curve, steps * epoch)
 
 
-def train_single(panel: Panel) -> TrainedModel:
+def train_single(panel: Panel, progress: Callable[[int, float, float | None], None] | None = None) -> TrainedModel:
     """One rank, loss averaged over samples."""
     alone = Panel(panel.bars, panel.fit, panel.settings.override(world_size=1))
-    return train(alone, weighting="sample", run_type="standalone")
+    return train(alone, weighting="sample", run_type="standalone", progress=progress)

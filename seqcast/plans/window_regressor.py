@@ -21,12 +21,12 @@ def _vectors(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("x", array_to_vector(flat_features(F.col("x"))))
 
 
-def fit_window_regressor(panel: Panel) -> LinearRegressionModel:
+def fit_window_regressor(panel: Panel, ridge: float = RIDGE) -> LinearRegressionModel:
     """Fit by normal equations, which sum a matrix as wide as the window.
 
     The fit reads its input more than once, so the windows are kept meanwhile.
     """
-    regressor = LinearRegression(featuresCol="x", labelCol="y", predictionCol="p", solver="normal", regParam=RIDGE)
+    regressor = LinearRegression(featuresCol="x", labelCol="y", predictionCol="p", solver="normal", regParam=ridge)
     rows = _vectors(panel.sequences(TRAIN)).select("x", "y").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return regressor.fit(rows)

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqcast.functions.lstm import Weights, weight_shapes
-from seqcast.functions.text import run_name
+from seqcast.functions.text import run_id, run_name
 from seqcast.operators.metrics import METRICS
 
 WEIGHTS_SCHEMA = "run_id string, name string, shape array<int>, values array<double>"
 CURVE_SCHEMA = "run_id string, epoch int, train_loss double, val_loss double"
 METRICS_FIELD = "aggregate_performance_metrics"
 SUMMARY_SCHEMA = (
-    "run_id string, run_type string, num_processes int, stocks_analyzed array<string>, "
+    "run_id string, run_name string, run_type string, num_processes int, storage string, stocks_analyzed array<string>, "
     "total_training_samples bigint, training_time_seconds double, stopped_at_epoch int, "
     f"{METRICS_FIELD} struct<{', '.join(f'{m}: double' for m in METRICS)}>"
 )
@@ -38,6 +38,7 @@ def weights_from_table(table: DataFrame, n_features: int, hidden: int, layers: i
 
 
 def parameter_counts(table: DataFrame) -> DataFrame:
+    """How many numbers each run's model has."""
     return table.groupBy("run_id").agg(F.sum(F.size("values")).alias("n_parameters"))
 
 
@@ -45,18 +46,20 @@ def curve_table(spark: SparkSession, curve: list[tuple[int, float, float | None]
     return spark.createDataFrame([(run_id, *point) for point in curve], CURVE_SCHEMA)
 
 
-def summarise(runs: DataFrame, run_type: Column, world_size: Column, symbols: Column, n_samples: Column,
-              seconds: Column, stopped_epoch: Column, finished: Column) -> DataFrame:
+def summarise(runs: DataFrame, unique: Column, run_type: Column, world_size: Column, storage: Column, symbols: Column,
+              n_samples: Column, seconds: Column, stopped_epoch: Column, finished: Column) -> DataFrame:
     """Run summaries from a table with one row per run and its four metrics.
 
     Metrics are rounded to four places and times to two. World size and last epoch are a
-    distributed run's only.
+    distributed run's only. ``unique`` tells runs of one name apart.
     """
     distributed = run_type == "distributed"
+    name = run_name(run_type, world_size, F.size(symbols), finished)
     return runs.select(
-        run_name(run_type, world_size, F.size(symbols), finished).alias("run_id"),
+        run_id(name, unique).alias("run_id"), name.alias("run_name"),
         run_type.alias("run_type"),
         F.when(distributed, world_size).cast("int").alias("num_processes"),
+        storage.alias("storage"),
         symbols.alias("stocks_analyzed"),
         n_samples.cast("bigint").alias("total_training_samples"),
         F.round(seconds, 2).alias("training_time_seconds"),
@@ -73,9 +76,8 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(table: DataFrame, path: str) -> None:
-    """Weights and curves: parquet, one folder per run. A run of the same name is replaced."""
-    (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id").parquet(path))
+    """Weights and curves: parquet, one folder per run. Nothing that is there is replaced."""
+    table.write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str, run_id: str | None = None) -> DataFrame:

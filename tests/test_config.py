@@ -31,3 +31,11 @@ def test_paths_join_on_any_filesystem():
 def test_impossible_settings_are_refused(bad):
     with pytest.raises(ValueError):
         Settings(**bad)
+
+
+def test_values_are_checked_by_kind():
+    assert Settings.from_mapping({"symbols": "AES", "learning_rate": 1}).symbols == ("AES",)
+    assert Settings(learning_rate=1).learning_rate == 1.0
+    for bad in ({"symbols": 3}, {"symbols": []}, {"window": "60"}, {"window": True}, {"dropout": "0.1"}, {"patience": 1.5}, {"data_dir": 1}):
+        with pytest.raises(ValueError):
+            Settings.from_mapping(bad)

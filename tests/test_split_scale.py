@@ -1,16 +1,15 @@
 import numpy as np
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import data_dir
 from checks.stand_in import SETTINGS, daily_bars, daily_panel
 from panels import bars, settings
-from seqcast.operators.ordering import number_rows
+from seqcast.operators.ordering import number_groups, number_rows
 from seqcast.operators.prepare import parse_dates, prepare, sort_bars
-from seqcast.operators.scale import bounds_from_profile, fit_bounds, narrowed, scale, unscale
-from seqcast.operators.split import cut_positions, cutoffs, date_profile
+from seqcast.operators.scale import bounds_from_profile, narrowed, scale, unscale
+from seqcast.operators.shards import assign_shards, ordered_batches
+from seqcast.operators.split import cutoffs, date_profile
 from seqcast.plans.panel import build_panel
 
 # Known values of the stand-in bars.
@@ -56,36 +55,34 @@ def test_splits_are_disjoint_and_ordered(spark):
     assert ends["train"][1] < ends["val"][0] <= ends["val"][1] < ends["test"][0]
 
 
-@given(st.integers(1, 10**7), st.sampled_from([0.5, 0.6, 0.7, 0.8]), st.sampled_from([0.05, 0.1, 0.15]))
-def test_cut_positions_leave_a_test_period(n, train, val):
-    t, v = cut_positions(n, train, val)
-    assert 0 <= t <= v < n
-
-
-def test_spark_and_python_cut_positions_agree(spark):
-    n = spark.range(1, 3001).select(F.col("id"), F.floor(F.col("id") * F.lit(0.8)).alias("t"),
-                                    F.floor(F.col("id") * F.lit(0.1)).alias("v")).collect()
-    assert all(cut_positions(r.id, 0.8, 0.1) == (r.t, r.t + r.v) for r in n)
-
-
 @pytest.mark.parametrize("n, groups", [(5000, 3), (1, 1)])
 def test_numbering_follows_the_order(spark, n, groups):
     df = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), (F.col("id") % groups).alias("g")).repartition(6)
-    rows = sorted(number_rows(df, "g", "v").collect(), key=lambda r: r.position)
+    numbered = number_rows(df, "v", cells={"part": F.floor(F.col("v") / 100)}, within=["g"], into="place")
+    rows = sorted(number_groups(numbered, "g", "place").collect(), key=lambda r: r.position)
     assert [r.position for r in rows] == list(range(n))
     assert [(r.g, r.v) for r in rows] == sorted((r.g, r.v) for r in rows)
 
 
-def test_numbering_over_many_ranges(spark):
-    """Ranges too large to be joined into one, so that offsets matter."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+def test_numbering_does_not_depend_on_how_rows_lie(spark):
+    """Of a kept table, too, whose two passes are planned apart."""
+    df = spark.range(1000).select((F.col("id") * 337 % 1000).alias("v")).repartition(5).persist()
+    numbered = number_rows(df, "v", cells={"part": F.floor(F.col("v") / 7)})
+    assert numbered.where(F.col("v") != F.col("position")).isEmpty() and numbered.count() == 1000
+    df.unpersist()
+
+
+def test_building_a_plan_runs_nothing(spark):
+    panel = daily_panel(spark, data_dir("0.001"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
     try:
-        df = spark.range(1000).select((F.col("id") * 337 % 1000).alias("v"))
-        numbered = number_rows(df, "v")
-        assert numbered.where(F.col("v") != F.col("position")).isEmpty()
-        assert numbered.count() == 1000
+        ordered_batches(panel.sequence_keys(), 8)
+        assign_shards(panel.sequence_keys("train"), 2, 8)
+        panel.sequences()
+        assert not tracker.getJobIdsForGroup("building")
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_bounds_from_the_calendar_equal_those_from_the_rows(spark):
@@ -93,7 +90,8 @@ def test_bounds_from_the_calendar_equal_those_from_the_rows(spark):
     clean = prepare(raw, settings())
     end = F.lit("2020-01-20").cast("timestamp_ntz")
     by_date = bounds_from_profile(date_profile(clean, settings().features), end, settings().features)
-    by_row = fit_bounds(clean.where(F.col("Date") <= end), settings().features)
+    train = clean.where(F.col("Date") <= end)
+    by_row = train.agg(*[f(c).alias(f"{c}_{n}") for c in settings().features for n, f in (("min", F.min), ("max", F.max))])
     assert by_date.collect() == by_row.collect()
 
 
@@ -132,6 +130,28 @@ def test_dates(spark):
         parse_dates(df).collect()
 
 
+@pytest.mark.parametrize("text, pattern", [("01/04/2010", "MM/dd/yyyy"), ("20100104", "yyyyMMdd"), ("Jan 4, 2010", "MMM d, yyyy")])
+@pytest.mark.parametrize("lenient", [False, True])
+def test_dates_by_format(spark, text, pattern, lenient):
+    df = spark.createDataFrame([(text,)], "Date string")
+    assert [str(r.Date) for r in parse_dates(df, lenient, pattern).collect()] == ["2010-01-04 00:00:00"]
+    timed = spark.createDataFrame([(f"{text} 13:05",)], "Date string")
+    assert [str(r.Date) for r in parse_dates(timed, lenient, f"{pattern} HH:mm").collect()] == ["2010-01-04 13:05:00"]
+
+
+def test_the_session_zone_changes_nothing(spark):
+    """Instants in the hour that New York's clocks show twice, among others."""
+    instants = spark.range(8).select(F.timestamp_seconds(F.lit(1604203200) + F.col("id") * 1800).alias("Date"))
+    found = []
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.append([[str(r[0]) for r in parse_dates(instants, time_zone=z).select(F.col("Date").cast("string")).orderBy("Date").collect()]
+                      for z in ("UTC", "Asia/Tokyo")])
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found[0] == found[1] == found[2]
+    assert found[0][0][0] == "2020-11-01 04:00:00" and found[0][1][0] == "2020-11-01 13:00:00"
+
+
 def test_sorting(spark):
     raw, pdf = bars(spark, {"B": 5, "A": 4})
     got = [(r.Symbol, r.Date) for r in sort_bars(raw.repartition(3)).collect()]

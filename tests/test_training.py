@@ -1,5 +1,6 @@
 import json
 import math
+import os
 from datetime import datetime
 
 import numpy as np
@@ -13,8 +14,9 @@ from seqcast.functions.lstm import (Adam, from_vector, initial_weights, loss_and
                                     weight_shapes)
 from seqcast.operators.shards import assign_shards
 from seqcast.operators.windows import float_window
-from seqcast.plans import training, window_regressor
-from seqcast.plans.panel import build_panel
+from seqcast.plans import training
+from seqcast.plans.panel import Panel, build_panel
+from seqcast.plans.reports import accuracy_report, speedup_report, storage_report
 from seqcast.plans.run import run, run_panel, run_repeatedly
 from seqcast.plans.scoring import forecast, score
 from seqcast.plans.training import EpochLoss, train, train_single
@@ -133,30 +135,68 @@ def test_training_lowers_the_loss_and_repeats(spark, panel):
 
 
 def test_layout_does_not_change_the_result(spark, panel, monkeypatch):
-    usual = train(panel)
-    monkeypatch.setattr(training, "PARTITION_BYTES", 1)
-    monkeypatch.setattr(training, "PLANNED_PARTITIONS", 1)
-    assert np.array_equal(to_vector(train(panel).weights), to_vector(usual.weights))
-    assert training.batches_per_partition(panel.settings, 8) == (1, False)
-    monkeypatch.setattr(training, "MAX_PARTITIONS", 2)
-    assert training.batches_per_partition(panel.settings, 8) == (8, True)
-    assert np.array_equal(to_vector(train(panel).weights), to_vector(usual.weights))
-
-
-def test_a_step_skips_the_batches_of_others(spark, panel, monkeypatch, capsys):
-    monkeypatch.setattr(training, "PARTITION_BYTES", 1)
-    monkeypatch.setattr(training, "MAX_PARTITIONS", 2)
-    windows = training._kept_windows(panel, "train")
-    n = training.count_keys(windows)
-    plan = training.plan_batches(windows, panel.settings, n, range(0, 1))
-    assert plan.skip and plan.rdd.getNumPartitions() == plan.rows(3).getNumPartitions() == 2
-    found = spark.sparkContext.runJob(plan.rows(3), lambda rows: [r.batch for r in rows], plan.partitions(0, 3))
-    assert found == [3, 3]
-    plan.packed.where("batch = 3").explain("formatted")
-    assert "batch" in next(line for line in capsys.readouterr().out.splitlines() if "InMemoryTableScan" not in line
-                           and line.startswith("Arguments: [batch"))
-    plan.packed.unpersist()
-    windows.unpersist()
+    """Dropout is drawn by task, so it is off; what is left is the order of sums."""
+    def moved(**changes):
+        return to_vector(train(type(panel)(panel.bars, panel.fit, panel.settings.override(dropout=0.0, **changes))).weights)
+    usual = moved()
+    monkeypatch.setattr(training, "PLANNED_EPOCHS", 1)
+    assert np.allclose(moved(), usual, atol=1e-5)
+    assert np.allclose(moved(block_rows=7), usual, atol=1e-5)
+
+
+def test_one_rank_takes_an_epoch_in_one_job_or_a_job_per_step(spark, panel):
+    alone = panel.settings.override(world_size=1, dropout=0.0, epochs=1)
+    one = Panel(panel.bars, panel.fit, alone)
+    blocks, keys = training.kept_blocks(one, "train"), training.block_keys(one, "train")
+    n = keys.count()
+    plan = training.plan_epochs(blocks, keys, alone, range(1))
+    steps = training.steps_per_epoch(n, 1, alone.batch_size)
+    start = to_vector(initial_weights(5, alone.hidden_size, alone.num_layers, 0))
+    together, _, losses = training.run_interval(plan, start, Adam(len(start), 0.01), alone, n, 0, range(steps))
+    vector, adam, seen = start, Adam(len(start), 0.01), []
+    for step in range(steps):
+        vector, adam, found = training.run_interval(plan, vector, adam, alone, n, 0, range(step, step + 1))
+        seen.append(found[0])
+    assert steps > 2 and np.allclose(vector, together, atol=1e-5) and np.allclose(losses, seen, rtol=1e-4)
+    blocks.unpersist()
+    plan.unpersist()
+
+
+def test_ranks_average_weights_every_few_steps(spark, panel):
+    settings_of = panel.settings.override(sync_every=3, epochs=4)
+    first, again = (train(Panel(panel.bars, panel.fit, settings_of)) for _ in range(2))
+    assert first.curve == again.curve and first.curve[-1][1] < first.curve[0][1]
+
+
+def test_a_step_moves_keys_and_bars_only(spark, panel):
+    """The exchanges of a plan carry keys, single bars and blocks; no array of windows is moved or kept."""
+    blocks, keys = training.kept_blocks(panel, "train"), training.block_keys(panel, "train")
+    dealt = assign_shards(keys.select("Symbol", "Date", "position"), 2, 16, 0, [0])
+    assert {t for _, t in dealt.dtypes} <= {"int", "bigint", "string", "timestamp_ntz"}
+    rows = blocks.collect()
+    assert sum(len(r.bars) for r in rows) <= 6 * (panel.split("train").count() + len(rows) * panel.settings.window)
+    blocks.unpersist()
+
+
+def test_blocks_bound_what_a_row_holds(spark):
+    raw, _ = bars(spark, {"A": 900})
+    s = settings(block_rows=50, world_size=1)
+    panel = build_panel(raw.coalesce(1), s)
+    for split in ("train", "val"):
+        blocks = training.kept_blocks(panel, split)
+        assert max(len(r.bars) for r in blocks.collect()) <= 6 * (50 + s.window)
+        blocks.unpersist()
+    assert training.kept_blocks(panel, "train").count() > 10
+    spark.catalog.clearCache()
+
+
+def test_training_leaves_the_shared_folder_empty(spark, panel, tmp_path):
+    def files():
+        folder = spark.sparkContext.getCheckpointDir()
+        return set(os.listdir(folder.removeprefix("file:"))) if folder else set()
+    before = files()
+    train(panel)
+    assert files() == before
 
 
 def test_lone_rank_takes_the_steps_of_the_general_path(spark, panel):
@@ -185,12 +225,14 @@ def test_lone_rank_takes_the_steps_of_the_general_path(spark, panel):
 
 def test_large_batches_are_worked_off_in_pieces(monkeypatch):
     rng = np.random.default_rng(0)
-    weights = initial_weights(5, 3, 2, 0)
-    x, y = rng.random((50, 4, 5), np.float32), rng.random(50, np.float32)
-    loss, grad = training._batch_gradient(weights, x, y, 0.0, rng)
+    weights, s = initial_weights(5, 3, 2, 0), settings(world_size=2, dropout=0.0)
+    x, y, ranks = rng.random((50, 4, 5), np.float32), rng.random(50, np.float32), np.arange(50) % 2
+    total, losses = training._sums(weights, x, y, ranks, s, rng)
     monkeypatch.setattr(training, "PIECE", 7)
-    loss_in_pieces, in_pieces = training._batch_gradient(weights, x, y, 0.0, rng)
-    assert loss_in_pieces == pytest.approx(loss) and np.allclose(in_pieces, grad, atol=1e-6)
+    in_pieces, by_rank = training._sums(weights, x, y, ranks, s, rng)
+    assert by_rank == pytest.approx(losses) and np.allclose(in_pieces, total, atol=1e-4)
+    whole, gradient = loss_and_gradient(weights, x, y)
+    assert losses.sum() / 50 == pytest.approx(whole) and np.allclose(total / 50, to_vector(gradient), atol=1e-5)
 
 
 def test_validation_is_optional(spark):
@@ -199,27 +241,54 @@ def test_validation_is_optional(spark):
     assert train(short).curve[0][2] is None
 
 
-def test_a_bar_that_occurs_twice_is_refused(spark):
+def test_bars_that_repeat_a_date_are_kept(spark):
+    """They are samples of their own, ordered by a hash of their values, wherever windows are made."""
     raw, _ = bars(spark, {"A": 60})
-    with pytest.raises(ValueError, match="unique"):
-        train(build_panel(raw.union(raw.limit(40)), settings()))
+    twice = raw.union(raw.limit(40)).union(raw.limit(20).withColumn("Close", F.col("Close") + 1))
+    panel = build_panel(twice, settings(epochs=1))
+    rows = panel.split("train").count()
+    assert train(panel).n_samples == rows - 4 == panel.sequences("train").count() == panel.sequence_keys("train").count()
+    values = sorted((r.position, r.y) for r in panel.sequences("train").collect())
+    again = build_panel(twice.repartition(7), settings(epochs=1))
+    assert values == sorted((r.position, r.y) for r in again.sequences("train").collect())
 
 
 def test_runs_of_the_same_minute(spark, tmp_path):
-    """Summaries add up; weights and curve are those of the later run."""
+    """Nothing is replaced: each run has an id, a model, a curve and a summary."""
     _, pdf = bars(spark, {"A": 80})
     pdf.to_csv(tmp_path / "bars.csv", index=False)
     s = settings(data_dir=str(tmp_path), bars_file="bars.csv", output_dir=str(tmp_path / "out"), symbols=("A",),
                  world_size=1, batch_size=32, epochs=1)
     stats = run_repeatedly(spark, s, 3).collect()
     assert [(r.run_type, r.num_processes, r.runs) for r in stats] == [("distributed", 1, 3)]
-    names = {r.run_id for r in read_summaries(spark, f"{s.output_dir}/risultati").collect()}
-    for name in names:
-        assert read_table(spark, f"{s.output_dir}/grafico_loss", CURVE_SCHEMA, name).count() == 1
-        assert read_table(spark, f"{s.output_dir}/modello", WEIGHTS_SCHEMA, name).count() == 10
+    ids = {r.run_id for r in read_summaries(spark, f"{s.output_dir}/risultati").collect()}
+    assert len(ids) == 3
+    for one in ids:
+        assert read_table(spark, f"{s.output_dir}/grafico_loss", CURVE_SCHEMA, one).count() == 1
+        assert read_table(spark, f"{s.output_dir}/modello", WEIGHTS_SCHEMA, one).count() == 10
     assert run_repeatedly(spark, s.override(bars_file="none.csv"), 3, single=True) is None
 
 
+def test_reports_on_runs_as_they_are_logged(spark, tmp_path):
+    _, pdf = bars(spark, {"A": 80})
+    pdf.to_csv(tmp_path / "bars.csv", index=False)
+    s = settings(data_dir=str(tmp_path), bars_file="bars.csv", output_dir=str(tmp_path / "out"), symbols=("A",),
+                 world_size=2, batch_size=16, epochs=1)
+    run(spark, s, single=True)
+    run(spark, s)
+    run(spark, s.override(storage="hdfs"))
+    log = read_summaries(spark, f"{s.output_dir}/risultati")
+    assert {r.num_processes: r.speedup is not None for r in speedup_report(log).collect()} == {1: True, 2: True}
+    assert {r.storage for r in storage_report(log, "local").collect()} == {"local", "hdfs"}
+    assert {r.num_processes: r.runs for r in accuracy_report(log).collect()} == {1: 1, 2: 2}
+
+
+def test_progress_is_told_during_a_run(spark, panel, caplog):
+    with caplog.at_level("INFO", "seqcast.plans.run"):
+        run_panel(panel)
+    assert [r.message[:15] for r in caplog.records] == ["Epoch [001/3] -"]
+
+
 def test_no_series_is_long_enough(spark):
     raw, _ = bars(spark, {"A": 20})
     with pytest.raises(ValueError, match="longer than the window"):
@@ -295,9 +364,8 @@ def test_a_test_period_without_windows_has_no_metrics(spark):
     assert result.summary.aggregate_performance_metrics.asDict() == dict.fromkeys(("MSE", "RMSE", "MAE", "MAPE"))
 
 
-def test_window_regressor_equals_least_squares(spark, panel, monkeypatch):
-    monkeypatch.setattr(window_regressor, "RIDGE", 0.0)
-    model = fit_window_regressor(panel)
+def test_window_regressor_equals_least_squares(spark, panel):
+    model = fit_window_regressor(panel, ridge=0.0)
     rows = panel.sequences("train").collect()
     x = np.array([np.ravel(r.x) for r in rows])
     design = np.c_[x, np.ones(len(x))]
