@@ -8,9 +8,8 @@ from functools import cached_property
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcast.llm.components import connected_components
@@ -20,10 +19,15 @@ from seqcast.sources.ship import ship_package
 
 # Ratio of the largest to the smallest set of a band.
 BAND = 1.5
-# Documents compared with one hub in one task.
-CHUNK = 64
-# Ids that may be broadcast to read the texts behind candidate pairs; beyond that the texts are joined by shuffle.
+# Shingles of the documents that meet in one task; a larger group is cut into chunks that meet in pairs.
+MOST_SHINGLES = 400_000
+# Columns of a product of sets at a time.
+SLICE = 4096
+# Ids that may be broadcast to read the texts behind candidate groups; beyond that the texts are joined by shuffle.
 MOST_BROADCAST_IDS = 1_000_000
+# Documents in which common shingles are looked for, and in how many of them such a one is found.
+SAMPLED = 2_000
+COMMON = 5
 
 SIGNED = "doc_id long, n long, d1 long, d2 long, sigs array<long>, weak array<int>"
 
@@ -58,12 +62,32 @@ class Similarity:
 
 def _cell_sums(elements: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """The partitions of the domain that hold elements, and a hash of what each holds. ``elements`` are sorted hashes."""
+    if not len(elements):
+        return elements.astype(np.int64), elements
     cell = ((elements >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
     return cell[starts], np.add.reduceat(mix(elements), starts)
 
 
-def signatures(elements: np.ndarray, like: Similarity, seed: int = 0) -> tuple[np.ndarray, list[int]]:
+def _band_signatures(elements: np.ndarray, n: int, like: Similarity, band: int, most: int, salt: np.uint64) -> tuple[np.ndarray, bool]:
+    """Signatures of a set of ``n`` elements in one band from those of its elements that are given, and whether these are too few."""
+    bound = like.differences(2 * most)
+    if bound <= 3:
+        parts = (0, 6, 7, 7)[bound]
+        cells, sums = _cell_sums(elements, parts)
+        held = dict(zip(cells.tolist(), sums.tolist(), strict=True))
+        out = []
+        for number, left_out in enumerate(combinations(range(parts), bound)):
+            kept = [s for c, s in held.items() if c not in left_out]
+            if kept:
+                out.append((sum(kept) + int(salt) * (number + 11)) & 0xFFFFFFFFFFFFFFFF)
+        return mix(np.array(out, np.uint64)), len(cells) <= bound
+    cells, sums = _cell_sums(elements, bound + 5 + bound // 6)
+    own = like.differences(n + min(most, like.largest_partner(n)))
+    return mix(sums[: own + 1] + mix(cells[: own + 1].astype(np.uint64) + salt * np.uint64(97))), len(cells) <= own
+
+
+def signatures(elements: np.ndarray, like: Similarity, common: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, list[int]]:
     """PartEnum signatures of a set (sorted 64-bit hashes), and the bands in which they may not be enough.
 
     Linked sets meet in the band of the larger one. There they differ in at most k elements, so
@@ -71,41 +95,39 @@ def signatures(elements: np.ndarray, like: Similarity, seed: int = 0) -> tuple[n
 
     For k up to 3 the domain has 6 or 7 partitions and every subset that leaves out k of them gives a
     signature: the subset without the differing partitions is equal in both sets. For larger k
-    there are more than k partitions and each subset is a single one; as sets that differ in k partitions
-    must agree on one of the first k + 1 that are not empty, in either set's order, only those are
-    emitted. An empty subset gives no signature, for all sets share it. A set that fills too few
-    partitions for the argument to hold (a chance of about one in 100,000 for small sets, far
-    less for others) names the band as weak; see ``_signed``.
+    there are more than k partitions and each subset is a single one. A set that fills more than k partitions
+    emits the first k + 1 of them, one that fills fewer all: of the first set's k + 1 at least one is the same in
+    the other, which has it among its own first or among all. An empty subset gives no signature, for all sets share it.
+
+    The argument holds in any part of the domain, as sets differ there in no more elements. So ``common`` elements
+    are left out first, and a passage that many documents share brings none of them together. A set that then
+    fills too few partitions is signed over the whole domain too, where two such sets meet. If even there it fills too
+    few (a chance of about one in 100,000 for small sets, far less for others), the band is named as weak; see ``_sign_all``.
     """
     n = len(elements)
+    if common is not None and len(common) and n:
+        at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+        rare = elements[common[at] != elements]
+    else:
+        rare = elements
     if seed:
-        elements = np.sort(mix(elements + np.uint64(seed)))
+        elements, rare = (np.sort(mix(e + np.uint64(seed))) for e in (elements, rare))
     out, weak = [], []
     for band, most in like.bands(n):
-        bound = like.differences(2 * most)
-        salt = np.uint64(band * 1_000_003 + seed * 7_919 + 1)
-        if bound == 0:
+        if like.differences(2 * most) == 0:
             continue  # only equal sets
-        if bound <= 3:
-            parts = (0, 6, 7, 7)[bound]
-            cells, sums = _cell_sums(elements, parts)
-            if len(cells) <= bound:
-                weak.append(band)
-            held = dict(zip(cells.tolist(), sums, strict=True))
-            for number, left_out in enumerate(combinations(range(parts), bound)):
-                kept = [s for c, s in held.items() if c not in left_out]
-                if kept:
-                    out.append(mix(np.array([np.sum(kept, dtype=np.uint64) + salt * np.uint64(number + 11)], np.uint64)))
-        else:
-            cells, sums = _cell_sums(elements, bound + 5 + bound // 6)
-            own = like.differences(n + min(most, like.largest_partner(n)))
-            if len(cells) <= own:
-                weak.append(band)
-            out.append(mix(sums[: own + 1] + mix(cells[: own + 1].astype(np.uint64) + salt * np.uint64(97))))
+        salt = np.uint64(band * 1_000_003 + seed * 7_919 + 1)
+        sigs, few = _band_signatures(rare, n, like, band, most, salt)
+        out.append(sigs)
+        if few and len(rare) < n:
+            sigs, few = _band_signatures(elements, n, like, band, most, salt + np.uint64(500_009))
+            out.append(sigs)
+        if few:
+            weak.append(band)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), weak
 
 
-def _signed(like: Similarity, seed: int, only: frozenset[int] | None):
+def _signed(like: Similarity, common, seed: int, only: frozenset[int] | None):
     """Sets and signatures of documents; a set seen before in the task is not signed again."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +146,7 @@ def _signed(like: Similarity, seed: int, only: frozenset[int] | None):
                     if key in seen or (only is not None and not any(b in only for b, _ in like.bands(len(e)))):
                         continue
                     seen.add(key)
-                    sigs[i], weak[i] = signatures(e, like, seed)
+                    sigs[i], weak[i] = signatures(e, like, common.value, seed)
                 ends = np.cumsum([0, *map(len, sigs)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)),
@@ -135,68 +157,141 @@ def _signed(like: Similarity, seed: int, only: frozenset[int] | None):
     return task
 
 
+def _shingled(like: Similarity):
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for e in shingle_sets(*word_hashes(*texts_of(part.column("text")), lower=True), like.words):
+                    yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64))], ["element"])
+
+    return task
+
+
+def common_shingles(docs: DataFrame, like: Similarity, sampled: int = SAMPLED, common: int = COMMON) -> np.ndarray:
+    """Shingles that stand in at least ``common`` of at most ``sampled`` documents (the smallest hashes of ids), sorted.
+
+    Which they are changes how many signatures meet in vain and nothing else: any set of shingles gives the same links.
+    There are fewer than the sample's shingles divided by ``common``.
+    """
+    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sampled).distinct()
+    counted = (docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_shingled(like), "element long")
+               .groupBy("element").count().filter(F.col("count") >= common).select("element").toPandas())
+    return np.sort(counted["element"].to_numpy(np.int64).view(np.uint64))
+
+
+class Forest:
+    """Links found so far among the rows of a group, as a forest."""
+
+    def __init__(self, n: int) -> None:
+        self.parent, self.links = list(range(n)), []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.links.append((i, j))
+
+
+def group_links(sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
+    """Links between sets that connect all that are connected by links; every pair is compared.
+
+    Intersections are products of rows that say which elements a set has, over the elements that two sets or more have, a
+    slice of them at a time.
+    """
+    forest = Forest(len(sets))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if 100 * both >= like.percent * (sizes.sum() - both) else []
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    times = np.bincount(code, minlength=len(every))
+    number = np.cumsum(times > 1) - 1
+    row, code = row[times[code] > 1], number[code[times[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE):
+        a, b = np.searchsorted(code, [start, start + SLICE])
+        has = np.zeros((len(sets), SLICE), np.float32)
+        has[row[a:b], code[a:b] - start] = 1
+        both += has @ has.T
+    both = both.astype(np.int64)
+    found = 100 * both >= like.percent * (sizes[:, None] + sizes - both)
+    for i, j in zip(*np.nonzero(np.triu(found, 1)), strict=True):
+        forest.join(int(i), int(j))
+    return forest.links
+
+
 def _compare(like: Similarity):
-    """Compare the texts of one hub with the hub's own, by the sets' elements."""
+    """Links within the groups that a task has, whose rows come one group after the other."""
 
-    def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        texts = pa.array(rows["text"], pa.binary())
-        sets = list(shingle_sets(*word_hashes(*texts_of(texts), lower=True), like.words))
-        is_hub = rows["node"].isna().to_numpy()
-        hubs = [s for s, h in zip(sets, is_hub, strict=True) if h]
-        out = []
-        for node, s, h in zip(rows["node"], sets, is_hub, strict=True):
-            if not h:
-                for hub in hubs:
-                    both = len(np.intersect1d(hub, s, assume_unique=True))
-                    out.append((key[0], int(node), both, len(hub) + len(s) - both))
-        return pd.DataFrame(out, columns=["a", "b", "both", "either"])
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = group_links(sets, like) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                each = shingle_sets(*word_hashes(*texts_of(part.column("text")), lower=True), like.words)
+                keys = zip(*(part.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True)
+                for now, node, elements in zip(keys, part.column("id").to_pylist(), each, strict=True):
+                    if now != key:
+                        yield links()
+                        key, nodes, sets = now, [], []
+                    nodes.append(node)
+                    sets.append(elements)
+        yield links()
 
     return task
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, like: Similarity, name: str) -> DataFrame:
-    """``a, b, both, either`` of each candidate pair, from whole texts.
+def _verified(groups: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
+    """``a, b``: links among the members of each group of ``groups(hub, node, n)``, enough to connect what links connect.
 
-    The pairs of one ``a`` go to tasks by ``CHUNK``, each with that document's text once. Texts are read
-    again from the documents; the ids wanted are broadcast if there are few of them, else joined by shuffle.
+    Texts are read again from the documents; the ids wanted are broadcast if there are few of them, else joined by shuffle. A
+    group with many shingles is cut into chunks, and each pair of chunks meets in a task, so that no
+    task holds more than twice ``MOST_SHINGLES`` or so.
     """
-    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = written(groups.select(F.col("node").alias("id")).distinct(), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
     texts = docs.join(side, docs["doc_id"] == side["id"]).select("id", "text")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
-    nodes = dealt.join(texts, F.col("b") == F.col("id")).select("a", "chunk", F.col("b").alias("node"), "text")
-    hubs = (dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("id"))
-            .select("a", "chunk", F.lit(None).cast("long").alias("node"), "text"))
-    compared = nodes.union(hubs).groupBy("a", "chunk").applyInPandas(_compare(like), "a long, b long, both long, either long")
-    # An id that repeats has several texts; its best counts.
-    return written(compared.groupBy("a", "b").agg(F.max(F.struct(F.col("both") / F.col("either"), "both", "either")).alias("m"))
-                   .select("a", "b", "m.both", "m.either"), name)
-
-
-def _links(verified: DataFrame, like: Similarity) -> Column:
-    return verified["both"] * 100 >= verified["either"] * like.percent
+    chunks = groups.groupBy("hub").agg(F.ceil(F.sum("n") / MOST_SHINGLES).alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    dealt = (groups.join(chunks, "hub").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+             .select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"))
+    rows = dealt.join(texts, F.col("node") == F.col("id")).select("hub", "i", "j", "id", "text")
+    found = (rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
+             .mapInArrow(_compare(like), "a long, b long"))
+    return written(found.distinct(), "found")
 
 
-def _sign_all(docs: DataFrame, like: Similarity) -> list[DataFrame]:
-    """Signed documents under one partitioning of the domain, and under more for bands that have weak sets.
+def _sign_all(docs: DataFrame, like: Similarity, common: np.ndarray) -> list[DataFrame]:
+    """Signed documents under one partitioning of the domain, and under more for bands with sets that are weak in all so far.
 
-    Two sets are safe once there is a partitioning in which neither is weak. If none is weak in as many
-    as half of them, any two have one in common.
+    Two sets meet under any partitioning in which one of them is not weak.
     """
-    tables = [written(docs.mapInArrow(_signed(like, 0, None), SIGNED), "signed")]
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    tables = [written(docs.mapInArrow(_signed(like, shared, 0, None), SIGNED), "signed")]
 
-    def weak_in() -> list:
-        every = tables[0].select("d1", "d2", F.explode("weak").alias("band"))
+    def weak_bands() -> list[int]:
+        weak = tables[0].select("d1", "d2", F.explode("weak").alias("band")).distinct()
         for t in tables[1:]:
-            every = every.union(t.select("d1", "d2", F.explode("weak").alias("band")))
-        counts = every.groupBy("d1", "d2", "band").agg(F.count(F.lit(1)).alias("times"))
-        # A row per band at most. A set signed by two tasks counts twice, which only asks for more.
-        return counts.groupBy("band").agg(F.max("times").alias("times")).collect()
-
-    while bad := [r["band"] for r in weak_in() if 2 * r["times"] >= len(tables)]:
-        for _ in range(2):
-            tables.append(written(docs.mapInArrow(_signed(like, len(tables), frozenset(bad)), SIGNED), "signed"))
+            weak = weak.intersect(t.select("d1", "d2", F.explode("weak").alias("band")))
+        # A band's number: a few dozen at most.
+        return [r["band"] for r in weak.select("band").distinct().collect()]
+
+    while bad := weak_bands():
+        tables.append(written(docs.mapInArrow(_signed(like, shared, len(tables), frozenset(bad)), SIGNED), "signed"))
     return tables
 
 
@@ -208,14 +303,13 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     reachable by links, the document's own included. No link is lost and none is made up:
 
     1. One pass makes each text's set and its PartEnum signatures. Equal sets are one from here on.
-    2. Documents that share a signature form a bucket. Each is compared in full with the bucket's
-       smallest, its hub. That links groups of near copies with as many comparisons as they have members.
-    3. Members of a bucket that are not yet in one component are compared with each other across
-       components, unless their distances to the hub rule a link out (Jaccard distance is a metric).
-    4. Components come from all links found.
-
-    Signatures hash several shingles each, so a passage that many documents share does not bring them
-    together. Buckets are found by a count combined before the shuffle and then joined, so a bucket with a
+    2. Documents that share a signature form a bucket, and buckets with the same hub, its member with most shared
+       signatures, form a group. A group has each of its members once, however many signatures they share.
+    3. In a group every pair is compared in the task that holds it, by products of sets, and what leaves the
+       task are links enough to connect what links connect: fewer than the group has members.
+    4. Components come from these links.
+
+    Buckets are found by a count combined before the shuffle and then joined, so a bucket with a
     third of all documents is spread by the adaptive planner.
 
     Null text counts as empty. Rows that repeat an id share one component, and each has its own ``n_shingles``. A null
@@ -223,7 +317,7 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     """
     ship_package(docs.sparkSession.sparkContext)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    tables = _sign_all(docs, like)
+    tables = _sign_all(docs, like, common_shingles(docs, like))
     members = tables[0].filter("n > 0 and doc_id is not null")
 
     # Equal sets: all but the smallest id point at it.
@@ -232,41 +326,21 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     copies = written(members.select("doc_id", "n", "d1", "d2").join(groups, ["n", "d1", "d2"])
                      .select("doc_id", "rep").filter("doc_id <> rep").distinct(), "copies")
 
-    rows = tables[0].select("doc_id", F.explode("sigs").alias("sig"))
+    rows = tables[0].select("doc_id", "n", F.explode("sigs").alias("sig"))
     for t in tables[1:]:
-        rows = rows.union(t.select("doc_id", F.explode("sigs").alias("sig")))
+        rows = rows.union(t.select("doc_id", "n", F.explode("sigs").alias("sig")))
     rows = rows.filter("doc_id is not null")
     shared = (rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
               .filter("low <> high").select("sig"))
     # An id of several sets may have several representatives.
     hits = (rows.join(shared, "sig").join(copies, "doc_id", "left")
-            .select("sig", F.coalesce("rep", "doc_id").alias("node")).distinct())
+            .select("sig", F.coalesce("rep", "doc_id").alias("node"), "n").groupBy("sig", "node").agg(F.max("n").alias("n")))
     hits = written(hits, "hits")
-    hubs = hits.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").drop("last")
-    buckets = written(hits.join(hubs, "sig"), "buckets")
-
-    star = _verified(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), docs, like, "stars")
-    first = star.filter(_links(star, like)).select("a", "b")
-    second = _verified(_across(buckets, star, connected_components(first), like), docs, like, "crossings")
-    links = first.union(second.filter(_links(second, like)).select("a", "b"))
-    found = connected_components(links.union(copies.select("doc_id", "rep")))
-    return (tables[0].join(found, F.col("doc_id") == F.col("node"), "left")
+    known = hits.groupBy("node").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.struct("times", -F.col("node"))
+    hubs = (hits.join(known, "node").groupBy("sig").agg(F.max_by("node", rank).alias("hub"), F.count(F.lit(1)).alias("size"))
+            .filter("size > 1").drop("size"))
+    found = _verified(written(hits.join(hubs, "sig").groupBy("hub", "node").agg(F.max("n").alias("n")), "groups"), docs, like)
+    components = connected_components(found.union(copies.select("doc_id", "rep")))
+    return (tables[0].join(components, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
-
-
-def _across(buckets: DataFrame, star: DataFrame, found: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of a bucket in different components that may still link; neither is the hub, which was compared with all."""
-    far = star.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("far"))
-    placed = (buckets.filter("node <> hub").join(far, ["hub", "node"])
-              .join(found, "node", "left").select("sig", "node", "far", F.coalesce("component", "node").alias("comp")))
-    mixed = (placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-             .filter("low <> high").select("sig"))
-    placed = written(placed.join(mixed, "sig"), "mixed")
-    comps = placed.select("sig", "comp").distinct()
-    couples = (comps.alias("x").join(comps.alias("y"), F.expr("x.sig = y.sig and x.comp < y.comp"))
-               .select(F.col("x.sig").alias("sig"), F.col("x.comp").alias("comp"), F.col("y.comp").alias("other")))
-    left = couples.join(placed, ["sig", "comp"]).select("sig", "other", F.col("node").alias("a"), F.col("far").alias("a_far"))
-    right = placed.select("sig", F.col("comp").alias("other"), F.col("node").alias("b"), F.col("far").alias("b_far"))
-    near = F.abs(F.col("a_far") - F.col("b_far")) <= 1 - like.percent / 100 + 1e-9
-    return (left.join(right, ["sig", "other"]).filter(near)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
