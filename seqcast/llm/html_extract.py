@@ -241,7 +241,9 @@ def main_text(pages: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:
     """
     ship_package(pages.sparkSession.sparkContext)
     html = pages.select("page_id", "url", "html")
-    chosen = (html.filter(F.length("html") <= MOST_CHARS).filter(F.col("html").rlike("(?i)<(article|main)[ >]"))
-              .select("html", F.xxhash64("page_id").alias("draw")).orderBy("draw", "html").limit(most_pages))
-    model = train_extractor([r["html"] for r in chosen.collect()])
+    # Ids first, as a top list sends its rows to the driver from every task; then the few pages. Of pages that share an id one is taken.
+    usable = (F.length("html") <= MOST_CHARS) & F.col("html").rlike("(?i)<(article|main)[ >]") & F.col("page_id").isNotNull()
+    chosen = html.filter(usable).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most_pages).distinct()
+    learned = html.filter(usable).join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    model = train_extractor([r["html"] for r in sorted(learned, key=lambda r: r["page_id"])])
     return html.mapInArrow(_extract_task(model), "page_id long, url string, text string, n_chars long")
