@@ -1,0 +1,50 @@
+import pytest
+from edge_tables import documents, empty
+
+from seqcast.llm.licenses import RULES, SENTENCES, license_matches
+
+APACHE = ("Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain "
+          "a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, "
+          "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either "
+          "express or implied. See the License for the specific language governing permissions and limitations under the License.")
+
+
+def found(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r.doc_id, r.rule, r.first_sentence, r.n_sentences) for r in license_matches(df).collect())
+
+
+def test_sentences_are_found_by_their_words(spark):
+    got = found(spark, "Hello.\nReleased under the MIT License.\nBye", "  licensed UNDER cc-by-nc 4.0", "Released under the MIT License for now")
+    assert got == [(0, "mit-reference", 2, 1), (1, "cc-by-nc-4.0-reference", 1, 1)]
+
+
+def test_a_run_of_sentences_is_one_match(spark):
+    # "at http:" ends a sentence only before white space, so the address stays in one.
+    assert found(spark, APACHE) == [(0, "apache-2.0-header", 1, 5)]
+
+
+def test_order_and_gaps_matter(spark):
+    first, second = SENTENCES["gpl-free"], SENTENCES["gpl-hope"]
+    assert found(spark, f"{first}.\n{second}", f"{second}\n{first}", f"{first}\nbetween\n{second}") == [
+        (0, "gpl-3.0-notice", 1, 2), (1, "gpl-3.0-free", 2, 1), (2, "gpl-3.0-free", 1, 1)]
+
+
+def test_a_longer_match_hides_those_in_it(spark):
+    text = "\n".join([SENTENCES["mit-grant"], SENTENCES["mit-notice"], SENTENCES["mit-as-is"], "x", SENTENCES["mit-grant"], SENTENCES["mit-notice"]])
+    assert found(spark, text) == [(0, "mit-text", 1, 3), (0, "mit-text-start", 5, 2)]
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_every_rule_matches_its_sentences(spark, rule):
+    assert [(r, at, n) for _, r, at, n in found(spark, "\n".join(SENTENCES[s] for s in RULES[rule][1]))] == [(rule, 1, len(RULES[rule][1]))]
+
+
+def test_edge_cases(spark):
+    docs = documents(spark, [(1, None, "a"), (2, "", "a"), (None, "Released under the MIT License.", "a"), (3, "Released under the MIT License.", None),
+                             (3, "Released under the MIT License.", None), (4, "a. " * 20_000 + "Released under the MIT License.", "b")])
+    out = license_matches(docs)
+    assert sorted((r.doc_id or 0, r.first_sentence) for r in out.collect()) == [(0, 1), (3, 1), (3, 1), (4, 20_001)]
+    assert license_matches(empty(docs)).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
