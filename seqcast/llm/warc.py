@@ -153,7 +153,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assemble(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    data = MAGIC.encode().join(rows.sort_values("place")["data"])
+    data = MAGIC.encode().join(rows.sort_values("at")["data"])
     total = parse_record(data)
     # What follows the last record of a file in its last chunk is not part of it.
     parsed = parse_record(data[: total[0]]) if total else None
@@ -211,7 +211,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     single = marked.filter("real and whole").select(*names)
     up_to = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = written(marked.select("file", "split", "place", "at", F.max(F.when(F.col("real"), F.struct("at", "whole", "next"))).over(up_to).alias("owner"))
-                    .filter("not owner.whole and at < owner.next").select("file", "split", "place", F.col("owner.at").alias("owner")), "parts")
+                    .filter("not owner.whole and at < owner.next").select("file", "split", "place", "at", F.col("owner.at").alias("owner")), "parts")
     if parts.isEmpty():
         return single
     several = (chunks.mapInArrow(_chunks, _CHUNK).join(parts, ["file", "split", "place"])
