@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seqcast.llm.labelled import held_out, training_labels
+from seqcast.llm.sampling import smallest_hashes
 from seqcast.llm.text_arrays import runs_of_words, slices, texts_of, word_hashes
 from seqcast.sources.ship import ship_package
 
@@ -103,7 +104,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     table's size. Features are made where the documents are. Of rows that repeat an id one is learned from.
     """
     ship_package(docs.sparkSession.sparkContext)
-    chosen = training_labels(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = smallest_hashes(training_labels(labels, label), "doc_id", most)
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
             .join(F.broadcast(chosen), "doc_id")
             .select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, features array<int>")
@@ -142,7 +143,9 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits:
 
 def reject_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.5) -> DataFrame:
     """The rows that score below ``threshold``, with all columns."""
-    return score_toxicity(docs, model, carry=docs.columns).filter(F.col("_score") < threshold).drop("_score")
+    names = {c: c if c == "text" else f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    scored = score_toxicity(docs.select(*(F.col(c).alias(n) for c, n in names.items())), model, carry=list(names.values()))
+    return scored.filter(F.col("_score") < threshold).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED,

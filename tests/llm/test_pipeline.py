@@ -1,0 +1,80 @@
+import numpy as np
+import pytest
+from edge_tables import documents
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from checks.compare import database, difference
+from conftest import data_dir
+from seqcast.llm import queries
+from test_jaccard import brute
+from seqcast.llm.jaccard_join import Similarity
+from seqcast.llm.toxicity import toxicity
+from seqcast.sources.shared import written
+
+SCALE = data_dir("0.001")
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs, out = spark.read.parquet(f"{SCALE}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SCALE), name)
+        out.append(docs)
+    return [spark.read.parquet(f"{SCALE}/documents.parquet"), *out]
+
+
+def test_stages_are_the_five(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "source_mix", "packing"]
+    assert all(df.columns == list(corpus_pipeline.COLUMNS) for df in stages[1:-1])
+
+
+def test_every_stage_does_its_work(spark, stages):
+    docs, clean, unique, distinct, mixed, packed = ([r.asDict() for r in df.collect()] for df in stages)
+    scores = {r.doc_id: r.predicted for r in toxicity(stages[0], spark.read.parquet(f"{SCALE}/labels.parquet")).collect()}
+    assert {r["doc_id"] for r in clean} == {i for i, p in scores.items() if not p}
+    first = {}
+    for r in sorted(clean, key=lambda r: r["doc_id"]):
+        first.setdefault(r["text"], r["doc_id"])
+    assert sorted(r["doc_id"] for r in unique) == sorted(first.values())
+    groups = brute([(r["doc_id"], r["text"]) for r in unique], Similarity(5, 80))
+    assert {r["doc_id"] for r in distinct} == {c for _, _, c in groups}
+    by_id = {r["doc_id"]: r for r in distinct}
+    assert all(r == by_id[r["doc_id"]] for r in mixed)
+    times = {i: sum(r["doc_id"] == i for r in mixed) for i in by_id}
+    assert max(times.values()) <= 2
+    words = {i: len(r["text"].split()) for i, r in by_id.items()}
+    assert sum(words[i] * t for i, t in times.items()) == pytest.approx(1.5 * sum(words.values()), rel=0.01)
+    tokens = {}
+    for r in packed:
+        tokens[r["doc_id"]] = tokens.get(r["doc_id"], 0) + r["length"]
+        assert len(r["ids"]) == 4 * r["length"]
+    assert set(tokens) == {i for i, t in times.items() if t}
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    got = contract.queries()["pipeline"](spark, SCALE)
+    assert sorted((r.doc_id, r.start, r.length) for r in got.collect()) == sorted((r.doc_id, r.start, r.length) for r in stages[-1].collect())
+
+
+def test_stages_take_odd_rows(spark):
+    docs = documents(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SCALE), "odd")
+    assert docs.count() > 0
+    nothing = documents(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = written(stage(spark, nothing, SCALE), "nothing")
+    assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) & set(queries.QUERIES)))
+def test_query_equals_its_sql(spark, name):
+    got = contract.queries()[name](spark, SCALE).toPandas()
+    assert difference(got, database(SCALE).execute(contract.oracle_sql()[name]).df()) is None
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
+    assert np.all([n.startswith("op") for n in queries.QUERIES])
