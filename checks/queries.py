@@ -32,7 +32,7 @@ from seqcast.sources.shared import new_table_path
 FEATURES = SETTINGS.features
 WORLD = 4
 # All windows and all epochs, with a small network whose ranks average their weights once an epoch or more often.
-TRAINED = SETTINGS.override(world_size=WORLD, hidden_size=8, num_layers=1, sync_every=64)
+TRAINED = SETTINGS.override(world_size=WORLD, hidden_size=8, num_layers=1, sync_every=64, batch_size=256)
 
 
 def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
