@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqcast.llm.sampling import smallest_hashes
 from seqcast.sources.shared import written
 from seqcast.sources.ship import ship_package
 
@@ -183,7 +184,7 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 50, nearest: int =
     spark = vectors.sparkSession
     ship_package(spark.sparkContext)
     units = written(usable(vectors).select("vec_id", "unit"), "units")
-    sample = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_sampled).toPandas()
+    sample = smallest_hashes(units, "vec_id", most_sampled).toPandas()
     if sample.empty:
         return units.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     x = np.stack(sample["unit"])
