@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqcast.llm.boosting import Trees, boost
 from seqcast.llm.html_tree import Tree, node_features, parse
+from seqcast.llm.sampling import smallest_hashes
 from seqcast.sources.ship import ship_package
 
 # Pages to learn from, at most (those with the smallest hashes of their ids), how long they may be, and layouts made of each.
@@ -241,9 +242,9 @@ def main_text(pages: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:
     """
     ship_package(pages.sparkSession.sparkContext)
     html = pages.select("page_id", "url", "html")
-    # Ids first, as a top list sends its rows to the driver from every task; then the few pages. Of pages that share an id one is taken.
+    # Ids first, then the few pages. Of pages that share an id one is taken.
     usable = (F.length("html") <= MOST_CHARS) & F.col("html").rlike("(?i)<(article|main)[ >]") & F.col("page_id").isNotNull()
-    chosen = html.filter(usable).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most_pages).distinct()
+    chosen = smallest_hashes(html.filter(usable).select("page_id"), "page_id", most_pages).distinct()
     learned = html.filter(usable).join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
     model = train_extractor([r["html"] for r in sorted(learned, key=lambda r: r["page_id"])])
     return html.mapInArrow(_extract_task(model), "page_id long, url string, text string, n_chars long")
