@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqcast.llm.exact_dedup import drop_exact_duplicates
-from seqcast.llm.jaccard_join import Similarity, near_duplicates
+from seqcast.llm.jaccard_join import MOST_BROADCAST_IDS, Similarity, near_duplicates
 from seqcast.llm.mixing import mix_sources
 from seqcast.llm.packing import pack
 from seqcast.llm.toxicity import reject_toxic, train_toxicity
@@ -32,8 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without an id is in no group. Rows that share an id stay or go together.
     """
-    gone = near_duplicates(docs, Similarity(words=5, percent=80)).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(written(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = written(near_duplicates(docs, Similarity(words=5, percent=80)).filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    # Few ids are sent to the texts; many meet them by shuffle.
+    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST_IDS else gone
+    return docs.select(*COLUMNS).join(side, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcast.llm.components import connected_components
+from seqcast.llm.sampling import smallest_hashes
 from seqcast.llm.text_arrays import mix, shingle_sets, slices, texts_of, word_hashes
 from seqcast.sources.shared import written
 from seqcast.sources.ship import ship_package
@@ -173,7 +174,7 @@ def common_shingles(docs: DataFrame, like: Similarity, sampled: int = SAMPLED, c
     Which they are changes how many signatures meet in vain and nothing else: any set of shingles gives the same links.
     There are fewer than the sample's shingles divided by ``common``.
     """
-    ids = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sampled).distinct()
+    ids = smallest_hashes(docs.select("doc_id"), "doc_id", sampled).distinct()
     counted = (docs.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_shingled(like), "element long")
                .groupBy("element").count().filter(F.col("count") >= common).select("element").toPandas())
     return np.sort(counted["element"].to_numpy(np.int64).view(np.uint64))
@@ -326,21 +327,21 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     copies = written(members.select("doc_id", "n", "d1", "d2").join(groups, ["n", "d1", "d2"])
                      .select("doc_id", "rep").filter("doc_id <> rep").distinct(), "copies")
 
-    rows = tables[0].select("doc_id", "n", F.explode("sigs").alias("sig"))
+    rows = tables[0].select("doc_id", F.explode("sigs").alias("sig"))
     for t in tables[1:]:
-        rows = rows.union(t.select("doc_id", "n", F.explode("sigs").alias("sig")))
+        rows = rows.union(t.select("doc_id", F.explode("sigs").alias("sig")))
     rows = rows.filter("doc_id is not null")
-    shared = (rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-              .filter("low <> high").select("sig"))
+    # Counts, nearly all of them one, move in less room than ids would.
+    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("sig")
     # An id of several sets may have several representatives.
-    hits = (rows.join(shared, "sig").join(copies, "doc_id", "left")
-            .select("sig", F.coalesce("rep", "doc_id").alias("node"), "n").groupBy("sig", "node").agg(F.max("n").alias("n")))
+    hits = rows.join(shared, "sig").join(copies, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("node")).distinct()
     hits = written(hits, "hits")
     known = hits.groupBy("node").agg(F.count(F.lit(1)).alias("times"))
     rank = F.struct("times", -F.col("node"))
     hubs = (hits.join(known, "node").groupBy("sig").agg(F.max_by("node", rank).alias("hub"), F.count(F.lit(1)).alias("size"))
             .filter("size > 1").drop("size"))
-    found = _verified(written(hits.join(hubs, "sig").groupBy("hub", "node").agg(F.max("n").alias("n")), "groups"), docs, like)
+    sizes = members.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
+    found = _verified(written(hits.join(hubs, "sig").select("hub", "node").distinct().join(sizes, "node"), "groups"), docs, like)
     components = connected_components(found.union(copies.select("doc_id", "rep")))
     return (tables[0].join(components, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
