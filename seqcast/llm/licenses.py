@@ -53,6 +53,7 @@ RULES: dict[str, tuple[str, Sequence[str]]] = {
     "cc-by-4.0-reference": ("CC-BY-4.0", ("cc-by-4",)),
     "cc-by-sa-4.0-reference": ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     "bsd-start": ("BSD", ("bsd-redistribution",)),
+    "all-rights-reserved": ("All-Rights-Reserved", ("all-rights",)),
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

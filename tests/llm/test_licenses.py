@@ -40,6 +40,11 @@ def test_every_rule_matches_its_sentences(spark, rule):
     assert [(r, at, n) for _, r, at, n in found(spark, "\n".join(SENTENCES[s] for s in RULES[rule][1]))] == [(rule, 1, len(RULES[rule][1]))]
 
 
+def test_every_known_sentence_is_in_a_rule(spark):
+    assert set(SENTENCES) == {s for _, run in RULES.values() for s in run}
+    assert found(spark, "Report.\nAll rights reserved.\nBye") == [(0, "all-rights-reserved", 2, 1)]
+
+
 def test_edge_cases(spark):
     docs = documents(spark, [(1, None, "a"), (2, "", "a"), (None, "Released under the MIT License.", "a"), (3, "Released under the MIT License.", None),
                              (3, "Released under the MIT License.", None), (4, "a. " * 20_000 + "Released under the MIT License.", "b")])
