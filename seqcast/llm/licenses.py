@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Licence sentences by identifier, in their normal form (lower case, runs of other characters
-# than letters and digits as one space).
+# than letters and digits as one space). Where a published notice has a mark or a blank line in a sentence, the parts
+# stand here by themselves too, as they are cut there.
 SENTENCES: dict[str, str] = {
     "apache-licensed": "licensed under the apache license version 2 0",
+    "apache-licensed-file": "licensed under the apache license version 2 0 the license",
     "apache-may-not-use": "you may not use this file except in compliance with the license",
     "apache-obtain": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache-obtain-at": "you may obtain a copy of the license at",
+    "apache-address": "http www apache org licenses license 2 0",
     "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is "
                     "distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
@@ -29,8 +34,13 @@ SENTENCES: dict[str, str] = {
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
                 "public license as published by the free software foundation either version 3 of the license or at your "
                 "option any later version",
+    "gpl-free-program": "this program is free software",
+    "gpl-free-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+                      "the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the "
                 "implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-hope-useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-hope-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "cc-by-nc-4": "licensed under cc by nc 4 0",
     "cc-by-4": "licensed under cc by 4 0",
     "cc-by-sa-4": "licensed under cc by sa 4 0",
@@ -42,29 +52,57 @@ SENTENCES: dict[str, str] = {
 # Rules in their order of preference. A rule is a run of sentences that follow each other.
 RULES: dict[str, tuple[str, Sequence[str]]] = {
     "apache-2.0-header": ("Apache-2.0", ("apache-licensed", "apache-may-not-use", "apache-obtain", "apache-as-is", "apache-see")),
+    "apache-2.0-notice": ("Apache-2.0", ("apache-licensed-file", "apache-may-not-use", "apache-obtain", "apache-as-is", "apache-see")),
+    "apache-2.0-notice-lines": ("Apache-2.0", ("apache-licensed-file", "apache-may-not-use", "apache-obtain-at", "apache-address",
+                                               "apache-as-is", "apache-see")),
     "mit-text": ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     "gpl-3.0-notice": ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
+    "gpl-3.0-notice-cut": ("GPL-3.0-or-later", ("gpl-free-program", "gpl-free-terms", "gpl-hope-useful", "gpl-hope-implied")),
     "mit-text-start": ("MIT", ("mit-grant", "mit-notice")),
     "apache-2.0-reference": ("Apache-2.0", ("apache-licensed",)),
+    "apache-2.0-file": ("Apache-2.0", ("apache-licensed-file",)),
     "mit-reference": ("MIT", ("mit-released",)),
     "gpl-3.0-reference": ("GPL-3.0-only", ("gpl3-work",)),
     "gpl-3.0-free": ("GPL-3.0-or-later", ("gpl-free",)),
+    "gpl-3.0-free-cut": ("GPL-3.0-or-later", ("gpl-free-program", "gpl-free-terms")),
+    "gpl-3.0-terms": ("GPL-3.0-or-later", ("gpl-free-terms",)),
     "cc-by-nc-4.0-reference": ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
     "cc-by-4.0-reference": ("CC-BY-4.0", ("cc-by-4",)),
     "cc-by-sa-4.0-reference": ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
+    "bsd-notice": ("BSD", ("all-rights", "bsd-redistribution")),
     "bsd-start": ("BSD", ("bsd-redistribution",)),
     "all-rights-reserved": ("All-Rights-Reserved", ("all-rights",)),
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SENTENCE_END = r"([.!?;:])[ \t\r\x0B\x0C]+"
+# A mark that ends a sentence, and the white space of its line after it.
+SENTENCE_END = r"([.!?;:])(?:[ \t\r\x0B\x0C]+|(?=\n))"
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text in order, normalised. A line end always ends one; so does [.!?;:] before white space."""
+def normal_lines(text: Column) -> Column:
+    """The text's lines, normalised, each between two line ends; an empty line follows a mark that ends a sentence."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    cut = F.split(F.regexp_replace(lower, SENTENCE_END, "$1\n"), "\n")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    words = F.regexp_replace(F.regexp_replace(lower, SENTENCE_END, "$1\n\n"), "[^a-z0-9\n]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), words, F.lit("\n")), " ?\n ?", "\n")
+
+
+def _over_lines(known: Mapping[str, str]) -> list[str]:
+    """For each known sentence a pattern of its words on one line or more. Two lines that are known themselves are two sentences."""
+    every = set(known.values())
+
+    def gap(words: list[str], i: int) -> str:
+        return " " if " ".join(words[:i]) in every and " ".join(words[i:]) in every else "[ \n]"
+
+    split = [s.split(" ") for s in known.values()]
+    return [re.escape(words[0]) + "".join(gap(words, i) + re.escape(words[i]) for i in range(1, len(words))) for words in split]
+
+
+def sentences(lines: Column, known: Mapping[str, str]) -> Column:
+    """The sentences of normalised lines in order. Each line is one, but lines that together say a known one are that one."""
+    patterns = F.array(*(F.struct(F.lit(f"\n{p}(?=\n)").alias("lines"), F.lit(f"\n{s}").alias("said"))
+                         for p, s in zip(_over_lines(known), known.values(), strict=True)))
+    whole = F.aggregate(patterns, lines, lambda text, p: F.regexp_replace(text, p["lines"], p["said"]))
+    return F.filter(F.split(whole, "\n"), lambda s: s != "")
 
 
 def license_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -77,8 +115,13 @@ def license_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sentences follow each other with nothing between. At a place the longest rule wins, the earlier of equals; a match
     inside a longer one is left out. ``first_sentence`` counts the text's sentences from 1.
 
-    All of it is array expressions within a row, so nothing is shuffled and a task holds one
-    document at a time. Null or empty text has no match; repeated rows and null ids each give
+    A line end ends a sentence, and so does [.!?;:] before white space. But lines with neither such a mark nor an
+    empty line between them that together say a known sentence are one sentence, so a notice is found however it is wrapped,
+    and behind the comment signs of source code.
+
+    All of it is expressions within a row, so nothing is shuffled and a task holds one
+    document at a time. One pattern of all known sentences finds the documents that say any; the others are not split.
+    Null or empty text has no match; repeated rows and null ids each give
     their own matches; an empty table gives no rows; other columns are ignored.
     """
     numbers = {name: i + 1 for i, name in enumerate(known)}
@@ -87,9 +130,10 @@ def license_matches(docs: DataFrame, id_column: str = "doc_id", text_column: str
     patterns = F.array(*(
         F.struct(F.lit(rule).alias("rule"), F.lit(license).alias("license"),
                  F.array(*(F.lit(numbers[s]).cast("long") for s in run)).alias("run")) for rule, (license, run) in ranked))
-    found = (docs.select(F.col(id_column).alias("id"), sentences(F.col(text_column)).alias("s"))
-             .select("id", F.transform("s", lambda s: F.array_position(keys, s)).alias("seq"))
-             .filter(F.exists("seq", lambda n: n > 0)))
+    said = f"\n(?:{'|'.join(_over_lines(known))})(?=\n)"
+    found = (docs.select(F.col(id_column).alias("id"), normal_lines(F.col(text_column)).alias("lines"))
+             .filter(F.col("lines").rlike(said)).select("id", sentences(F.col("lines"), known).alias("s"))
+             .select("id", F.transform("s", lambda s: F.array_position(keys, s)).alias("seq")))
 
     def at(i: Column) -> Column:
         fits = F.filter(patterns, lambda p: F.slice(F.col("seq"), i, F.size(p["run"])) == p["run"])

@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 from edge_tables import documents, empty
 
@@ -9,6 +11,31 @@ APACHE = ("Licensed under the Apache License, Version 2.0. You may not use this
           "express or implied. See the License for the specific language governing permissions and limitations under the License.")
 
 
+# As published, a paragraph on a line.
+NOTICES = {
+    "apache-2.0-notice-lines": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
+        "obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or '
+        "implied. See the License for the specific language governing permissions and limitations under the License."),
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        'the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."),
+    "bsd-notice": (
+        "All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice."),
+    "gpl-3.0-notice-cut": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE.  See the GNU General Public License for more details."),
+}
+
+
 def found(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return sorted((r.doc_id, r.rule, r.first_sentence, r.n_sentences) for r in license_matches(df).collect())
@@ -40,6 +67,26 @@ def test_every_rule_matches_its_sentences(spark, rule):
     assert [(r, at, n) for _, r, at, n in found(spark, "\n".join(SENTENCES[s] for s in RULES[rule][1]))] == [(rule, 1, len(RULES[rule][1]))]
 
 
+@pytest.mark.parametrize("rule", NOTICES)
+def test_published_notices_are_found_however_they_are_wrapped(spark, rule):
+    paragraphs = NOTICES[rule].split("\n\n")
+
+    def wrapped(width, before="", end="\n"):
+        lines = end.join(before + line for p in ["Copyright (C) 2020 A Name", *paragraphs] for line in [*textwrap.wrap(p, width), ""])
+        return f"/*{end}{lines}{end} */{end}int main;"
+
+    texts = [NOTICES[rule], wrapped(72), wrapped(80, " * "), wrapped(40, "# ", "\r\n"), wrapped(72).replace("\n\n", "\n")]
+    got = found(spark, *texts)
+    n = len(RULES[rule][1])
+    assert got == [(0, rule, 1, n), *((i, rule, 2, n) for i in (1, 2, 3, 4))]
+
+
+def test_lines_that_say_no_known_sentence_stay_apart(spark):
+    assert found(spark, "Released under\nthe MIT\nLicense", "Released under\n\nthe MIT License", "Released under.\nthe MIT License",
+                 "Some words\nReleased under the MIT License\nmore\nlicensed\nunder CC BY 4.0") == [
+        (0, "mit-reference", 1, 1), (3, "cc-by-4.0-reference", 4, 1), (3, "mit-reference", 2, 1)]
+
+
 def test_every_known_sentence_is_in_a_rule(spark):
     assert set(SENTENCES) == {s for _, run in RULES.values() for s in run}
     assert found(spark, "Report.\nAll rights reserved.\nBye") == [(0, "all-rights-reserved", 2, 1)]
