@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqcast.llm.components import connected_components
@@ -20,10 +20,11 @@ from seqcast.sources.ship import ship_package
 
 # Ratio of the largest to the smallest set of a band.
 BAND = 1.5
-# Shingles of the documents that meet in one task; a larger group is cut into chunks that meet in pairs.
+# Shingles and sets of a chunk; a group with more is cut into chunks.
 MOST_SHINGLES = 400_000
-# Columns of a product of sets at a time.
-SLICE = 4096
+MOST_SETS = 10_000
+# Cells of a product of sets, and of the table it is made of, that are filled at a time.
+CELLS = 4_000_000
 # Ids that may be broadcast to read the texts behind candidate groups; beyond that the texts are joined by shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 # Documents in which common shingles are looked for, and in how many of them such a one is found.
@@ -61,6 +62,11 @@ class Similarity:
         return [(b, self._edges[b + 1] - 1) for b in range(first, last + 1)]
 
 
+def digests(elements: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers by which a set is known."""
+    return int(mix(elements).sum(dtype=np.uint64)), int(mix(elements ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64))
+
+
 def _cell_sums(elements: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """The partitions of the domain that hold elements, and a hash of what each holds. ``elements`` are sorted hashes."""
     if not len(elements):
@@ -142,8 +148,7 @@ def _signed(like: Similarity, common, seed: int, only: frozenset[int] | None):
                     n[i] = len(e)
                     if not len(e):
                         continue
-                    d[0, i], d[1, i] = mix(e).sum(dtype=np.uint64), mix(e ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64)
-                    key = (int(d[0, i]), int(d[1, i]))
+                    d[:, i] = key = digests(e)
                     if key in seen or (only is not None and not any(b in only for b, _ in like.bands(len(e)))):
                         continue
                     seen.add(key)
@@ -180,36 +185,29 @@ def common_shingles(docs: DataFrame, like: Similarity, sampled: int = SAMPLED, c
     return np.sort(counted["element"].to_numpy(np.int64).view(np.uint64))
 
 
-class Forest:
-    """Links found so far among the rows of a group, as a forest."""
-
-    def __init__(self, n: int) -> None:
-        self.parent, self.links = list(range(n)), []
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+def group_links(sets: list[np.ndarray], like: Similarity, first: int = 0, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets that connect all that are connected by links.
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.links.append((i, j))
+    Set ``first`` is compared with all, then every set that is not connected with it yet with all others. With ``apart`` (a
+    flag for each set) only sets of different flags need to be compared, and all of these are.
 
-
-def group_links(sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
-    """Links between sets that connect all that are connected by links; every pair is compared.
-
-    Intersections are products of rows that say which elements a set has, over the elements that two sets or more have, a
-    slice of them at a time.
+    Intersections are products of rows that say which elements a set has, over elements that two sets or more have. A tile of
+    rows and a slice of elements are filled at a time, so the tables have no more than ``CELLS`` cells (or one row) whatever the number of sets.
     """
-    forest = Forest(len(sets))
+    links: list[tuple[int, int]] = []
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= like.percent * (sizes.sum() - both) else []
+        return [(0, 1)] if both and 100 * both >= like.percent * (sizes.sum() - both) else []
+    label = np.arange(len(sets))
+
+    def join(i: int, near: np.ndarray) -> None:
+        near = near[label[near] != label[i]]
+        if len(near):
+            labels, at = np.unique(label[near], return_index=True)
+            links.extend((i, int(j)) for j in near[at])
+            label[np.isin(label, labels)] = label[i]
+
     every, code = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     times = np.bincount(code, minlength=len(every))
@@ -217,63 +215,149 @@ def group_links(sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int
     row, code = row[times[code] > 1], number[code[times[code] > 1]]
     order = np.argsort(code, kind="stable")
     row, code = row[order], code[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE):
-        a, b = np.searchsorted(code, [start, start + SLICE])
-        has = np.zeros((len(sets), SLICE), np.float32)
-        has[row[a:b], code[a:b] - start] = 1
-        both += has @ has.T
-    both = both.astype(np.int64)
-    found = 100 * both >= like.percent * (sizes[:, None] + sizes - both)
-    for i, j in zip(*np.nonzero(np.triu(found, 1)), strict=True):
-        forest.join(int(i), int(j))
-    return forest.links
+
+    def held_by(rows: np.ndarray) -> np.ndarray:
+        held = np.zeros(int(number[-1]) + 1 if len(number) else 0, bool)
+        held[code[rows[row]]] = True
+        return held
+
+    if apart is None:
+        both = np.bincount(row[held_by(np.arange(len(sets)) == first)[code]], minlength=len(sets))
+        join(first, np.flatnonzero((both > 0) & (100 * both >= like.percent * (sizes + sizes[first] - both))))
+        others, seek = np.ones(len(sets), bool), np.flatnonzero(label != label[first])
+    else:
+        others, seek = ~apart, np.flatnonzero(apart)
+    while len(seek):
+        tile, seek = np.split(seek, [max(1, CELLS // len(sets))])
+        mine = np.zeros(len(sets), bool)
+        mine[tile] = True
+        held = held_by(mine)
+        use = held[code] & (others | mine)[row]
+        columns, at = np.unique(row[use], return_inverse=True)
+        element = (np.cumsum(held) - 1)[code[use]]
+        tile = np.flatnonzero(mine[columns])
+        both = np.zeros((len(tile), len(columns)), np.float32)
+        width = max(1, CELLS // max(1, len(columns)))
+        for start in range(0, int(held.sum()), width):
+            a, b = np.searchsorted(element, [start, start + width])
+            has = np.zeros((len(columns), min(width, int(held.sum()) - start)), np.float32)
+            has[at[a:b], element[a:b] - start] = 1
+            both += has[tile] @ has.T
+        both = both.astype(np.int64)
+        n = sizes[columns]
+        found = (both > 0) & (100 * both >= like.percent * (n[tile][:, None] + n - both))
+        for i, near in zip(columns[tile], found, strict=True):
+            join(int(i), columns[near])
+        if apart is None:
+            # These are compared with all, and what is connected with the first set is compared by those that are not.
+            others &= ~mine
+            seek = seek[label[seek] != label[first]]
+    return links
+
+
+def _reached(links: list[tuple[int, int]], starts: list[int]) -> set[int]:
+    beside: dict[int, list[int]] = {}
+    for i, j in links:
+        beside.setdefault(i, []).append(j)
+        beside.setdefault(j, []).append(i)
+    reached, todo = set(starts), list(starts)
+    while todo:
+        more = [j for j in beside.get(todo.pop(), ()) if j not in reached]
+        reached.update(more)
+        todo += more
+    return reached
 
 
 def _compare(like: Similarity):
-    """Links within the groups that a task has, whose rows come one group after the other."""
+    """Links within the groups that a task has, whose rows come one group after the other.
+
+    A group is a chunk ``i = j``, all of whose rows are compared, or two chunks, of which those of one are compared with those of the other
+    (``own`` says which a row is of). A row with ``b`` null names an id not connected with the hub there; asked for by ``tell``.
+    """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, nodes, sets, own, seen = None, [], [], [], set()
 
         def links() -> pa.RecordBatch:
-            found = group_links(sets, like) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
+            found, loose = [], []
+            if len(sets) > 1:
+                hub, i, j, tell = key
+                hubs = [k for k, node in enumerate(nodes) if node == hub]
+                found = group_links(sets, like, hubs[0] if hubs else 0, None if i == j else np.array(own) == j)
+                if tell:
+                    reached = _reached(found, hubs)
+                    loose = sorted({node for k, node in enumerate(nodes) if k not in reached})
+            a, b = [nodes[i] for i, _ in found] + loose, [nodes[j] for _, j in found] + [None] * len(loose)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a) if a else [], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                              ["hub", "a", "b"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 each = shingle_sets(*word_hashes(*texts_of(part.column("text")), lower=True), like.words)
-                keys = zip(*(part.column(c).to_pylist() for c in ("hub", "i", "j")), strict=True)
-                for now, node, elements in zip(keys, part.column("id").to_pylist(), each, strict=True):
+                columns = (part.column(c).to_pylist() for c in ("hub", "i", "j", "tell", "id", "own"))
+                for *now, node, chunk, elements in zip(*columns, each, strict=True):
                     if now != key:
                         yield links()
-                        key, nodes, sets = now, [], []
-                    nodes.append(node)
-                    sets.append(elements)
+                        key, nodes, sets, own, seen = now, [], [], [], set()
+                    if not nodes or node != nodes[-1]:
+                        seen = set()
+                    # An id's rows of one set count once.
+                    if len(elements) and (same := (len(elements), *digests(elements))) not in seen:
+                        seen.add(same)
+                        nodes.append(node)
+                        sets.append(elements)
+                        own.append(chunk)
         yield links()
 
     return task
 
 
+def _chunks(shingles: str, sets: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(shingles) / MOST_SHINGLES), F.ceil(F.col(sets) / MOST_SETS))
+
+
 def _verified(groups: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
-    """``a, b``: links among the members of each group of ``groups(hub, node, n)``, enough to connect what links connect.
+    """``a, b``: links among the members of each group of ``groups(hub, node, n, sets)``, enough to connect what links connect.
 
     Texts are read again from the documents; the ids wanted are broadcast if there are few of them, else joined by shuffle. A
-    group with many shingles is cut into chunks, and each pair of chunks meets in a task, so that no
-    task holds more than twice ``MOST_SHINGLES`` or so.
+    group with many shingles or sets is cut into chunks, and each is compared in a task, together with the hub. What
+    is connected with the hub there is one component, so only the rest needs to meet others: these ids are cut into chunks by themselves, and each
+    of these meets each other chunk. So no task holds more than twice ``MOST_SHINGLES`` or ``MOST_SETS`` or so, and
+    a text is sent twice and as often again as the rest has chunks.
     """
     wanted = written(groups.select(F.col("node").alias("id")).distinct(), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
     texts = docs.join(side, docs["doc_id"] == side["id"]).select("id", "text")
-    chunks = groups.groupBy("hub").agg(F.ceil(F.sum("n") / MOST_SHINGLES).alias("chunks"))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    dealt = (groups.join(chunks, "hub").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"))
-    rows = dealt.join(texts, F.col("node") == F.col("id")).select("hub", "i", "j", "id", "text")
-    found = (rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
-             .mapInArrow(_compare(like), "a long, b long"))
-    return written(found.distinct(), "found")
+    # A row's chunk hangs on its text too, so that rows that repeat an id are spread.
+    place = F.xxhash64("id", "text")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return (rows.select("hub", "i", "j", "tell", "id", "own", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
+                .mapInArrow(_compare(like), "hub long, a long, b long"))
+
+    total = groups.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("sets").alias("sets")).select("hub", _chunks("n", "sets").alias("chunks"))
+    own = F.pmod(place, F.col("chunks"))
+    met = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
+    chunked = (groups.select("hub", "node").join(total, "hub").join(texts, F.col("node") == F.col("id"))
+               .select("hub", "id", "text", (F.col("chunks") > 1).alias("tell"), F.explode(met).alias("i")))
+    found = written(compared(chunked.withColumns({"j": F.col("i"), "own": F.col("i")})).distinct(), "found")
+
+    loose = written(found.filter("b is null").select("hub", F.col("a").alias("node"), F.lit(True).alias("loose")), "loose")
+    links = found.filter("b is not null").select("a", "b")
+    if loose.isEmpty():
+        return links
+    apart = (groups.join(loose.select("hub").distinct(), "hub").join(loose, ["hub", "node"], "left")
+             .select("hub", "node", "n", "sets", F.coalesce("loose", F.lit(False)).alias("loose")))
+    sums = {f"{c}_{kind}": F.sum(F.when(F.col("loose") == (kind == "loose"), F.col(c)).otherwise(0)) for c in ("n", "sets") for kind in ("tied", "loose")}
+    counts = (apart.groupBy("hub").agg(*(v.alias(k) for k, v in sums.items()))
+              .select("hub", _chunks("n_tied", "sets_tied").alias("tied"), _chunks("n_loose", "sets_loose").alias("rest")))
+    # Chunks of connected ids come first, those of the rest after them.
+    own = F.when(F.col("loose"), F.col("tied") + F.pmod(place, F.col("rest"))).otherwise(F.pmod(place, F.col("tied")))
+    others = F.sequence(F.when(F.col("loose"), F.lit(0).cast("long")).otherwise(F.col("tied")), F.col("tied") + F.col("rest") - 1)
+    pairs = (apart.select("hub", "node", "loose").join(counts, "hub").join(texts, F.col("node") == F.col("id"))
+             .select("hub", "id", "text", own.alias("own"), F.explode(others).alias("other"))
+             .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "tell": F.lit(False)}))
+    return links.union(written(compared(pairs).select("a", "b").distinct(), "found"))
 
 
 def _sign_all(docs: DataFrame, like: Similarity, common: np.ndarray) -> list[DataFrame]:
@@ -306,8 +390,8 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     1. One pass makes each text's set and its PartEnum signatures. Equal sets are one from here on.
     2. Documents that share a signature form a bucket, and buckets with the same hub, its member with most shared
        signatures, form a group. A group has each of its members once, however many signatures they share.
-    3. In a group every pair is compared in the task that holds it, by products of sets, and what leaves the
-       task are links enough to connect what links connect: fewer than the group has members.
+    3. In a group each set is compared with the hub, and those not connected with it with all, in the tasks that hold
+       them, by products of sets. What leaves a task are links enough to connect what links connect: fewer than it has members.
     4. Components come from these links.
 
     Buckets are found by a count combined before the shuffle and then joined, so a bucket with a
@@ -340,7 +424,7 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     rank = F.struct("times", -F.col("node"))
     hubs = (hits.join(known, "node").groupBy("sig").agg(F.max_by("node", rank).alias("hub"), F.count(F.lit(1)).alias("size"))
             .filter("size > 1").drop("size"))
-    sizes = members.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
+    sizes = members.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"))
     found = _verified(written(hits.join(hubs, "sig").select("hub", "node").distinct().join(sizes, "node"), "groups"), docs, like)
     components = connected_components(found.union(copies.select("doc_id", "rep")))
     return (tables[0].join(components, F.col("doc_id") == F.col("node"), "left")

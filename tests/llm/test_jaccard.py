@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from edge_tables import documents, empty
@@ -113,6 +115,63 @@ def test_a_group_gives_fewer_links_than_members():
     assert len(group_links(sets, Similarity(4, 85))) == 49
 
 
+def template_lines(n):
+    """Sets of 13 elements of which 12 are the same."""
+    base = np.arange(12, dtype=np.uint64)
+    return [np.append(base, np.uint64(100 + i)) for i in range(n)]
+
+
+def test_memory_of_a_group_of_many_short_sets_is_bounded():
+    loners = [np.append(np.arange(12, dtype=np.uint64) + np.uint64(30 * i + 10**7), np.uint64(5)) for i in range(300)]
+    tracemalloc.start()
+    links = group_links(template_lines(20_000) + loners, Similarity(4, 85))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == 19_999 and peak < 300 << 20
+
+
+@pytest.mark.parametrize("cells", [10, 4_000_000])
+def test_group_links_equal_those_of_all_pairs(monkeypatch, cells):
+    monkeypatch.setattr(jaccard_join, "CELLS", cells)
+    rng, like = np.random.default_rng(4), Similarity(4, 85)
+    for _ in range(10):
+        bases = [np.arange(20) + 1000 * b for b in range(3)]
+        sets = [np.unique(np.where(rng.random(20) < 0.07, rng.integers(10**6, size=20), bases[rng.integers(3)])).astype(np.uint64) for _ in range(60)]
+        apart = rng.random(60) < 0.4
+        for flags in (None, apart):
+            both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+            n = np.diag(both)
+            linked = 100 * both >= like.percent * (n[:, None] + n - both)
+            want = connected(linked if flags is None else linked & (flags[:, None] != flags))
+            got = np.zeros((60, 60), bool)
+            for i, j in group_links(sets, like, int(rng.integers(60)), flags):
+                assert linked[i, j]
+                got[i, j] = got[j, i] = True
+            labels = connected(got)
+            # With flags, links within a side may be found too.
+            assert all(labels[i] == labels[j] for i in range(60) for j in range(60) if want[i] == want[j])
+            assert flags is not None or len(set(labels)) == len(set(want))
+
+
+def connected(linked):
+    label = np.arange(len(linked))
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        label[label == label[j]] = label[i]
+    return label
+
+
+def test_a_large_group_in_chunks_by_sets(spark, monkeypatch):
+    """Template lines that link to the hub, and others of the same group that only link among themselves."""
+    monkeypatch.setattr(jaccard_join, "MOST_SETS", 7)
+    words = [f"w{i}" for i in range(15)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(60)]
+    rows += [(100 + i, " ".join([*words[:13], f"a{i % 5}", *words[14:], f"b{i % 7}"])) for i in range(40)]
+    rows += chains(6)[:60]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    like = Similarity(4, 85)
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), like).collect()} == brute(rows, like)
+
+
 def test_common_shingles_are_few(spark):
     df = spark.createDataFrame([(i, f"x{i} a b c d y{i}") for i in range(20)], "doc_id long, text string").select(
         "doc_id", F.col("text").cast("binary").alias("text"))
