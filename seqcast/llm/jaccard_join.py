@@ -135,7 +135,7 @@ def signatures(elements: np.ndarray, like: Similarity, common: np.ndarray | None
 
 
 def _signed(like: Similarity, common, seed: int, only: frozenset[int] | None):
-    """Sets and signatures of documents; a set seen before in the task is not signed again."""
+    """Sets and signatures of documents; a set seen before in the task is not signed again. Rows without an id are not signed."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -144,12 +144,13 @@ def _signed(like: Similarity, common, seed: int, only: frozenset[int] | None):
                 rows = len(part)
                 n, d = np.zeros(rows, np.int64), np.zeros((2, rows), np.uint64)
                 sigs, weak = [np.zeros(0, np.uint64)] * rows, [[]] * rows
+                named = part.column("doc_id").is_valid().to_pylist()
                 for i, e in enumerate(shingle_sets(*word_hashes(*texts_of(part.column("text")), lower=True), like.words)):
                     n[i] = len(e)
                     if not len(e):
                         continue
                     d[:, i] = key = digests(e)
-                    if key in seen or (only is not None and not any(b in only for b, _ in like.bands(len(e)))):
+                    if not named[i] or key in seen or (only is not None and not any(b in only for b, _ in like.bands(len(e)))):
                         continue
                     seen.add(key)
                     sigs[i], weak[i] = signatures(e, like, common.value, seed)
@@ -411,20 +412,26 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     copies = written(members.select("doc_id", "n", "d1", "d2").join(groups, ["n", "d1", "d2"])
                      .select("doc_id", "rep").filter("doc_id <> rep").distinct(), "copies")
 
+    # An id of several sets is looked for under all their representatives and under itself, for signatures do not say of which set they are.
+    ids = written(members.groupBy("doc_id").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"),
+        *(F.min(c).alias(f"least_{c}") for c in ("n", "d1", "d2")), *(F.max(c).alias(f"most_{c}") for c in ("n", "d1", "d2")))
+        .select("doc_id", "n", "sets", F.expr("least_n <> most_n or least_d1 <> most_d1 or least_d2 <> most_d2").alias("several")), "ids")
+    nodes = copies.union(ids.filter("several").select("doc_id", F.col("doc_id").alias("rep")))
+
     rows = tables[0].select("doc_id", F.explode("sigs").alias("sig"))
     for t in tables[1:]:
         rows = rows.union(t.select("doc_id", F.explode("sigs").alias("sig")))
     rows = rows.filter("doc_id is not null")
     # Counts, nearly all of them one, move in less room than ids would.
     shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("sig")
-    # An id of several sets may have several representatives.
-    hits = rows.join(shared, "sig").join(copies, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("node")).distinct()
+    hits = rows.join(shared, "sig").join(nodes, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("node")).distinct()
     hits = written(hits, "hits")
     known = hits.groupBy("node").agg(F.count(F.lit(1)).alias("times"))
     rank = F.struct("times", -F.col("node"))
     hubs = (hits.join(known, "node").groupBy("sig").agg(F.max_by("node", rank).alias("hub"), F.count(F.lit(1)).alias("size"))
             .filter("size > 1").drop("size"))
-    sizes = members.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"))
+    sizes = ids.select(F.col("doc_id").alias("node"), "n", "sets")
     found = _verified(written(hits.join(hubs, "sig").select("hub", "node").distinct().join(sizes, "node"), "groups"), docs, like)
     components = connected_components(found.union(copies.select("doc_id", "rep")))
     return (tables[0].join(components, F.col("doc_id") == F.col("node"), "left")

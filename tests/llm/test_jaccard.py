@@ -198,6 +198,24 @@ def test_edge_cases(spark):
     assert near_duplicates(empty(documents(spark))).count() == 0
 
 
+def test_a_copy_without_an_id_takes_no_signatures_away(spark):
+    words = [f"w{i}" for i in range(30)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, text), (7, text), (8, near), (None, near)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), Similarity(4, 85)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {None: None, 7: 7, 8: 7}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_every_text_of_a_repeated_id_is_compared(spark, parts):
+    a, b, c = ([f"{x}{i}" for i in range(30)] for x in "abc")
+    rows = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*b[:-1], "other"])),  # 5 has 1's text and one of its own
+            (11, " ".join(c)), (11, ""), (12, " ".join(["new", *c[1:]])), (13, "")]
+    like = Similarity(4, 85)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), like).collect()
+    assert {tuple(r) for r in got} == brute(rows, like)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 300), (200, 300), (5, 5)] + [(1000, i) for i in range(1001, 1300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
