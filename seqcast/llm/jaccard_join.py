@@ -417,7 +417,9 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"),
         *(F.min(c).alias(f"least_{c}") for c in ("n", "d1", "d2")), *(F.max(c).alias(f"most_{c}") for c in ("n", "d1", "d2")))
         .select("doc_id", "n", "sets", F.expr("least_n <> most_n or least_d1 <> most_d1 or least_d2 <> most_d2").alias("several")), "ids")
-    nodes = copies.union(ids.filter("several").select("doc_id", F.col("doc_id").alias("rep")))
+    # Written, so that the planner sees how few they are.
+    several = written(ids.filter("several").select("doc_id", F.col("doc_id").alias("rep")), "several")
+    nodes = copies.union(several)
 
     rows = tables[0].select("doc_id", F.explode("sigs").alias("sig"))
     for t in tables[1:]:
