@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where the tables that ``written`` returned lie.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which every executor must be able to reach.
@@ -38,11 +42,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of the shared folder that nobody reads any more."""
-    for path in paths:
-        files, where = _file_system(spark, path)
-        files.delete(where, True)
+def discard_table(*tables: DataFrame) -> None:
+    """Delete tables returned by ``written`` that nobody reads any more; other frames are left alone."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            files, where = _file_system(table.sparkSession, path)
+            files.delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,4 +57,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
