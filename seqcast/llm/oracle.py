@@ -53,4 +53,41 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES = {"op1_license_scan": OP1, "op5_warc": OP5, "op6_exact_dedup": OP6}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(text, '{_TERM}'), lambda t: translate(t, '{UPPER}', '{LOWER}')) AS terms
+               FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+total AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(documents) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+items AS (SELECT row_number() OVER () AS i, item_id, list_distinct(list_transform(regexp_extract_all(text, '{_TERM}'), lambda t: translate(t, '{UPPER}', '{LOWER}'))) AS terms
+          FROM benchmark WHERE text IS NOT NULL),
+scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // total.terms)))) AS BIGINT) AS score
+  FROM (SELECT i, item_id, unnest(terms) AS term FROM items) JOIN tf USING (term) JOIN w USING (term), total GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM}'), []) AS words FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM}') AS words FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, words[p : p + least(len(words), 10) - 1] AS w
+  FROM (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS p FROM i WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT len(w) AS size FROM windows),
+runs AS (SELECT r, p, size, words[p : p + size - 1] AS w
+         FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS p FROM d, sizes)),
+hits AS (SELECT r, p, size, item_id FROM runs JOIN windows USING (w)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS q FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+          FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLES = {"op1_license_scan": OP1, "op5_warc": OP5, "op6_exact_dedup": OP6, "op11_lexical_search": OP11, "op13_decontamination": OP13}

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqcast.llm.decontaminate import contamination, item_list
 from seqcast.llm.exact_dedup import exact_duplicates
 from seqcast.llm.html_extract import main_text
 from seqcast.llm.jaccard_join import Similarity, near_duplicates
+from seqcast.llm.lexical_search import ranked_search
 from seqcast.llm.licenses import license_matches
 from seqcast.llm.mixing import mix_sources
 from seqcast.llm.packing import pack
 from seqcast.llm.quality import quality
+from seqcast.llm.spelling import spelling_variants
 from seqcast.llm.toxicity import toxicity
 from seqcast.llm.vector_search import nearest_neighbours
 from seqcast.llm.warc import read_archive, write_archive
@@ -65,5 +68,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), most=50)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(item_list(F.col("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_html_text, op3_source_mix, op4_ngram_jaccard, op5_warc, op6_exact_dedup, op7_nearest_vectors,
-                                op8_toxicity, op9_quality, op10_packing)}
+                                op8_toxicity, op9_quality, op10_packing, op11_lexical_search, op12_spelling_variants, op13_decontamination)}

@@ -12,6 +12,9 @@ WINDOW = 1 << 21
 # Bytes that end a word: space and the five ASCII controls from tab on.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Bytes that end a term: all of ASCII but digits and letters.
+NO_TERM = np.zeros(256, bool)
+NO_TERM[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _EXACT = _RANDOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _LOWER = _EXACT.copy()
 _LOWER[ord("A"): ord("Z") + 1] = _LOWER[ord("a"): ord("z") + 1]
@@ -60,7 +63,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         start = end
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> Iterator[tuple[int, int]]:
     """Windows that cut no word."""
     start, n = 0, len(data)
     while start < n:
@@ -69,7 +72,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             end = min(start + size, n)
             if end == n:
                 break
-            spaces = np.flatnonzero(SPACE[data[start:end]])
+            spaces = np.flatnonzero(apart[data[start:end]])
             begins = offsets[np.searchsorted(offsets, end, "right") - 1]
             best = max(int(spaces[-1]) + 1 + start if len(spaces) else 0, int(begins))
             if best > start:
@@ -80,19 +83,19 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and the place of each text's first word among them (one more entry for the end).
 
-    ``lower`` takes A-Z as a-z. Works through windows, so that a very long text needs no more
+    ``lower`` takes A-Z as a-z, and ``apart`` says which bytes end a word. Works through windows, so that a very long text needs no more
     than its words' hashes.
     """
     code = _LOWER if lower else _EXACT
     hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     new_text = np.zeros(len(data) + 1, bool)
     new_text[offsets] = True
-    for start, end in _cuts(data, offsets):
+    for start, end in _cuts(data, offsets, apart):
         part = data[start:end]
-        word = ~SPACE[part]
+        word = ~apart[part]
         edge = new_text[start:end].copy()
         edge[0] = True
         first = word & edge
