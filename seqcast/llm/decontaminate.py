@@ -198,8 +198,8 @@ def _matched(windows, index, digested: bool):
                 spans = [b""] * len(items)
                 pairs = np.unique(np.stack([np.searchsorted(first, start, "right") - 1, window], axis=1), axis=0)
                 docs, at = np.unique(pairs[:, 0], return_index=True)
-                for doc, mine in zip(docs, np.split(pairs[:, 1], at[1:]), strict=True):
-                    items[doc] = sorted({i for w in mine for i in every.items[w]})
+                for doc, a, b in zip(docs, at, np.append(at, len(pairs))[1:], strict=True):
+                    items[doc] = sorted({i for w in pairs[a:b, 1] for i in every.items[w]})
                     if digested:
                         spans[doc] = _spans(hit[first[doc]: first[doc + 1]]).tobytes()
                 digest = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] if digested else [b""] * len(items)
