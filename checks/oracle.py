@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.stand_in import HAND_SET
+from seqcast.operators.shards import EPOCH_FACTOR, PRIME, ROUND_FACTOR, ROUNDS, VALUE_FACTOR
 
 FEATURES = ("Open", "High", "Low", "Close", "Volume")
 WINDOW = 60
@@ -70,14 +71,28 @@ METRICS = """count(*) AS n, round(avg((y - p) * (y - p)), 1) AS "MSE", round(sqr
 FROM (SELECT split, "Symbol", "Close" AS y, y_pred AS p FROM persisted WHERE position >= 60)"""
 
 
+def _places() -> str:
+    """All rounds of the permutation, from a sample's number ``p`` to ``y * across + x``."""
+    rows = "(SELECT *, p % across AS x, p // across AS y FROM walk, grid)"
+    for r in range(ROUNDS):
+        own, other, size = ("y", "x", "down") if r % 2 else ("x", "y", "across")
+        key = f"(epoch * {EPOCH_FACTOR} + {r * ROUND_FACTOR % PRIME}) % {PRIME}"
+        rows = (f"(SELECT * EXCLUDE (t) REPLACE (({own} + t * t % {PRIME} * t % {PRIME}) % {size} AS {own})\n"
+                f" FROM (SELECT *, ({other} * {VALUE_FACTOR} + {key}) % {PRIME} AS t FROM {rows}))")
+    return rows
+
+
 def _dealt(world: int, epochs: str) -> str:
     """Train samples dealt to ranks and batches, the permutation continued until it divides."""
-    return f"""{PANEL},
-drawn AS (SELECT epoch, "Symbol", "Date",
-                 row_number() OVER (PARTITION BY epoch ORDER BY
-                   md5("Symbol" || '|' || strftime("Date", '%Y-%m-%d %H:%M:%S') || '|0|' || epoch), "Symbol", "Date") - 1 AS place,
-                 count(*) OVER (PARTITION BY epoch) AS size
-          FROM samples, (SELECT unnest([{epochs}]) AS epoch) WHERE split = 'train'),
+    return f"""{PANEL.replace("WITH ", "WITH RECURSIVE ", 1)},
+counted AS (SELECT "Symbol", "Date", row_number() OVER (ORDER BY "Symbol", "Date") - 1 AS number, count(*) OVER () AS size
+            FROM samples WHERE split = 'train'),
+grid AS (SELECT DISTINCT CAST(ceil(sqrt(size)) AS BIGINT) AS across, CAST(ceil(size / ceil(sqrt(size))) AS BIGINT) AS down FROM counted),
+walk AS (
+  SELECT CAST(epoch AS BIGINT) AS epoch, "Symbol", "Date", size, number AS p, 0 AS taken FROM counted, (SELECT unnest([{epochs}]) AS epoch)
+  UNION ALL
+  SELECT epoch, "Symbol", "Date", size, y * across + x, taken + 1 FROM {_places()} WHERE taken = 0 OR p >= size),
+drawn AS (SELECT CAST(epoch AS INTEGER) AS epoch, "Symbol", "Date", p AS place, size FROM walk WHERE taken > 0 AND p < size),
 placed AS (SELECT epoch, "Symbol", "Date",
                   unnest(generate_series(place, CAST(ceil(size / {world}::DOUBLE) AS BIGINT) * {world} - 1, size)) AS pos
            FROM drawn),
@@ -112,6 +127,9 @@ def _gate(row: int) -> str:
 
 
 # The unit's recurrence, a step at a time over all windows of the test period.
+GRAM = ", ".join(f'round(sum({a} * {b}), 4) AS "{n}_{m}"' for n, a in (("one", "CAST(1 AS DOUBLE)"), *((c, f'x."{c}_scaled"') for c in FEATURES))
+                 for m, b in (("one", "CAST(1 AS DOUBLE)"), *((c, f'z."{c}_scaled"') for c in FEATURES)))
+
 SCORED = f"""{PANEL.replace("WITH ", "WITH RECURSIVE ", 1)},
 states AS (
   SELECT split, "Symbol", "Date", position, 0 AS step, CAST(0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS c FROM samples WHERE split = 'test'
@@ -127,6 +145,30 @@ scored AS (
          CAST(CAST({HAND_SET["fc.weight"][0][0]} * h + {HAND_SET["fc.bias"][0]} AS FLOAT) AS DOUBLE) AS p
   FROM states JOIN numbered USING (split, "Symbol", "Date", position) WHERE step = {WINDOW})"""
 
+# Both sides of the two tests at once; each row walks its continued fraction.
+EQUIVALENCE = f"""{RUNS.replace("WITH ", "WITH RECURSIVE ", 1)},
+stats AS (SELECT sized AS num_processes, count(*) AS runs, avg("MAPE") AS mean, var_samp("MAPE") / count(*) AS v FROM named GROUP BY 1),
+base AS (SELECT runs AS n, mean AS m, v AS w FROM stats WHERE num_processes = 1),
+compared AS (SELECT num_processes, runs, mean, mean - m AS difference, abs(m) / 20 AS bound, sqrt(v + w) AS error,
+                    (v + w) * (v + w) / (v * v / (runs - 1) + w * w / (n - 1)) AS freedom FROM stats, base WHERE num_processes <> 1),
+sides AS (SELECT num_processes, freedom, unnest([(difference + bound) / error, (bound - difference) / error]) AS t FROM compared),
+betas AS (SELECT *, freedom / (freedom + t * t) AS x0, freedom / 2 AS a0, CAST(0.5 AS DOUBLE) AS b0 FROM sides),
+turned AS (SELECT *, x0 > (a0 + 1) / (a0 + b0 + 2) AS turn FROM betas),
+ready AS (SELECT num_processes, t, turn, CASE WHEN turn THEN b0 ELSE a0 END AS a, CASE WHEN turn THEN a0 ELSE b0 END AS b,
+                 CASE WHEN turn THEN 1 - x0 ELSE x0 END AS x FROM turned),
+lentz AS (
+  SELECT *, 0 AS k, CAST(1 AS DOUBLE) AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM ready
+  UNION ALL
+  SELECT num_processes, t, turn, a, b, x, k + 1, 1 + e / c, 1 / (1 + e * d), h * (1 + e / c) / (1 + e * d)
+  FROM (SELECT *, CASE WHEN k % 2 = 1 THEN -(a + k // 2 + 1) * (a + b + k // 2 + 1) * x / ((a + k + 1) * (a + k + 2))
+                       ELSE (k // 2 + 1) * (b - k // 2 - 1) * x / ((a + k + 1) * (a + k + 2)) END AS e FROM lentz WHERE k < 800)),
+tails AS (SELECT num_processes, t, turn, CASE WHEN x <= 0 THEN 0 ELSE exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * h / a END AS i
+          FROM lentz WHERE k = 800),
+chances AS (SELECT num_processes, max(CASE WHEN t >= 0 THEN tail ELSE 1 - tail END) AS p
+            FROM (SELECT num_processes, t, CASE WHEN turn THEN 1 - i ELSE i END / 2 AS tail FROM tails) GROUP BY 1)
+SELECT num_processes, runs, round(mean, 6) AS mean, round(difference, 6) AS difference, round(freedom, 6) AS freedom, round(p, 6) AS p, p < 0.05 AS equivalent
+FROM compared JOIN chances USING (num_processes)"""
+
 ORACLES: dict[str, str] = {
     "scan_bars": f'WITH {DAILY_BARS} SELECT "Symbol", "Date", {_columns(chr(34) + "{c}" + chr(34))} FROM bars',
     "filter_symbols": f'WITH {DAILY_BARS} SELECT * FROM bars WHERE "Symbol" IN ({DAILY_KEPT})',
@@ -141,6 +183,7 @@ SELECT *, row_number() OVER (ORDER BY "Symbol", "Date") - 1 AS position FROM bar
     "split_cutoffs": f"{PANEL} SELECT * FROM cuts",
     "chrono_split": f'{PANEL} SELECT "Symbol", "Date", split FROM divided',
     "scaler_fit": f"{PANEL} SELECT * FROM bounds",
+    "scaler_fit_in_batches": f"{PANEL} SELECT * FROM bounds",
     "scaled_bars": f"""{PANEL}
 SELECT split, "Symbol", "Date", {_columns('round("{c}_scaled", 9) AS "{c}_scaled"')} FROM numbered""",
     "unscale_target": f'{PANEL} SELECT "Symbol", "Date", round("Close", 4) AS "Close_back" FROM divided',
@@ -148,6 +191,7 @@ SELECT split, "Symbol", "Date", {_columns('round("{c}_scaled", 9) AS "{c}_scaled
 SELECT "Symbol", "Date", round(CAST(CAST("Close_scaled" AS FLOAT) AS DOUBLE), 9) AS "Close_float" FROM numbered""",
     "sequences": f"{PANEL} {STEPS}",
     "sequences_in_cells": f"{HOURLY_PANEL} {STEPS}",
+    "sequences_from_store": f"{PANEL} {STEPS}",
     "series_positions": f'{HOURLY_PANEL} SELECT split, "Symbol", "Date", position FROM numbered',
     "sequence_counts": f"""{PANEL}
 SELECT split, "Symbol", count(*) AS n_rows, greatest(count(*) - {WINDOW}, 0) AS n_sequences FROM divided GROUP BY 1, 2""",
@@ -204,6 +248,7 @@ SELECT sized AS num_processes, count(*) AS runs, round(avg("MAPE"), 6) AS "MAPE"
     "repeat_stats": f"""{RUNS}
 SELECT run_type, stated AS num_processes, storage, count(*) AS runs, round(avg(logged), 6) AS mean, round(min(logged), 6) AS low,
        round(max(logged), 6) AS high, round(stddev_samp(logged), 6) AS spread FROM named GROUP BY 1, 2, 3""",
+    "equivalence_report": EQUIVALENCE,
     "parse_dates_by_format": f"""WITH {DAILY_BARS}, texts AS (
   SELECT "Symbol", CASE WHEN "Volume" = 1 THEN '?' ELSE '' END || strftime("Date", '%m/%d/%Y') AS date_text FROM bars)
 SELECT "Symbol", date_text, CAST(try_strptime(date_text, '%m/%d/%Y') AS TIMESTAMP) AS "Date" FROM texts""",
@@ -218,6 +263,12 @@ SELECT split, "Symbol", "Date", round(y, 6) AS y, round(p, 6) AS p FROM scored""
     "forecast_actual": f"""{SCORED}
 SELECT split, "Symbol", "Date", round(y * ("Close_max" - "Close_min") + "Close_min", 3) AS y_actual,
        round(p * ("Close_max" - "Close_min") + "Close_min", 3) AS y_pred FROM scored, bounds""",
+    "window_gram": f"""{PANEL}, train AS (SELECT * FROM numbered WHERE split = 'train'),
+runs AS (SELECT "Symbol", position - {WINDOW} AS start FROM train WHERE position >= {WINDOW})
+SELECT CAST(x.position - start AS INTEGER) AS i, CAST(z.position - start AS INTEGER) AS j, {GRAM}
+FROM runs JOIN train x ON x."Symbol" = runs."Symbol" AND x.position BETWEEN start AND start + {WINDOW}
+          JOIN train z ON z."Symbol" = runs."Symbol" AND z.position BETWEEN x.position AND start + {WINDOW}
+GROUP BY 1, 2""",
     "fit_window_regressor": f"""{PANEL},
 pairs AS (SELECT *, lag("Close_scaled") OVER (PARTITION BY split, "Symbol" ORDER BY "Date") AS x FROM numbered),
 line AS (SELECT regr_slope("Close_scaled", x) AS slope, regr_intercept("Close_scaled", x) AS intercept FROM pairs WHERE split = 'train'),

@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import stand_in
 from checks.stand_in import SETTINGS, daily_bars, daily_panel, hourly_panel, persistence, table
+from seqcast.config import Settings
 from seqcast.functions.text import artefact_name, run_id, run_name
+from seqcast.operators.gram import window_gram
 from seqcast.operators.metrics import (batch_losses, mape, rank_epoch_loss, reduced_epoch_loss, regression_metrics,
                                        weighted_epoch_loss)
 from seqcast.operators.prepare import bar_positions, drop_missing, filter_symbols, parse_dates, prepare, project_features
 from seqcast.operators.scale import bounds_from_profile, narrowed, unscale
 from seqcast.operators.shards import assign_shards, ordered_batches
 from seqcast.operators.split import TEST, TRAIN, cutoffs, date_profile
-from seqcast.operators.windows import flat_features, last_step, sequence_counts, series_positions
-from seqcast.plans.panel import Panel
-from seqcast.plans.reports import accuracy_report, milestones, repeat_stats, speedup_report, storage_report
+from seqcast.operators.windows import flat_features, gathered_blocks, last_step, sequence_counts, series_positions
+from seqcast.plans.incremental import add_to_profile, kept_profile
+from seqcast.plans.panel import Panel, build_panel
+from seqcast.plans.reports import accuracy_report, equivalence_report, milestones, repeat_stats, sized, speedup_report, storage_report
 from seqcast.plans.run import summary_of
-from seqcast.plans.scoring import forecast, score
+from seqcast.plans.scoring import forecast, forecast_actual, score
 from seqcast.plans.training import train, train_single
-from seqcast.plans.window_regressor import fit_window_regressor, regressor_forecast
+from seqcast.plans.window_regressor import WindowRegressor, fit_window_regressor, regressor_forecast
 from seqcast.sources.bars import read_bars
 from seqcast.sources.runs import (CURVE_SCHEMA, METRICS_FIELD, WEIGHTS_SCHEMA, append_summary, parameter_counts, read_summaries,
                                   read_table, summarise, write_table)
 from seqcast.sources.shared import new_table_path
+from seqcast.sources.store import read_store, stored_sequences, write_store
 
 FEATURES = SETTINGS.features
 WORLD = 4
-# All windows and all epochs, with a small network whose ranks average their weights once an epoch or more often.
-TRAINED = SETTINGS.override(world_size=WORLD, hidden_size=8, num_layers=1, sync_every=64, batch_size=256)
+# All windows and epochs, with the default network and batches; ranks average their weights after eight steps.
+TRAINED = SETTINGS.override(world_size=WORLD, sync_every=8)
+# The same by the mean gradient of every step, for as many epochs as are laid out together.
+EACH_STEP = SETTINGS.override(world_size=WORLD, epochs=5)
+# All windows and epochs in one rank, with a small network and large batches.
+ALONE = SETTINGS.override(world_size=WORLD, hidden_size=8, num_layers=1, batch_size=256, tasks=1)
 
 
 def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -53,13 +63,17 @@ def scan_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_dates(read_bars(spark, path))
 
 
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col
+    return summarise(
+        stand_in.runs(spark, sf_dir), F.concat_ws(".", "l_orderkey", "l_linenumber"), f("run_type"), f("num_processes"), f("storage"),
+        f("symbols"), f("n_samples"), f("training_time_seconds"), f("stopped_epoch"), f("finished"))
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries as runs leave them: appended to a log and read back."""
     path = new_table_path(spark, "run-summaries")
-    f = F.col
-    append_summary(summarise(
-        stand_in.runs(spark, sf_dir), F.concat_ws(".", "l_orderkey", "l_linenumber"), f("run_type"), f("num_processes"), f("storage"),
-        f("symbols"), f("n_samples"), f("training_time_seconds"), f("stopped_epoch"), f("finished")), path)
+    append_summary(_summaries(spark, sf_dir), path)
     return read_summaries(spark, path)
 
 
@@ -158,6 +172,17 @@ def float32_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("Symbol", "Date", F.round(narrowed(F.col("Close_scaled")), 9).alias("Close_float")))
 
 
+def scaler_fit_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of a profile that three batches of days were added to, one of them twice."""
+    clean = prepare(daily_bars(spark, sf_dir), SETTINGS)
+    path = new_table_path(spark, "profile")
+    for batch in (0, 1, 2, 1):
+        add_to_profile(clean.where(F.dayofyear("Date") % 3 == batch), FEATURES, path, str(batch))
+    profile = kept_profile(spark, FEATURES, path)
+    train_end = cutoffs(profile, SETTINGS.train_ratio, SETTINGS.val_ratio).select("train_end").scalar()
+    return bounds_from_profile(profile, train_end, FEATURES)
+
+
 # Windows
 
 
@@ -176,6 +201,14 @@ def sequences_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(hourly_panel(spark, sf_dir).sequences())
 
 
+def sequences_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a bucketed table of bars."""
+    name = f"bars_{uuid.uuid4().hex}"
+    write_store(prepare(daily_bars(spark, sf_dir), SETTINGS), name, new_table_path(spark, "store"), WORLD)
+    panel = build_panel(read_store(spark, name), SETTINGS)
+    return _steps(stored_sequences(panel.scaled(), [f"{c}_scaled" for c in FEATURES], f"{SETTINGS.target}_scaled", SETTINGS.window))
+
+
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = hourly_panel(spark, sf_dir)
     return series_positions(panel.split(), panel.fit.cells).select("split", "Symbol", "Date", "position")
@@ -272,19 +305,23 @@ def batches_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Training and scoring
 
 
-def _trained(spark: SparkSession, sf_dir: str, single: bool) -> DataFrame:
-    """Summary of a run over all train windows, for all epochs of the settings."""
-    panel = daily_panel(spark, sf_dir, TRAINED)
+def _trained(spark: SparkSession, sf_dir: str, settings: Settings, single: bool = False) -> DataFrame:
+    """Summary of a run over all train windows."""
+    panel = daily_panel(spark, sf_dir, settings)
     model = train_single(panel) if single else train(panel)
     return summary_of(spark, model, forecast(panel, model.weights, TEST), datetime.now())
 
 
 def train_sequence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, single=False)
+    return _trained(spark, sf_dir, TRAINED)
+
+
+def train_each_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir, EACH_STEP)
 
 
 def train_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, single=True)
+    return _trained(spark, sf_dir, ALONE, single=True)
 
 
 def _written_table(spark: SparkSession, rows: DataFrame, name: str, schema: str) -> DataFrame:
@@ -330,6 +367,25 @@ def window_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(found.withColumn("MSE", F.col("MSE") / 1e6), 1, "MSE", "RMSE", "MAE"), 4, "MAPE")
 
 
+def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the values at any two places of a train window, target included: 61 places of five features."""
+    panel = daily_panel(spark, sf_dir)
+    blocks = gathered_blocks(panel.scaled(TRAIN), [f"{c}_scaled" for c in FEATURES], SETTINGS.window, SETTINGS.block_rows, panel.fit.cells)
+    names = [f"{a}_{b}" for a in ("one", *FEATURES) for b in ("one", *FEATURES)]
+    return window_gram(blocks, len(FEATURES), SETTINGS.window).select("i", "j", *[F.round(F.col("products")[k], 4).alias(n) for k, n in enumerate(names)])
+
+
+def window_regressor_of_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regression on 60 bars of five features, saved in a pipeline, loaded, and measured."""
+    panel = daily_panel(spark, sf_dir)
+    path = new_table_path(spark, "pipeline")
+    scaled = [f"{c}_scaled" for c in FEATURES]
+    stage = WindowRegressor(inputCols=scaled, labelCol=f"{SETTINGS.target}_scaled", window=SETTINGS.window)
+    Pipeline(stages=[stage]).fit(panel.scaled(TRAIN)).write().save(path)
+    scored = PipelineModel.load(path).transform(panel.scaled(TEST)).withColumnRenamed(f"{SETTINGS.target}_scaled", "y")
+    return _metrics_rounded(regression_metrics(forecast_actual(scored, panel.target_bounds), "Symbol"))
+
+
 # Run comparison
 
 
@@ -346,10 +402,16 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = repeat_stats(_log(spark, sf_dir), "run_type", "num_processes", "storage")
+    stats = repeat_stats(_summaries(spark, sf_dir), "run_type", "num_processes", "storage")
     return _rounded(stats, 6, "mean", "low", "high", "spread")
 
 
+def equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by number of processes against those of one process, within a twentieth of these."""
+    found = equivalence_report(sized(_summaries(spark, sf_dir)), F.col(f"{METRICS_FIELD}.MAPE"), 0.05)
+    return _rounded(found, 6, "mean", "difference", "freedom", "p")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_bars": scan_bars,
     "filter_symbols": symbols_kept,
@@ -362,11 +424,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_cutoffs": split_cutoffs,
     "chrono_split": chrono_split,
     "scaler_fit": scaler_fit,
+    "scaler_fit_in_batches": scaler_fit_in_batches,
     "scaled_bars": scaled_bars,
     "unscale_target": unscale_target,
     "float32_roundtrip": float32_roundtrip,
     "sequences": sequences,
     "sequences_in_cells": sequences_in_cells,
+    "sequences_from_store": sequences_from_store,
     "series_positions": row_positions,
     "sequence_counts": counted_sequences,
     "flat_features": flattened,
@@ -389,11 +453,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "storage_report": storage_gain,
     "accuracy_report": accuracy,
     "repeat_stats": repeats,
+    "equivalence_report": equivalence,
     "train_sequence_model": train_sequence_model,
+    "train_each_step": train_each_step,
     "train_single": train_alone,
     "learning_curve": learning_curve,
     "model_table": model_table,
     "score_sequences": score_sequences,
     "forecast_actual": forecast_in_prices,
     "fit_window_regressor": window_regressor,
+    "fit_window_regressor_60": window_regressor_of_60,
+    "window_gram": gram,
 }

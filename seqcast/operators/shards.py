@@ -1,57 +1,127 @@
 """Samples over ranks and mini-batches.
 
-These work on sample keys, not on windows: only keys are sorted and numbered.
+These work on sample keys, not on windows: only keys are numbered, once, and an epoch's permutation is a function of a key's number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqcast.operators.ordering import number_groups, number_rows
 from seqcast.operators.windows import Cells
 
-# Leading digits of a permutation's keys by which they are counted: 4096 even cells of an epoch.
-DIGITS = 3
+# Fixed values of the permutation, which its SQL shares: a prime, the factors of what goes into a round, and the rounds.
+PRIME = 2_147_483_647
+VALUE_FACTOR, SEED_FACTOR, EPOCH_FACTOR, ROUND_FACTOR = 1_103_515_245, 69_621, 48_271, 16_807
+ROUNDS = 6
 
 
-def permutation_key(seed: int, epoch: Column) -> Column:
-    """Text whose order is the epoch's permutation: the same however the keys are partitioned."""
-    return F.md5(F.concat_ws("|", F.col("Symbol"), F.col("Date").cast("string"), F.lit(seed), epoch))
+def sides(n: int) -> tuple[int, int]:
+    """The sides of a grid with at least ``n`` cells and fewer than a side's more."""
+    across = max(1, math.isqrt(max(0, n - 1)) + 1) if n else 1
+    return across, max(1, -(-n // across))
+
+
+def _round_key(seed: int, number: int) -> int:
+    return (seed % PRIME * SEED_FACTOR + number * ROUND_FACTOR) % PRIME
+
+
+def _mixed(numbers: np.ndarray, n: int, seed: int, epoch: int) -> np.ndarray:
+    """All rounds of the permutation of the grid's cells."""
+    across, down = sides(n)
+    y, x = np.divmod(numbers, across)
+    for r in range(ROUNDS):
+        t = ((x if r % 2 else y) * VALUE_FACTOR + (epoch * EPOCH_FACTOR + _round_key(seed, r)) % PRIME) % PRIME
+        cube = t * t % PRIME * t % PRIME
+        if r % 2:
+            y = (y + cube) % down
+        else:
+            x = (x + cube) % across
+    return y * across + x
+
+
+def permuted(numbers: np.ndarray, n: int, seed: int, epoch: int) -> np.ndarray:
+    """Places of the samples ``numbers`` (below ``n``) in an epoch: a permutation of all numbers below ``n``.
+
+    A Feistel network over the cells of a grid of about ``n`` cells: in turn one coordinate is moved by a function of the other. A
+    number that lands beyond ``n`` goes on from there until it lands below (cycle walking).
+    """
+    places = _mixed(np.asarray(numbers, np.int64), n, seed, epoch)
+    while len(beyond := np.flatnonzero(places >= n)):
+        places[beyond] = _mixed(places[beyond], n, seed, epoch)
+    return places
+
+
+def walks(n: int, seed: int, epochs: Sequence[int]) -> int:
+    """How often at most a number has to go on: followed from the cells beyond ``n``, of which there are fewer than its root."""
+    most = 0
+    for epoch in epochs:
+        beyond, taken = np.arange(n, math.prod(sides(n)), dtype=np.int64), 0
+        while len(beyond):
+            beyond, taken = _mixed(beyond, n, seed, epoch), taken + 1
+            beyond = beyond[beyond >= n]
+        most = max(most, taken)
+    return most
+
+
+def with_places(numbered: DataFrame, n: int, seed: int, epochs: Sequence[int], number: str = "_number", into: str = "_place") -> DataFrame:
+    """``permuted`` as columns, for rows with an ``epoch`` of ``epochs``: projections only, nothing moves."""
+    across, down = sides(n)
+    out = numbered.withColumn(into, F.col(number).cast("long"))
+    for walk in range(1 + walks(n, seed, epochs)):
+        out = out.withColumns({"_x": F.col(into) % across, "_y": F.expr(f"{into} div {across}")})
+        for r in range(ROUNDS):
+            own, other, size = ("_y", "_x", down) if r % 2 else ("_x", "_y", across)
+            key = (F.col("epoch").cast("long") * EPOCH_FACTOR + _round_key(seed, r)) % PRIME
+            out = out.withColumn("_t", (F.col(other) * VALUE_FACTOR + key) % PRIME)
+            out = out.withColumn(own, (F.col(own) + F.col("_t") * F.col("_t") % PRIME * F.col("_t") % PRIME) % size)
+        moved = F.col("_y") * across + F.col("_x")
+        out = out.withColumn(into, moved if not walk else F.when(F.col(into) >= n, moved).otherwise(F.col(into)))
+    return out.drop("_x", "_y", "_t")
+
+
+def number_samples(keys: DataFrame, within: Sequence[str] = (), cells: Cells = Cells(), into: str = "_number") -> DataFrame:
+    """Samples numbered in symbol and date order, in the whole table or in each group of ``within``."""
+    key = [c for c in ("Symbol", "Date", "position") if c in keys.columns]
+    in_series = number_rows(keys.select(*within, *key), *key[1:], cells=cells.columns(F.lit(0)), within=[*within, "Symbol"], into="_in_series")
+    return number_groups(in_series, "Symbol", "_in_series", within=within, into=into).select(*within, *key, into)
+
+
+def dealt(pos: Column, world_size: int, batch_size: int) -> tuple[Column, Column]:
+    """Rank and batch of a place."""
+    return (pos % world_size).cast("int"), F.floor(F.floor(pos / world_size) / batch_size)
 
 
 def assign_shards(keys: DataFrame, world_size: int, batch_size: int, seed: int = 0,
-                  epochs: Sequence[int] = (0,)) -> DataFrame:
+                  epochs: Sequence[int] = (0,), cells: Cells = Cells()) -> DataFrame:
     """Rank and batch of every sample in each of ``epochs``.
 
-    A sample at place ``pos`` of the epoch's permutation goes to rank ``pos % world_size``.
-    Keys that repeat a symbol and date have a ``position`` to tell them apart, which is then kept; it
-    breaks ties only. All ranks get equally many: the permutation is continued from its start until it divides,
+    Samples are numbered in symbol and date order. A sample at place ``pos`` of the epoch's permutation of the numbers goes to rank
+    ``pos % world_size``. Keys that repeat a symbol and date have a ``position`` to tell them apart, which is then kept.
+    All ranks get equally many: the permutation is continued from its start until it divides,
     so some samples appear again. One rank and no seed change is the single-process case.
+
+    The keys are counted when the plan is built. They are moved to be numbered, whatever the number of epochs; places are projections.
     """
+    n = keys.count()
     key = [c for c in ("Symbol", "Date", "position") if c in keys.columns]
-    drawn = (keys.select(*key, F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"))
-             .withColumn("_order", permutation_key(seed, F.col("epoch"))))
-    sizes = drawn.groupBy("epoch").agg(F.count(F.lit(1)).alias("_size"))
-    placed = number_rows(drawn, "_order", *key, cells={"digits": F.substring("_order", 1, DIGITS)}, within=["epoch"], into="pos")
-    # One row per epoch of the plan.
-    placed = placed.join(F.broadcast(sizes), "epoch")
-    padded = F.ceil(F.col("_size") / world_size) * world_size
-    pos = F.explode(F.sequence("pos", padded - 1, F.col("_size"))).alias("pos")
-    in_rank = F.floor(F.col("pos") / world_size)
-    return placed.select("epoch", *key, pos).select(
-        "epoch", (F.col("pos") % world_size).cast("int").alias("rank"), "pos",
-        F.floor(in_rank / batch_size).alias("batch"), *key)
+    drawn = number_samples(keys, cells=cells).withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in epochs])))
+    padded = -(-n // world_size) * world_size
+    pos = F.explode(F.sequence("_place", F.lit(padded - 1).cast("long"), F.lit(max(1, n)).cast("long"))).alias("pos")
+    placed = with_places(drawn, n, seed, epochs).select("epoch", *key, pos)
+    rank, batch = dealt(F.col("pos"), world_size, batch_size)
+    return placed.select("epoch", rank.alias("rank"), "pos", batch.alias("batch"), *key)
 
 
 def ordered_batches(keys: DataFrame, batch_size: int, cells: Cells = Cells()) -> DataFrame:
     """Batches in symbol and date order within each split, the last one short."""
-    key = [c for c in ("Symbol", "Date", "position") if c in keys.columns]
-    in_series = number_rows(keys.select("split", *key), *key[1:], cells=cells.columns(F.lit(0)), within=["split", "Symbol"], into="_place")
-    placed = number_groups(in_series, "Symbol", "_place", within=["split"], into="pos")
-    return placed.select("split", *key, "pos", F.floor(F.col("pos") / batch_size).alias("batch"))
+    placed = number_samples(keys, ["split"], cells, into="pos")
+    return placed.withColumn("batch", F.floor(F.col("pos") / batch_size))
 
 
 def steps_per_epoch(n_samples: int, world_size: int, batch_size: int) -> int:

@@ -1,4 +1,3 @@
-import hashlib
 import math
 
 import numpy as np
@@ -12,7 +11,7 @@ from checks.stand_in import SETTINGS, daily_panel, persistence
 from seqcast.operators.metrics import (batch_losses, mape, rank_epoch_loss, reduced_epoch_loss, regression_metrics,
                                        weighted_epoch_loss)
 from seqcast.operators.scale import unscale
-from seqcast.operators.shards import assign_shards, ordered_batches, steps_per_epoch
+from seqcast.operators.shards import assign_shards, number_samples, ordered_batches, permuted, sides, steps_per_epoch, with_places
 
 
 def keys(spark, n):
@@ -35,13 +34,54 @@ def test_shards_are_equal_and_complete(spark, n, world):
         assert max(r.batch for r in mine) + 1 == steps_per_epoch(n, world, 8)
 
 
-def test_order_comes_from_the_key_alone(spark):
+def test_order_comes_from_the_number_alone(spark):
     got = assign_shards(keys(spark, 40).repartition(7), 1, 8, seed=3, epochs=(2,)).collect()
-    want = sorted(((r.Symbol, r.Date) for r in keys(spark, 40).collect()),
-                  key=lambda k: hashlib.md5(f"{k[0]}|{k[1]:%Y-%m-%d %H:%M:%S}|3|2".encode()).hexdigest())
+    in_order = sorted((r.Symbol, r.Date) for r in keys(spark, 40).collect())
+    want = [in_order[i] for i in np.argsort(permuted(np.arange(40), 40, 3, 2))]
     assert [(r.Symbol, r.Date) for r in sorted(got, key=lambda r: r.pos)] == want
 
 
+@examples(max_examples=200, deadline=None)
+@given(st.integers(1, 5000), st.integers(0, 2**40), st.integers(0, 10**6))
+def test_a_permutation_of_all_numbers(n, seed, epoch):
+    places = permuted(np.arange(n), n, seed, epoch)
+    assert np.array_equal(np.sort(places), np.arange(n))
+    across, down = sides(n)
+    assert n <= across * down < n + across
+
+
+def test_large_numbers_neither_overflow_nor_meet():
+    n = 10**15 + 37
+    numbers = np.concatenate([np.arange(1000), np.arange(n - 1000, n)])
+    places = permuted(numbers, n, 5, 7)
+    assert len(np.unique(places)) == 2000 and places.min() >= 0 and places.max() < n
+
+
+def test_columns_equal_the_array_version(spark):
+    for n in (1, 2, 3, 7, 50, 1001):
+        df = spark.range(n).select(F.col("id").alias("_number"), F.explode(F.array(F.lit(0), F.lit(9), F.lit(200))).alias("epoch"))
+        got = {(r._number, r.epoch): r._place for r in with_places(df, n, 11, (0, 9, 200)).collect()}
+        assert got == {(i, e): p for e in (0, 9, 200) for i, p in enumerate(permuted(np.arange(n), n, 11, e).tolist())}
+
+
+def test_places_are_spread(spark):
+    """Neighbours part, and an epoch says nothing of the next."""
+    n = 10_000
+    a, b = (permuted(np.arange(n), n, 0, e) for e in (0, 1))
+    for x, y in ((a[:-1], a[1:]), (a, b), (a, np.arange(n))):
+        assert abs(np.corrcoef(x, y)[0, 1]) < 0.05
+    assert np.histogram(a[:1000], 10, (0, n))[0].min() > 60
+
+
+def test_more_epochs_move_no_more(spark):
+    """The only exchanges are those that number the keys."""
+    def exchanges(epochs):
+        plan = assign_shards(keys(spark, 40), 2, 8, epochs=epochs)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange ")
+    numbered = number_samples(keys(spark, 40))._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges((0,)) == exchanges(tuple(range(50))) == numbered
+
+
 def test_epochs_differ_and_repeat(spark):
     def order(epoch, seed=0):
         rows = assign_shards(keys(spark, 60), 2, 8, seed, (epoch,)).collect()
