@@ -78,6 +78,18 @@ def in_own_block(window: int, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col("position") / max(block_rows, window)) == F.col("block")
 
 
+def gathered_blocks(rows: DataFrame, values: Sequence[str], window: int, block_rows: int = BLOCK_ROWS, cells: Cells = Cells(),
+                    kind: str = "double") -> DataFrame:
+    """A row per block that has a window: ``split, Symbol, block, rows`` with the position, date and values of each bar, in order.
+
+    Windows are cut from a block where it lies; the first ``window`` rows of a block only serve as context.
+    """
+    wanted = rows.select(*SERIES, "Date", *dict.fromkeys(values))
+    bar = F.struct("position", "Date", F.array(*[F.col(v).cast(kind) for v in values]).alias("bar"))
+    return (blocked(wanted, window, block_rows, cells).groupBy(*SERIES, "block").agg(F.array_sort(F.collect_list(bar)).alias("rows"))
+            .filter(F.size("rows") > window))
+
+
 def sequences(rows: DataFrame, features: Sequence[str], target: str, window: int, block_rows: int = BLOCK_ROWS,
               cells: Cells = Cells()) -> DataFrame:
     """Every run of ``window`` consecutive rows of a series with the target of the row after it.

@@ -61,15 +61,15 @@ class Panel:
 
     def sequence_keys(self, only: str | None = None) -> DataFrame:
         """Keys of the windows. Scaled values order rows of one date, as they do for the windows themselves."""
-        return sequence_keys(self.scaled(only), self.settings.window, self._values, self.fit.cells)
+        return sequence_keys(self.scaled(only), self.settings.window, self.scaled_columns, self.fit.cells)
 
     def blocks(self, only: str) -> DataFrame:
         """Scaled bars of a split dealt to the blocks that need them."""
         s = self.settings
-        return blocked(self.scaled(only).select("split", "Symbol", "Date", *self._values), s.window, s.block_rows, self.fit.cells)
+        return blocked(self.scaled(only).select("split", "Symbol", "Date", *self.scaled_columns), s.window, s.block_rows, self.fit.cells)
 
     @property
-    def _values(self) -> list[str]:
+    def scaled_columns(self) -> list[str]:
         s = self.settings
         return list(dict.fromkeys(f"{c}_scaled" for c in (*s.features, s.target)))
 
@@ -79,8 +79,13 @@ class Panel:
 
 
 def fit_panel(clean: DataFrame, settings: Settings) -> PanelFit:
-    """Fit on prepared bars. They are grouped by date once, and that table, a row per date, is kept for the few looks at it."""
-    profile = date_profile(clean, settings.features).persist()
+    """Fit on prepared bars, which are grouped by date once."""
+    return fit_from_profile(date_profile(clean, settings.features), settings)
+
+
+def fit_from_profile(profile: DataFrame, settings: Settings) -> PanelFit:
+    """Fit on the numbered calendar with each date's ranges. That table, a row per date, is kept for the few looks at it."""
+    profile = profile.persist()
     try:
         cuts = cutoffs(profile, settings.train_ratio, settings.val_ratio).select(
             "n_dates", F.col("train_end").cast("string").alias("train_end"), F.col("val_end").cast("string").alias("val_end")).first()
