@@ -59,6 +59,10 @@ class Settings:
 
     # Steps that ranks take on their own before they average; 1 averages the gradients of every step.
     sync_every: int = 1
+    # Tasks that share the work of a step; None takes as many as there are ranks.
+    tasks: int | None = None
+    # How tasks add up: "jobs" by a job per step, "barrier" among themselves, "auto" jobs unless there is one task.
+    exchange: str = "auto"
     # Rows of a series that are windowed together, and rows of the table that are counted together.
     block_rows: int = 4096
     cell_rows: int = 250_000
@@ -76,6 +80,10 @@ class Settings:
             raise ValueError(f"target {self.target!r} is not one of {self.features}")
         if self.train_ratio <= 0 or self.val_ratio < 0 or self.train_ratio + self.val_ratio >= 1:
             raise ValueError("the two ratios must leave room for a test period")
+        if self.exchange not in ("auto", "barrier", "jobs"):
+            raise ValueError(f"no exchange named {self.exchange!r}")
+        if self.tasks is not None and self.tasks < 1:
+            raise ValueError("tasks must be at least 1")
         for name in ("window", "world_size", "batch_size", "epochs", "hidden_size", "num_layers", "sync_every",
                      "block_rows", "cell_rows"):
             if getattr(self, name) < 1:

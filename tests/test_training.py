@@ -5,6 +5,9 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from conftest import data_dir
@@ -12,15 +15,16 @@ from checks.stand_in import SETTINGS, daily_panel
 from panels import bars, settings
 from seqcast.functions.lstm import (Adam, from_vector, initial_weights, loss_and_gradient, predict, to_vector,
                                     weight_shapes)
-from seqcast.operators.shards import assign_shards
+from seqcast.operators.shards import assign_shards, number_samples
 from seqcast.operators.windows import float_window
 from seqcast.plans import training
 from seqcast.plans.panel import Panel, build_panel
 from seqcast.plans.reports import accuracy_report, speedup_report, storage_report
 from seqcast.plans.run import run, run_panel, run_repeatedly
 from seqcast.plans.scoring import forecast, score
+from seqcast.plans.shares import deal
 from seqcast.plans.training import EpochLoss, train, train_single
-from seqcast.plans.window_regressor import fit_window_regressor, regressor_forecast
+from seqcast.plans.window_regressor import WindowRegressor, fit_window_regressor, regressor_forecast
 from seqcast.sources.runs import (CURVE_SCHEMA, WEIGHTS_SCHEMA, parameter_counts, read_summaries, read_table,
                                   weights_from_table, weights_table)
 
@@ -124,7 +128,7 @@ def test_one_rank_equals_two_ranks_with_half_batches(spark, panel):
 
 
 def test_training_lowers_the_loss_and_repeats(spark, panel):
-    first, again = train(panel), train(panel)
+    first, again = train(panel), train(panel)  # jobs that lay two epochs out together
     assert first.curve == again.curve
     assert np.array_equal(to_vector(first.weights), to_vector(again.weights))
     assert first.curve[-1][1] < first.curve[0][1]
@@ -134,32 +138,95 @@ def test_training_lowers_the_loss_and_repeats(spark, panel):
     assert not np.array_equal(to_vector(first.weights), to_vector(other.weights))
 
 
+def trained(panel, **changes):
+    """Weights without dropout, which is drawn by task."""
+    return to_vector(train(Panel(panel.bars, panel.fit, panel.settings.override(dropout=0.0, **changes))).weights)
+
+
 def test_layout_does_not_change_the_result(spark, panel, monkeypatch):
-    """Dropout is drawn by task, so it is off; what is left is the order of sums."""
-    def moved(**changes):
-        return to_vector(train(type(panel)(panel.bars, panel.fit, panel.settings.override(dropout=0.0, **changes))).weights)
-    usual = moved()
-    monkeypatch.setattr(training, "PLANNED_EPOCHS", 1)
-    assert np.allclose(moved(), usual, atol=1e-5)
-    assert np.allclose(moved(block_rows=7), usual, atol=1e-5)
-
-
-def test_one_rank_takes_an_epoch_in_one_job_or_a_job_per_step(spark, panel):
-    alone = panel.settings.override(world_size=1, dropout=0.0, epochs=1)
-    one = Panel(panel.bars, panel.fit, alone)
-    blocks, keys = training.kept_blocks(one, "train"), training.block_keys(one, "train")
-    n = keys.count()
-    plan = training.plan_epochs(blocks, keys, alone, range(1))
-    steps = training.steps_per_epoch(n, 1, alone.batch_size)
-    start = to_vector(initial_weights(5, alone.hidden_size, alone.num_layers, 0))
-    together, _, losses = training.run_interval(plan, start, Adam(len(start), 0.01), alone, n, 0, range(steps))
-    vector, adam, seen = start, Adam(len(start), 0.01), []
-    for step in range(steps):
-        vector, adam, found = training.run_interval(plan, vector, adam, alone, n, 0, range(step, step + 1))
-        seen.append(found[0])
-    assert steps > 2 and np.allclose(vector, together, atol=1e-5) and np.allclose(losses, seen, rtol=1e-4)
-    blocks.unpersist()
-    plan.unpersist()
+    """Neither the number of tasks, nor how they add up, nor how many epochs or steps are laid out together; what is left is the order of sums."""
+    usual = trained(panel)
+    for changes in ({"block_rows": 7}, {"tasks": 1}, {"tasks": 3}, {"tasks": 3, "exchange": "jobs"}, {"tasks": 1, "exchange": "jobs"}):
+        assert np.allclose(trained(panel, **changes), usual, atol=1e-5), changes
+    monkeypatch.setattr(training, "LAYOUT_PARTITIONS", 5)
+    monkeypatch.setattr(training, "EPOCHS_TOGETHER", 2)
+    assert np.allclose(trained(panel), usual, atol=1e-5)
+
+
+def test_tasks_that_exchange_among_themselves_equal_jobs(spark, panel):
+    """And what a stage that is run again begins with is the state it was given, so it gives the same."""
+    short = {"epochs": 1, "batch_size": 32}
+    assert np.allclose(trained(panel, exchange="barrier", **short), trained(panel, exchange="jobs", **short), atol=1e-5)
+    s = panel.settings.override(epochs=2, sync_every=100)
+    dealt, state = deal(panel, 2), training.first_state(panel.settings)
+    first, again = (training.run_epochs(dealt, state, s, 2, "rank") for _ in range(2))
+    assert np.array_equal(first.vector, again.vector) and first.curve == again.curve and state.epoch == 0
+    dealt.blocks.unpersist()
+
+
+def test_a_step_reads_its_windows_only(spark, panel):
+    """The partitions of a step's job hold the step's windows and no others, each once."""
+    s = panel.settings
+    dealt = deal(panel, 2)
+    intervals = training._intervals(s, dealt.n_samples)
+    layout = training.laid_out(dealt, s, [(0, steps) for steps in intervals])
+    assert layout.getNumPartitions() == 2 * len(intervals) and len(intervals) > 3
+    for number, steps in enumerate(intervals):
+        records = spark.sparkContext.runJob(layout, list, range(2 * number, 2 * number + 2))
+        assert {r[1][0] for r in records} == set(steps)
+        windows = sum(len(r[1][3]) // 4 for r in records)
+        assert windows == 2 * training.batch_size_of(s, dealt.n_samples, steps[0])
+        assert sum(len(r[1][2]) for r in records) == windows * 4 * s.window * 5
+    dealt.blocks.unpersist()
+
+
+def test_shares_hold_every_window_once_and_are_even(spark, panel):
+    dealt = deal(panel, 3)
+    shares = dealt.blocks.glom().collect()
+    held = [training.Share(rows, panel.settings) for rows in shares]
+    assert sorted(np.concatenate([h.numbers for h in held]).tolist()) == list(range(dealt.n_samples))
+    assert max(map(len, held)) < 0.6 * dealt.n_samples
+    keys = {(r.Symbol, r.Date): r.y for r in panel.sequences("train").collect()}
+    numbered = {r._number: keys[r.Symbol, r.Date] for r in number_samples(panel.sequence_keys("train")).collect()}
+    for h in held:
+        _, y = h.windows(np.arange(len(h)))
+        assert np.allclose(y, [numbered[n] for n in h.numbers.tolist()], atol=1e-6)
+    dealt.blocks.unpersist()
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("changes", [{}, {"exchange": "barrier", "sync_every": 100}, {"sync_every": 3}])
+def test_a_killed_run_goes_on(spark, panel, tmp_path, monkeypatch, changes):
+    """From the last state written; dropout is on, and the result is that of an unbroken run."""
+    monkeypatch.setattr(training, "EPOCHS_TOGETHER", 2)
+    long = Panel(panel.bars, panel.fit, panel.settings.override(epochs=5, **changes))
+    whole = train(long)
+    path = str(tmp_path / "state")
+
+    def kill(epoch, *_):
+        if epoch == 4:
+            raise Killed
+
+    with pytest.raises(Killed):
+        train(long, progress=kill, state_path=path)
+    assert [f for f in os.listdir(path) if f.startswith("epoch-")] == [f for f in os.listdir(path) if f.startswith("epoch-0000004")]
+    (tmp_path / "state" / "epoch-0000009-broken").mkdir()  # a state that was not finished
+    model = train(long, state_path=path)
+    assert np.array_equal(to_vector(model.weights), to_vector(whole.weights)) and model.curve == whole.curve and model.stopped_epoch == 5
+    assert train(long, state_path=path).curve == whole.curve
+    with pytest.raises(ValueError, match="other settings"):
+        train(Panel(panel.bars, panel.fit, long.settings.override(seed=3)), state_path=path)
+
+
+def test_patience_gives_the_best_weights():
+    s = settings()
+    state = training.first_state(s)
+    for loss, vector in ((0.5, 1.0), (0.3, 2.0), (0.4, 3.0), (0.35, 4.0)):
+        state = training.after_epoch(state, np.float32([vector]), state.adam, 1.0, loss, 2)
+    assert state.stopped and state.best.tolist() == [2.0] and state.epoch == 4 and state.stale == 2 and state.best_loss == 0.3
 
 
 def test_ranks_average_weights_every_few_steps(spark, panel):
@@ -168,26 +235,14 @@ def test_ranks_average_weights_every_few_steps(spark, panel):
     assert first.curve == again.curve and first.curve[-1][1] < first.curve[0][1]
 
 
-def test_a_step_moves_keys_and_bars_only(spark, panel):
-    """The exchanges of a plan carry keys, single bars and blocks; no array of windows is moved or kept."""
-    blocks, keys = training.kept_blocks(panel, "train"), training.block_keys(panel, "train")
-    dealt = assign_shards(keys.select("Symbol", "Date", "position"), 2, 16, 0, [0])
-    assert {t for _, t in dealt.dtypes} <= {"int", "bigint", "string", "timestamp_ntz"}
-    rows = blocks.collect()
-    assert sum(len(r.bars) for r in rows) <= 6 * (panel.split("train").count() + len(rows) * panel.settings.window)
-    blocks.unpersist()
-
-
 def test_blocks_bound_what_a_row_holds(spark):
     raw, _ = bars(spark, {"A": 900})
     s = settings(block_rows=50, world_size=1)
     panel = build_panel(raw.coalesce(1), s)
-    for split in ("train", "val"):
-        blocks = training.kept_blocks(panel, split)
-        assert max(len(r.bars) for r in blocks.collect()) <= 6 * (50 + s.window)
-        blocks.unpersist()
-    assert training.kept_blocks(panel, "train").count() > 10
-    spark.catalog.clearCache()
+    dealt = deal(panel, 2)
+    rows = dealt.blocks.collect()
+    assert max(len(r.bars) for r in rows) <= 4 * 6 * (50 + s.window) and len(rows) > 10
+    dealt.blocks.unpersist()
 
 
 def test_training_leaves_the_shared_folder_empty(spark, panel, tmp_path):
@@ -364,18 +419,48 @@ def test_a_test_period_without_windows_has_no_metrics(spark):
     assert result.summary.aggregate_performance_metrics.asDict() == dict.fromkeys(("MSE", "RMSE", "MAE", "MAPE"))
 
 
-def test_window_regressor_equals_least_squares(spark, panel):
-    model = fit_window_regressor(panel, ridge=0.0)
-    rows = panel.sequences("train").collect()
-    x = np.array([np.ravel(r.x) for r in rows])
-    design = np.c_[x, np.ones(len(x))]
-    want = np.linalg.lstsq(design, np.array([r.y for r in rows]), rcond=None)[0]
-    test = panel.sequences("test").collect()
+@pytest.mark.parametrize("ridge", [0.0, 1e-3, 0.5])
+def test_window_regressor_equals_that_of_spark(spark, panel, ridge):
+    """Products at a lag, block by block, against windows and normal equations."""
+    cut = Panel(panel.bars, panel.fit, panel.settings.override(block_rows=7))
+    model = fit_window_regressor(cut, ridge=ridge)
+    rows = panel.sequences("train").select("y", array_to_vector(F.flatten("x")).alias("x"))
+    want = LinearRegression(featuresCol="x", labelCol="y", solver="normal", regParam=ridge, tol=1e-12).fit(rows)
+    assert np.allclose(model.getOrDefault("coefficients"), want.coefficients.toArray(), atol=1e-8)
+    assert model.getOrDefault("intercept") == pytest.approx(want.intercept, abs=1e-8)
     low, high = panel.target_bounds
     got = {(r.Symbol, r.Date): r.y_pred for r in regressor_forecast(panel, model, "test").collect()}
-    for r in test:
-        p = np.r_[np.ravel(r.x), 1] @ want
-        assert got[r.Symbol, r.Date] == pytest.approx(p * (high - low) + low, rel=1e-4)
+    tests = panel.sequences("test").collect()
+    assert len(got) == len(tests) > 0
+    for r in tests:
+        p = np.ravel(r.x) @ want.coefficients.toArray() + want.intercept
+        assert got[r.Symbol, r.Date] == pytest.approx(p * (high - low) + low, rel=1e-6)
+
+
+def test_a_value_that_does_not_vary_has_no_coefficient(spark):
+    raw, _ = bars(spark, {"A": 80})
+    panel = build_panel(raw.withColumn("Volume", F.lit(5.0)), settings(symbols=("A",)))
+    model = fit_window_regressor(panel, ridge=0.0)
+    coefficients = np.array(model.getOrDefault("coefficients")).reshape(4, 5)
+    assert (coefficients[:, 4] == 0).all() and (coefficients[:, :4] != 0).all()
+
+
+def test_regressor_is_saved_and_loaded_in_a_pipeline(spark, panel, tmp_path):
+    columns = [f"{c}_scaled" for c in panel.settings.features]
+    stage = WindowRegressor(inputCols=columns, labelCol="Close_scaled", predictionCol="p", window=4, regParam=0.01)
+    stage.write().save(str(tmp_path / "stage"))
+    assert WindowRegressor.load(str(tmp_path / "stage")).getRegParam() == 0.01
+    model = Pipeline(stages=[stage]).fit(panel.scaled("train"))
+    model.write().save(str(tmp_path / "model"))
+    before, after = (sorted(m.transform(panel.scaled("test")).collect()) for m in (model, PipelineModel.load(str(tmp_path / "model"))))
+    assert before == after and len(before) == panel.sequences("test").count()
+    with pytest.raises(ValueError, match="not one of"):
+        WindowRegressor(inputCols=columns[:2], labelCol="Close_scaled", window=4).fit(panel.scaled("train"))
+
+
+def test_forecasts_move_bars_not_windows(spark, panel):
+    plan = forecast(panel, initial_weights(5, 3, 2, 4), "test")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("MapInArrow")[0] and plan.count("MapInArrow") == 1
 
 
 def test_daily_panel_trains(spark):
