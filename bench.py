@@ -22,9 +22,10 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 HEADLINE = ("split_cutoffs", "scaler_fit", "scaled_bars", "sequence_counts", "sequences", "last_step", "flat_features",
             "regression_metrics", "metrics_by_symbol", "shard_assignment", "ordered_batches", "epoch_loss_allreduce",
-            "scan_bars", "run_summary", "repeat_stats", "fit_window_regressor")
-# Each world size is timed over one plan of epochs. A whole run has a rank per core, which average every few steps.
-EPOCHS = 10
+            "scan_bars", "run_summary", "repeat_stats", "fit_window_regressor", "fit_window_regressor_60", "window_gram", "sequences_from_store",
+            "scaler_fit_in_batches", "equivalence_report")
+# Each world size is timed over epochs that are laid out together. A whole run has a rank per core, which average every few steps.
+EPOCHS = 5
 WORLDS = (1, 2, 3, 4)
 WHOLE_RUN = {"epochs": 200, "sync_every": 8}
 
@@ -38,8 +39,6 @@ def timed(work) -> float:
 def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", str(CPUS)).config("spark.driver.memory", "16g")
-             # Steps are short jobs: on TCP each would wait for delayed acknowledgements.
-             .config("spark.python.unix.domain.socket.enabled", "true")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,7 +8,7 @@ from conftest import data_dir
 
 SCALE = "0.001"
 # Training is checked by properties; its summary has times and ids of its own.
-UNCHECKED = {"train_sequence_model", "train_single"}
+UNCHECKED = {"train_sequence_model", "train_each_step", "train_single", "fit_window_regressor_60"}
 OWN = set(QUERIES)
 
 
@@ -30,6 +30,11 @@ def test_entry(spark):
     assert sum(r.n for r in rows) == 97 and all(r.RMSE > 0 for r in rows)
 
 
+def test_regression_on_60_bars(spark):
+    rows = contract.queries()["fit_window_regressor_60"](spark, data_dir("0.01")).collect()
+    assert sum(r.n for r in rows) == 427 and all(r.RMSE > 0 for r in rows)
+
+
 def test_trained_queries_give_a_summary(spark):
     summary = contract.queries()["train_single"](spark, data_dir("0.001").replace("0.001", "0.01")).first()
     assert summary.run_type == "standalone" and summary.total_training_samples == 5273

@@ -1,8 +1,12 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqcast.functions.student import log_gamma, with_student_above
 from seqcast.functions.text import artefact_name, progress_line, run_name
-from seqcast.plans.reports import accuracy_report, milestones, repeat_stats, speedup_report, storage_report
+from seqcast.plans.reports import accuracy_report, equivalence_report, milestones, repeat_stats, speedup_report, storage_report
 
 # Published times by world size, and by storage.
 TIMES = [(1, 2053.34), (2, 1050.34), (3, 894.32), (4, 789.16)]
@@ -47,3 +51,27 @@ def test_names_and_lines(spark):
     assert row.s == "Standalone_MultiStock_9tickers_20240506_0708"
     assert row.line == "Epoch [007/200] - Train Loss: 0.500000 - Val Loss: 0.250000"
     assert row.a == "risultati_x"
+
+
+def test_student_and_log_gamma(spark):
+    """Against tables: the chances beyond well-known quantiles, and factorials."""
+    rows = [(0.0, 5.0, 0.5), (12.706204736, 1.0, 0.025), (2.570581836, 5.0, 0.025), (-2.570581836, 5.0, 0.975), (1.812461123, 10.0, 0.05),
+            (3.169272667, 10.0, 0.005), (1.959963985, 1e7, 0.025), (1.644853627, 1e7, 0.05), (1.0, 1.0, 0.25)]
+    df = spark.createDataFrame(rows, "t double, freedom double, want double")
+    for r in with_student_above(df, "t", "freedom", "p").collect():
+        assert r.p == pytest.approx(r.want, abs=2e-6 if r.freedom > 1e6 else 1e-9)
+    values = spark.createDataFrame([(z,) for z in (0.5, 1.0, 3.0, 10.0, 171.0, 5000.5)], "z double")
+    for r in values.select("z", log_gamma(F.col("z")).alias("g")).collect():
+        assert r.g == pytest.approx(math.lgamma(r.z), rel=1e-12, abs=1e-12)
+
+
+def test_equivalence_of_runs(spark):
+    rng = np.random.default_rng(0)
+    rows = [(n, float(v)) for n, mean in ((1, 10.0), (2, 10.05), (4, 10.9)) for v in rng.normal(mean, 0.2, 40)] + [(8, 10.0)]
+    runs = spark.createDataFrame(rows, "num_processes int, error double")
+    got = {r.num_processes: r for r in equivalence_report(runs, F.col("error"), 0.05).collect()}
+    assert set(got) == {2, 4, 8} and got[2].equivalent and not got[4].equivalent and got[8].p is None
+    a, b = (np.array([v for n, v in rows if n == k]) for k in (1, 2))
+    va, vb = a.var(ddof=1) / 40, b.var(ddof=1) / 40
+    assert got[2].freedom == pytest.approx((va + vb) ** 2 / ((va**2 + vb**2) / 39))
+    assert got[2].difference == pytest.approx(b.mean() - a.mean())
