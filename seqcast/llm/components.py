@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqcast.sources.shared import written
+from seqcast.sources.shared import discard_table, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        edges = written(small, "links")
+        edges, last = written(small, "links"), edges
+        discard_table(last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqcast.llm.components import connected_components
 from seqcast.llm.sampling import smallest_hashes
 from seqcast.llm.text_arrays import mix, shingle_sets, slices, texts_of, word_hashes
-from seqcast.sources.shared import written
+from seqcast.sources.shared import discard_table, written
 from seqcast.sources.ship import ship_package
 
 # Ratio of the largest to the smallest set of a band.
@@ -31,7 +31,7 @@ MOST_BROADCAST_IDS = 1_000_000
 SAMPLED = 2_000
 COMMON = 5
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, sigs array<long>, weak array<int>"
+SIGNED = "doc_id long, n long, d1 long, d2 long, sigs array<long>"
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,10 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
+    def __post_init__(self) -> None:
+        if self.words < 1 or not 1 <= self.percent <= 100:
+            raise ValueError("words is at least 1, percent from 1 to 100")
+
     def differences(self, sizes: int) -> int:
         """Most elements in which linked sets of so many elements together can differ."""
         return (100 - self.percent) * sizes // (100 + self.percent)
@@ -94,8 +98,14 @@ def _band_signatures(elements: np.ndarray, n: int, like: Similarity, band: int,
     return mix(sums[: own + 1] + mix(cells[: own + 1].astype(np.uint64) + salt * np.uint64(97))), len(cells) <= own
 
 
-def signatures(elements: np.ndarray, like: Similarity, common: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, list[int]]:
-    """PartEnum signatures of a set (sorted 64-bit hashes), and the bands in which they may not be enough.
+def _element_signatures(rare: np.ndarray, common: np.ndarray, n: int, like: Similarity, most: int, salt: np.uint64) -> np.ndarray:
+    """Signatures with every element as a partition of its own, the common ones last: the first of them, one more than may differ, or all."""
+    own = like.differences(n + min(most, like.largest_partner(n)))
+    return mix(np.concatenate([rare, common])[: own + 1] + mix(salt))
+
+
+def signatures(elements: np.ndarray, like: Similarity, common: np.ndarray | None = None) -> np.ndarray:
+    """PartEnum signatures of a set (sorted 64-bit hashes).
 
     Linked sets meet in the band of the larger one. There they differ in at most k elements, so
     when the domain is cut into partitions, at most k partitions tell the sets apart.
@@ -108,33 +118,31 @@ def signatures(elements: np.ndarray, like: Similarity, common: np.ndarray | None
 
     The argument holds in any part of the domain, as sets differ there in no more elements. So ``common`` elements
     are left out first, and a passage that many documents share brings none of them together. A set that then
-    fills too few partitions is signed over the whole domain too, where two such sets meet. If even there it fills too
-    few (a chance of about one in 100,000 for small sets, far less for others), the band is named as weak; see ``_sign_all``.
+    fills too few partitions is signed over the whole domain too, where two such sets meet. One that fills too few even there, which is
+    rare for a percent of 60 or more and the rule for 50 or less, is also signed with every element as a partition: linked sets have
+    one in common, and the first such one is among the first k + 1 of either or among all of it.
     """
     n = len(elements)
+    shared = np.zeros(n, bool)
     if common is not None and len(common) and n:
-        at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
-        rare = elements[common[at] != elements]
-    else:
-        rare = elements
-    if seed:
-        elements, rare = (np.sort(mix(e + np.uint64(seed))) for e in (elements, rare))
-    out, weak = [], []
+        shared = common[np.minimum(np.searchsorted(common, elements), len(common) - 1)] == elements
+    rare = elements[~shared]
+    out = [np.zeros(0, np.uint64)]
     for band, most in like.bands(n):
         if like.differences(2 * most) == 0:
             continue  # only equal sets
-        salt = np.uint64(band * 1_000_003 + seed * 7_919 + 1)
+        salt = np.uint64(band * 1_000_003 + 1)
         sigs, few = _band_signatures(rare, n, like, band, most, salt)
         out.append(sigs)
-        if few and len(rare) < n:
+        if few:
             sigs, few = _band_signatures(elements, n, like, band, most, salt + np.uint64(500_009))
             out.append(sigs)
         if few:
-            weak.append(band)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), weak
+            out.append(_element_signatures(rare, elements[shared], n, like, most, salt + np.uint64(700_001)))
+    return np.concatenate(out)
 
 
-def _signed(like: Similarity, common, seed: int, only: frozenset[int] | None):
+def _signed(like: Similarity, common):
     """Sets and signatures of documents; a set seen before in the task is not signed again. Rows without an id are not signed."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,23 +151,21 @@ def _signed(like: Similarity, common, seed: int, only: frozenset[int] | None):
             for part in slices(batch, "text"):
                 rows = len(part)
                 n, d = np.zeros(rows, np.int64), np.zeros((2, rows), np.uint64)
-                sigs, weak = [np.zeros(0, np.uint64)] * rows, [[]] * rows
+                sigs = [np.zeros(0, np.uint64)] * rows
                 named = part.column("doc_id").is_valid().to_pylist()
                 for i, e in enumerate(shingle_sets(*word_hashes(*texts_of(part.column("text")), lower=True), like.words)):
                     n[i] = len(e)
                     if not len(e):
                         continue
                     d[:, i] = key = digests(e)
-                    if not named[i] or key in seen or (only is not None and not any(b in only for b, _ in like.bands(len(e)))):
-                        continue
-                    seen.add(key)
-                    sigs[i], weak[i] = signatures(e, like, common.value, seed)
+                    if named[i] and key not in seen:
+                        seen.add(key)
+                        sigs[i] = signatures(e, like, common.value)
                 ends = np.cumsum([0, *map(len, sigs)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64))),
-                     pa.array(weak, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "d1", "d2", "sigs", "weak"])
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64)))],
+                    ["doc_id", "n", "d1", "d2", "sigs"])
 
     return task
 
@@ -361,32 +367,13 @@ def _verified(groups: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame
     return links.union(written(compared(pairs).select("a", "b").distinct(), "found"))
 
 
-def _sign_all(docs: DataFrame, like: Similarity, common: np.ndarray) -> list[DataFrame]:
-    """Signed documents under one partitioning of the domain, and under more for bands with sets that are weak in all so far.
-
-    Two sets meet under any partitioning in which one of them is not weak.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    tables = [written(docs.mapInArrow(_signed(like, shared, 0, None), SIGNED), "signed")]
-
-    def weak_bands() -> list[int]:
-        weak = tables[0].select("d1", "d2", F.explode("weak").alias("band")).distinct()
-        for t in tables[1:]:
-            weak = weak.intersect(t.select("d1", "d2", F.explode("weak").alias("band")))
-        # A band's number: a few dozen at most.
-        return [r["band"] for r in weak.select("band").distinct().collect()]
-
-    while bad := weak_bands():
-        tables.append(written(docs.mapInArrow(_signed(like, shared, len(tables), frozenset(bad)), SIGNED), "signed"))
-    return tables
-
-
 def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     A document's set is its distinct shingles of ``like.words`` words, A-Z lower-cased; a text with fewer words is
     one shingle, one without words has none and links with nothing. ``component_id`` is the smallest id
-    reachable by links, the document's own included. No link is lost and none is made up:
+    reachable by links, the document's own included. No link is lost and none is made up, whatever the percent; the lower it is, the
+    more sets have to be compared:
 
     1. One pass makes each text's set and its PartEnum signatures. Equal sets are one from here on.
     2. Documents that share a signature form a bucket, and buckets with the same hub, its member with most shared
@@ -403,38 +390,35 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity()) -> DataFra
     """
     ship_package(docs.sparkSession.sparkContext)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    tables = _sign_all(docs, like, common_shingles(docs, like))
-    members = tables[0].filter("n > 0 and doc_id is not null")
-
-    # Equal sets: all but the smallest id point at it.
-    groups = (members.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
-              .filter("rep <> other").drop("other"))
-    copies = written(members.select("doc_id", "n", "d1", "d2").join(groups, ["n", "d1", "d2"])
-                     .select("doc_id", "rep").filter("doc_id <> rep").distinct(), "copies")
-
-    # An id of several sets is looked for under all their representatives and under itself, for signatures do not say of which set they are.
-    ids = written(members.groupBy("doc_id").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"),
-        *(F.min(c).alias(f"least_{c}") for c in ("n", "d1", "d2")), *(F.max(c).alias(f"most_{c}") for c in ("n", "d1", "d2")))
-        .select("doc_id", "n", "sets", F.expr("least_n <> most_n or least_d1 <> most_d1 or least_d2 <> most_d2").alias("several")), "ids")
-    # Written, so that the planner sees how few they are.
-    several = written(ids.filter("several").select("doc_id", F.col("doc_id").alias("rep")), "several")
-    nodes = copies.union(several)
-
-    rows = tables[0].select("doc_id", F.explode("sigs").alias("sig"))
-    for t in tables[1:]:
-        rows = rows.union(t.select("doc_id", F.explode("sigs").alias("sig")))
-    rows = rows.filter("doc_id is not null")
-    # Counts, nearly all of them one, move in less room than ids would.
-    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("sig")
-    hits = rows.join(shared, "sig").join(nodes, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("node")).distinct()
-    hits = written(hits, "hits")
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, like))
+    signed = written(docs.mapInArrow(_signed(like, shared), SIGNED), "signed")
+    sets = written(signed.select("doc_id", "n", "d1", "d2"), "sets")
+    members = sets.filter("n > 0 and doc_id is not null")
+
+    # A signature is of a set, whoever signed it, and a set is known by half of its digest: two that share it are only compared in vain.
+    rows = signed.select("d1", F.explode("sigs").alias("sig"))
+    # Counts, nearly all of them one, move in less room than sets would.
+    met = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("sig")
+    hits = written(rows.join(met, "sig").select("sig", F.col("d1").alias("node")).distinct(), "hits")
+    discard_table(signed)
     known = hits.groupBy("node").agg(F.count(F.lit(1)).alias("times"))
     rank = F.struct("times", -F.col("node"))
     hubs = (hits.join(known, "node").groupBy("sig").agg(F.max_by("node", rank).alias("hub"), F.count(F.lit(1)).alias("size"))
             .filter("size > 1").drop("size"))
-    sizes = ids.select(F.col("doc_id").alias("node"), "n", "sets")
-    found = _verified(written(hits.join(hubs, "sig").select("hub", "node").distinct().join(sizes, "node"), "groups"), docs, like)
-    components = connected_components(found.union(copies.select("doc_id", "rep")))
-    return (tables[0].join(components, F.col("doc_id") == F.col("node"), "left")
+    grouped = written(hits.join(hubs, "sig").select("hub", "node").distinct(), "grouped")
+    discard_table(hits)
+
+    # Equal sets: all but the smallest id point at it, which stands for them in groups.
+    reps = written(members.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")), "reps")
+    copies = (members.select("doc_id", "n", "d1", "d2").join(reps.filter("rep <> other"), ["n", "d1", "d2"])
+              .filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    # An id may have several sets; its texts are read and compared together.
+    sizes = members.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"))
+    groups = grouped
+    for side in ("hub", "node"):
+        groups = groups.join(reps.select(F.col("d1").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    groups = groups.select(F.col("hub_rep").alias("hub"), F.col("node_rep").alias("node")).distinct().join(sizes, "node")
+    found = _verified(written(groups, "groups"), docs, like)
+    components = connected_components(found.union(copies))
+    return (sets.join(components, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
