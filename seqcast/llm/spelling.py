@@ -200,7 +200,9 @@ def near_words(words: DataFrame) -> DataFrame:
     tiles = (keyed.join(blocks, block).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
              .select(*block, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "word", "n"))
     key = [*block, "i", "j"]
-    found = tiles.repartition(*key).sortWithinPartitions(*key, "word").mapInArrow(_tiles, TILE)
+    # A number of partitions, for what a tile costs is not seen in its bytes, by which they would be put together.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = tiles.repartition(parts, *key).sortWithinPartitions(*key, "word").mapInArrow(_tiles, TILE)
     return (found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("best"))).alias("top"))
             .select("word", "n_near", (-F.col("top.less")).alias("best_n"), F.col("top.best").alias("best")))
 
