@@ -19,7 +19,7 @@ MOST_ITEM_TERMS = 400_000
 # A bucket's longest vector is at most so many times as long as its shortest.
 RATIO = 1.25
 # Vectors that are compared with the items together.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048
 # The longest vectors, at least so many for each place of the ranking, give each item a first score to beat.
 SEED = 100
 # Room for rounding in lengths, which only prune.
