@@ -9,7 +9,10 @@ import numpy as np
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas audio video head".split())
+# What is in these is no markup up to their end tag, or to the page's end. What is in the others is not shown where they end at all; one without an
+# end tag is an element like any other.
+RAW = frozenset("script style iframe textarea title".split())
+UNSHOWN = frozenset("template svg canvas audio video head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong "
                    "sub sup time tt u var wbr label".split())
 CONTROLS = frozenset("button select option input textarea".split())
@@ -60,14 +63,37 @@ class Tree:
         self.links: list[int] = []
 
 
+class Open:
+    """Open elements from the root down, and where those of each name are, so that the innermost one is found without a search."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names, self.at = [0], ["#root"], {}
+
+    def innermost(self, names: tuple[str, ...]) -> int:
+        """Depth of the innermost open element of these names, 0 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def push(self, node: int, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.nodes.append(node)
+        self.names.append(name)
+
+    def pop_to(self, depth: int) -> None:
+        for name in self.names[depth:]:
+            self.at[name].pop()
+        del self.nodes[depth:], self.names[depth:]
+
+
 def parse(page: str) -> Tree:
-    """Read a page, whatever its faults: comments, scripts and the head hold no text, unclosed elements end where HTML ends them.
+    """Read a page, whatever its faults: comments, scripts and the head hold no text, unclosed elements end where HTML ends them. The time it
+    takes grows with the page's length, however deep its elements lie.
 
     A block is the text between two starts or ends of elements that are not inline. Character
     references are decoded and runs of white space become one space.
     """
     tree = Tree()
-    stack, names = [0], ["#root"]
+    opened = Open()
+    endless: set[str] = set()
     pieces: list[str] = []
     in_link, linked = 0, 0
 
@@ -76,7 +102,7 @@ def parse(page: str) -> Tree:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                tree.owners.append(stack[-1])
+                tree.owners.append(opened.nodes[-1])
                 tree.texts.append(text)
                 tree.links.append(linked)
             pieces.clear()
@@ -84,7 +110,7 @@ def parse(page: str) -> Tree:
 
     def pop_to(depth: int) -> None:
         flush()
-        del stack[depth:], names[depth:]
+        opened.pop_to(depth)
 
     at, n = 0, len(page)
     while at < n:
@@ -105,20 +131,23 @@ def parse(page: str) -> Tree:
         if m.group(1):
             if name == "a":
                 in_link = 0
-            elif name not in INLINE and name in names:
-                depth = len(names) - 1 - names[::-1].index(name)
-                if depth and not any(b in names[depth + 1:] for b in SCOPE.get(name, ())):
+            elif name not in INLINE:
+                depth = opened.innermost((name,))
+                if depth and opened.innermost(SCOPE.get(name, ())) <= depth:
                     pop_to(depth)
                     in_link = 0
             continue
-        if name in RAW and not m.group(3).endswith("/"):
-            # The head ends with its end tag or, where that is missing, with the body.
-            end = re.compile(r"</head\s*>|(?=<body\b)" if name == "head" else rf"</{name}[^>]*>", re.I).search(page, at)
-            if name != "head" or end:
+        if (name in RAW or name in UNSHOWN) and not m.group(3).endswith("/"):
+            # The head ends with its end tag or, where that is missing, with the body. An end that is not there is looked for once.
+            end = None if name in endless else re.compile(r"</head\s*>|(?=<body\b)" if name == "head" else rf"</{name}[^>]*>", re.I).search(page, at)
+            if end or name in RAW:
                 at = end.end() if end else n
-            continue
+                continue
+            endless.add(name)
+            if name == "head":
+                continue
         if name in CONTROLS:
-            tree.controls[stack[-1]] += 1
+            tree.controls[opened.nodes[-1]] += 1
         if name in INLINE:
             if name == "a":
                 in_link = 1
@@ -129,16 +158,13 @@ def parse(page: str) -> Tree:
             if name == "hr":
                 flush()
             continue
-        if name in ENDS_P and "p" in names:
-            pop_to(len(names) - 1 - names[::-1].index("p"))
+        if name in ENDS_P and (depth := opened.innermost(("p",))):
+            pop_to(depth)
             in_link = 0
         if name in ENDS:
-            for depth in range(len(names) - 1, 0, -1):
-                if names[depth] in SCOPE[name]:
-                    break
-                if names[depth] in ENDS[name]:
-                    pop_to(depth)
-                    break
+            depth = opened.innermost(ENDS[name])
+            if depth > opened.innermost(SCOPE[name]):
+                pop_to(depth)
         flush()
         groups = [0] * len(TOKENS)
         if m.group(3):
@@ -148,12 +174,11 @@ def parse(page: str) -> Tree:
                     if g is not None:
                         groups[g] += 1
         tree.tags.append(name)
-        tree.parents.append(stack[-1])
-        tree.depths.append(len(stack))
+        tree.parents.append(opened.nodes[-1])
+        tree.depths.append(len(opened.nodes))
         tree.tokens.append(groups)
         tree.controls.append(0)
-        stack.append(len(tree.tags) - 1)
-        names.append(name)
+        opened.push(len(tree.tags) - 1, name)
     flush()
     return tree
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ def learned(spark):
     ("<title>no</title>yes<style>p{}</style><textarea>no</textarea>", ["yes"]),
     ("</p></div>a</span>", ["a"]), ("a < b and c > d", ["a < b and c > d"]), ("<p title='a>b' x=\">\">q</p>", ["q"]),
     ("<p unclosed 'quote>a</p><p>b</p>", ["a", "b"]), ("<script>never ends <p>a", []), ("<!-- never ends <p>a", []), ("", []), ("<", ["<"]),
+    ("<article><h1>T</h1><template>t<p>after</p></article>", ["T", "t", "after"]), ("a<svg><p>b", ["a", "b"]), ("a<noscript>n<p>b", ["a", "n", "b"]),
+    ("a<canvas>c<p>b<video>v</p>d", ["a", "c", "b", "v", "d"]), ("a<svg><text>no</text></svg>b", ["ab"]), ("<p>x <math><mi>y</mi></math> z</p>", ["x", "y", "z"]),
+    ("<object>o</object><p>b", ["o", "b"]), ("a<textarea>never ends <p>b", ["a"]), ("<audio>no</audio><p>b<audio>c", ["b", "c"]),
+    ("<ul><li>a<div>b<ul></li>c<li>d</ul></li>e", ["a", "b", "c", "d", "e"]), ("<table><tr><td><li>a</td>b</table></li>c", ["a", "b", "c"]),
     ("<DIV>A</DIV><Br/>B<hr>C", ["A", "B", "C"]), ("<p>a<div", ["a"])])
 def test_blocks(html, blocks):
     tree = parse(html)
@@ -34,6 +40,17 @@ def test_blocks(html, blocks):
     assert node_features(tree).shape == (len(tree.tags), len(FEATURES))
 
 
+@pytest.mark.parametrize("part", ["<div>", "<div><p>", "<svg>", "<ul><li>x", "<li>", "<div></li>", "<p><b>", "<table><tr><td>"])
+def test_time_grows_with_the_page(part):
+    def seconds(n):
+        page, started = part * n + "text", time.process_time()
+        parse(page)
+        return time.process_time() - started
+
+    seconds(2000)
+    assert seconds(60_000) < 12 * max(0.05, seconds(12_000))
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 5))
