@@ -110,13 +110,13 @@ def _assign(books):
 
 
 def _plan(index: MultiIndex, wanted: int):
-    """A row per query and first-half centroid that it visits, with the second-half centroids there."""
+    """A row per query and first-half centroid that it visits, with the second-half centroids there. A query is known by its id and ``key``."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            ids, first, visits, places = batch.column("vec_id").to_numpy(), [], [], []
+            first, visits, places = [], [], []
             far = index.halves(_matrix(batch.column("unit")))
             for i in range(len(batch)):
                 by_first: dict[int, list[int]] = {}
@@ -126,9 +126,10 @@ def _plan(index: MultiIndex, wanted: int):
                     first.append(a)
                     visits.append(bs)
                     places.append(i)
+            of = pa.array(places, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[places], pa.int64()), pa.array(first, pa.int32()), pa.array(visits, pa.list_(pa.int32())),
-                 batch.column("unit").take(pa.array(places, pa.int64()))], ["query_id", "a", "visits", "unit"])
+                [batch.column("vec_id").take(of), batch.column("key").take(of), pa.array(first, pa.int32()), pa.array(visits, pa.list_(pa.int32())),
+                 batch.column("unit").take(of)], ["query_id", "key", "a", "visits", "unit"])
 
     return task
 
@@ -136,7 +137,7 @@ def _plan(index: MultiIndex, wanted: int):
 def _best(nearest: int, centroids: int):
     def task(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "key": [], "vec_id": [], "score": []})
         rows = rows.sort_values("vec_id", ignore_index=True)
         x, ids, cells = np.stack(rows["unit"]), rows["vec_id"].to_numpy(), rows["b"].to_numpy()
         out = []
@@ -148,7 +149,7 @@ def _best(nearest: int, centroids: int):
             q = np.stack(part["unit"])
             score = q @ x.T
             score[~visits[:, cells] | (part["query_id"].to_numpy()[:, None] == ids)] = -np.inf
-            for i, query in enumerate(part["query_id"]):
+            for i, query in enumerate(zip(part["query_id"], part["key"], strict=True)):
                 s = score[i]
                 if len(s) > nearest:
                     # Ties with the last place, up to rounding, stay for the exact order.
@@ -158,8 +159,8 @@ def _best(nearest: int, centroids: int):
                 at = at[np.isfinite(s[at])]
                 exact = (x[at] * q[i]).sum(axis=1)
                 for j in np.lexsort((ids[at], -exact))[:nearest]:
-                    out.append((query, ids[at[j]], exact[j]))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out.append((*query, ids[at[j]], exact[j]))
+        return pd.DataFrame(out, columns=["query_id", "key", "vec_id", "score"])
 
     return task
 
@@ -178,7 +179,7 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 50, nearest: int =
     the codebooks and a count per pair.
 
     Ties go to the smaller id; equal vectors have equal scores. Rows that repeat an id are candidates each, and
-    an id never finds itself. Null ids and vectors that are null, zero, not finite or of another length than most take no part.
+    an id never finds itself. Query rows with one id and one vector are one query; those with one id and several vectors are as many, each with its own ranks. Null ids and vectors that are null, zero, not finite or of another length than most take no part.
     An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -197,19 +198,20 @@ def nearest_neighbours(vectors: DataFrame, query_every: int = 50, nearest: int =
         counts[r["a"], r["b"]] = r["count"]
     index, total = MultiIndex(books, counts), int(counts.sum())
 
-    queries = indexed.filter(F.col("vec_id") % query_every == 0).select("vec_id", "unit")
+    queries = (indexed.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id", "unit").agg(F.count(F.lit(1)).alias("copies"))
+               .select("vec_id", F.xxhash64("unit").alias("key"), "unit"))
     visits = queries.mapInArrow(_plan(index, int(probe_share * total) + probe_rows),
-                                "query_id long, a int, visits array<int>, unit array<double>")
+                                "query_id long, key long, a int, visits array<int>, unit array<double>")
     n_queries = queries.count()
     row_blocks = F.element_at(F.array(*(F.lit(int(-(-n // BLOCK_ROWS)) or 1) for n in counts.sum(axis=1))), F.col("a") + 1)
     query_blocks = -(-n_queries // BLOCK_QUERIES) or 1
     dealt_rows = (indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), row_blocks).cast("int"))
                   .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
     dealt_queries = (visits.withColumn("block", F.explode(F.sequence(F.lit(0), row_blocks - 1)))
-                     .withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")))
+                     .withColumn("group", F.pmod(F.xxhash64("query_id", "key"), F.lit(query_blocks)).cast("int")))
     keys = ["a", "block", "group"]
     found = (dealt_queries.groupBy(*keys).cogroup(dealt_rows.groupBy(*keys))
-             .applyInPandas(_best(nearest, len(books[1])), "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInPandas(_best(nearest, len(books[1])), "query_id long, key long, vec_id long, score double"))
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest)
             .select("query_id", "rank", "vec_id", "score"))

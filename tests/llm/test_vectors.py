@@ -53,6 +53,21 @@ def test_exact_when_all_is_probed(spark, monkeypatch):
         assert np.allclose([s for *_, s in mine], [-s for s, _ in best], atol=1e-12)
 
 
+def test_a_query_that_repeats_is_one_query(spark):
+    """A row twice loses no neighbour; an id with two vectors is two queries."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(120)]
+    again, other = (50, rows[50][1]), (100, rng.normal(size=4).astype(np.float32).tolist())
+    got = nearest_neighbours(vectors(spark, [*rows, again, again, other]), probe_share=1.0).collect()
+    for q in (0, 50):
+        best = brute([*rows, other])[q] if q == 50 else brute([*rows, again, again, other])[q]
+        assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(k, i) for k, (_, i) in enumerate(best, 1)]
+    for vector in (rows[100][1], other[1]):
+        best = brute([*[r for r in rows if r[0] != 100], again, again, (100, vector)])[100]
+        assert {(k, i, round(-s, 9)) for k, (s, i) in enumerate(best, 1)} <= {(r.rank, r.vec_id, round(r.score, 9)) for r in got if r.query_id == 100}
+    assert sum(r.query_id == 100 for r in got) == 10
+
+
 def test_recall_on_the_table(spark):
     df = spark.read.parquet(f"{data_dir('0.01')}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
