@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqcast.sources.shared import written
+from seqcast.sources.shared import discard_table, written
 from seqcast.sources.ship import ship_package
 
 # Fixed values of the format.
 MAGIC = "WARC/1.0\r\n"
+# What records of all versions read begin with, and what follows it in each.
+SEPARATOR = "WARC/1."
+VERSIONS = (b"0", b"1")
 RECORD_END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -24,7 +27,7 @@ LENGTH_FIELD = "X-Payload-Length"
 LEAST_BYTES = 1000
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
-CANDIDATE = f"file string, split long, place long, size long, next long, {RECORD}"
+CANDIDATE = f"file string, split long, place long, size long, blank long, next long, {RECORD}"
 
 
 def _id(page: Column) -> Column:
@@ -74,20 +77,35 @@ def _page(value: str | None) -> int | None:
     return int(value) if value.lstrip("-").isdigit() else None
 
 
+class BrokenArchive(ValueError):
+    """A file whose chain of records ends before the file does."""
+
+
+def _fields(lines: list[bytes]) -> dict[bytes, str] | None:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before. Nothing if these are no headers."""
+    fields: dict[bytes, bytes] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last is not None:
+            fields[last] += b" " + line.strip()
+            continue
+        name, colon, value = line.partition(b":")
+        if not colon:
+            return None
+        last = name.strip().lower()
+        fields[last] = value.strip()
+    return {name: value.decode("utf-8", "replace") for name, value in fields.items()}
+
+
 def parse_record(data: bytes) -> tuple[int, tuple] | None:
-    """Length of the record that begins with the bytes after a magic, and its fields; nothing if these are no headers.
+    """Length of the record that begins with the bytes after a separator, and its fields; nothing if these are no version and headers.
 
     The fields' payload is only looked at when ``data`` is the whole record.
     """
     head, end, rest = data.partition(b"\r\n\r\n")
-    if not end:
+    version, *lines = head.split(b"\r\n")
+    if not end or version not in VERSIONS or (fields := _fields(lines)) is None:
         return None
-    fields = {}
-    for line in head.split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
-            return None
-        fields[name.strip().lower()] = value.strip().decode("utf-8", "replace")
     length = fields.get(b"content-length", "")
     if not (length.isascii() and length.isdigit()) or b"warc-type" not in fields:
         return None
@@ -104,7 +122,7 @@ def parse_record(data: bytes) -> tuple[int, tuple] | None:
 
 
 def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
-    """File, split, place behind the split's first row, and bytes of each chunk, in the order of the files."""
+    """File, split, place behind the split's first row, and bytes of each chunk between separators, in the order of the files."""
     now, place = None, 0
     for batch in batches:
         for file, split, value in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(),
@@ -113,7 +131,7 @@ def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, int, by
                 now, place = (file, split), 0
             data = value.as_py()
             yield file, split, place, data
-            place += len(data) + len(MAGIC)
+            place += len(data) + len(SEPARATOR)
 
 
 def _rows(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -140,7 +158,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for file, split, place, data in _walk(batches):
             total, fields = parse_record(data) or (None, (None,) * 7)
-            yield file, split, place, len(data), None if total is None else place + total, *fields
+            yield file, split, place, len(data), len(data) - len(data.rstrip()), None if total is None else place + total, *fields
 
     yield from _rows(rows(), _schema(CANDIDATE))
 
@@ -153,7 +171,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assemble(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    data = MAGIC.encode().join(rows.sort_values("at")["data"])
+    data = SEPARATOR.encode().join(rows.sort_values("at")["data"])
     total = parse_record(data)
     # What follows the last record of a file in its last chunk is not part of it.
     parsed = parse_record(data[: total[0]]) if total else None
@@ -172,17 +190,27 @@ def reachable(nodes: DataFrame) -> DataFrame:
                    .select("file", "at", "next").filter("next > at"), "jumps")
     reach = written(nodes.filter("at = 0").select("file", "at"), "reached")
     while not jump.isEmpty():
+        last = reach, jump
         reach = written(reach.union(reach.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))).distinct(), "reached")
         onward = jump.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
         jump = written(jump.join(onward, ["file", "next"]).select("file", "at", F.col("after").alias("next")), "jumps")
+        discard_table(*last)
     return reach
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def _broken(found: DataFrame, marked: DataFrame) -> int:
+    """How many files go on, other than with white space, where their chain ends, or end before it."""
+    files = found.groupBy("file").agg(F.max(F.col("at") + F.col("size") + len(SEPARATOR)).alias("length"), F.max_by("blank", "at").alias("blank"))
+    chains = marked.filter("real").groupBy("file").agg(F.max("next").alias("reached"))
+    left = F.col("length") - F.coalesce("reached", F.lit(0))
+    return files.join(chains, "file", "left").filter((left < 0) | (left > F.col("blank"))).count()
+
+
+def read_archive(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """A row per record on a file's chain: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, intact``.
 
-    Files are read in splits with the magic as separator, so a chunk is what follows one magic up to the
-    next, wherever that stands. Lengths of the splits before give each chunk its offset in the file. A task
+    Files are read in splits with the beginning of a magic as separator, so a chunk is what follows one up to the
+    next, wherever that stands; versions 1.0 and 1.1 are told apart by what follows. Lengths of the splits before give each chunk its offset in the file. A task
     parses each chunk as a record and emits the offset of its successor; ``reachable`` keeps
     those on the chain from offset 0, so a magic inside a payload, or a whole record there, is no record. Where a
     payload holds a magic, the record's chunks are brought together by a second read. Payloads are otherwise
@@ -190,23 +218,27 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     ``payload_bytes`` and ``payload_digest`` (bare hex SHA-1) are those of the payload read; a
     revisit's are as stated in its header. ``intact`` tells whether a response's payload has the digest stated.
-    A file that breaks off or does not begin with a record gives the records up to there. No files, no rows.
+    A file that breaks off or does not begin with a record raises ``BrokenArchive``, which names how many files do; with
+    ``lenient`` it gives the records up to there. White space after the last record is no break. Header lines may be folded. Files are uncompressed.
+    Payloads of any length are read whole, each by one task. Rows are as many as records, repeated ones too. No files, no rows.
     """
     ship_package(spark.sparkContext)
-    chunks = (spark.read.option("lineSep", MAGIC).text(path)
+    chunks = (spark.read.option("lineSep", SEPARATOR).text(path)
               .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
                       F.col("value").cast("binary").alias("value")))
-    sizes = chunks.groupBy("file", "split").agg(F.sum(F.octet_length("value") + len(MAGIC)).alias("bytes"))
+    sizes = chunks.groupBy("file", "split").agg(F.sum(F.octet_length("value") + len(SEPARATOR)).alias("bytes"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     # Offsets count from behind the chunk before a file's first magic, which is empty in an archive.
-    bases = sizes.select("file", "split", (F.coalesce(F.sum("bytes").over(before), F.lit(0)) - len(MAGIC)).alias("base"))
+    bases = sizes.select("file", "split", (F.coalesce(F.sum("bytes").over(before), F.lit(0)) - len(SEPARATOR)).alias("base"))
     found = written(chunks.mapInArrow(_candidates, CANDIDATE).join(bases, ["file", "split"])
-                    .withColumn("at", F.col("base") + F.col("place")).withColumn("next", F.col("base") + F.col("next") + len(MAGIC))
+                    .withColumn("at", F.col("base") + F.col("place")).withColumn("next", F.col("base") + F.col("next") + len(SEPARATOR))
                     .drop("base"), "candidates")
-    found = found.withColumn("whole", F.col("next") == F.col("at") + F.col("size") + len(MAGIC))
+    found = found.withColumn("whole", F.col("next") == F.col("at") + F.col("size") + len(SEPARATOR))
     nodes = found.filter("at >= 0 and next is not null").select("file", "at", "next")
     on_chain = reachable(nodes).withColumn("real", F.lit(True))
     marked = written(found.filter("at >= 0").join(on_chain, ["file", "at"], "left"), "marked")
+    if not lenient and (broken := _broken(found, marked)):
+        raise BrokenArchive(f"{broken} files of {path} hold more than a chain of whole records")
     names = [f.split()[0] for f in RECORD.split(", ")]
     single = marked.filter("real and whole").select(*names)
     up_to = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)

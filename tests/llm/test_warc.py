@@ -5,7 +5,7 @@ import pytest
 from edge_tables import empty
 from pyspark.sql import functions as F
 
-from seqcast.llm.warc import MAGIC, reachable, read_archive, write_archive
+from seqcast.llm.warc import MAGIC, BrokenArchive, reachable, read_archive, write_archive
 
 FAKE = f"{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 
@@ -71,10 +71,37 @@ def test_a_file_that_breaks_off_gives_what_is_whole(spark, tmp_path):
     name = next(f for f in os.listdir(tmp_path / "w") if f.startswith("part"))
     data = (tmp_path / "w" / name).read_bytes()
     (tmp_path / "cut.warc").write_bytes(data[: len(data) * 2 // 3])
-    found = {r.page_id for r in read_archive(spark, str(tmp_path / "cut.warc")).filter("intact").collect()}
+    found = {r.page_id for r in read_archive(spark, str(tmp_path / "cut.warc"), lenient=True).filter("intact").collect()}
     assert found == set(range(len(found))) and 10 <= len(found) <= 14
     (tmp_path / "none.warc").write_text("no archive at all")
-    assert read_archive(spark, str(tmp_path / "none.warc")).count() == 0
+    assert read_archive(spark, str(tmp_path / "none.warc"), lenient=True).count() == 0
+    for broken in ("cut", "none"):
+        with pytest.raises(BrokenArchive, match="1 files"):
+            read_archive(spark, str(tmp_path / f"{broken}.warc"))
+
+
+def record(page, payload, version="1.0", more=""):
+    body = f"HTTP/1.1 200 OK\r\n\r\n{payload}"
+    return (f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\n{more}Content-Length: {len(body)}\r\n\r\n{body}\r\n\r\n")
+
+
+@pytest.mark.parametrize("split", ["200", "128m"])
+def test_folded_lines_versions_and_white_space_at_the_end(spark, tmp_path, split):
+    folded = "X-Note: one\r\n two\r\n\tthree\r\nWARC-Target-URI: http://a\r\n  /b\r\n"
+    text = (record(1, "a") + record(2, "b", "1.1", folded) + record(3, "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n", "1.1")
+            + record(4, "WARC/1.2 and WARC/1.") + record(5, "last", "1.1"))
+    (tmp_path / "a.warc").write_text(text + "\r\n \n", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = {r.page_id: r for r in read_archive(spark, str(tmp_path / "a.warc")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert set(rows) == {1, 2, 3, 4, 5} and rows[2].url == "http://a /b" and rows[5].payload_bytes == 4
+    (tmp_path / "b.warc").write_text(record(1, "a") + record(2, "b", more=" no header before\r\n").replace("WARC-Type: response\r\nWARC-Record-ID: <urn:page:2>", "broken") + record(3, "c"), newline="")
+    with pytest.raises(BrokenArchive):
+        read_archive(spark, str(tmp_path / "b.warc"))
+    assert {r.page_id for r in read_archive(spark, str(tmp_path / "b.warc"), lenient=True).collect()} == {1}
 
 
 def test_reachable_by_jumps(spark):
