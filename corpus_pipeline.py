@@ -18,12 +18,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that a classifier, trained on the labels, calls toxic."""
+    """Without the documents that a classifier, trained on the labels, calls toxic.
+
+    Null and empty texts score as the bias does, which keeps them. Rows that repeat one another go or stay together. Very long texts are scored whole.
+    """
     return reject_toxic(docs.select(*COLUMNS), train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: that with the smallest id."""
+    """One document of each text: that with the smallest id.
+
+    Null and empty texts are one text, of which the row that stays keeps its null. A row without an id stays only where no other has its text; of rows
+    that repeat one another one stays.
+    """
     return drop_exact_duplicates(docs.select(*COLUMNS))
 
 
@@ -39,14 +46,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. One without words adds nothing to a mix and is not in it."""
+    """Each document as often as the mix takes it. One without words adds nothing to a mix and is not in it.
+
+    Rows that repeat an id are documents of their own; a null source is a source.
+    """
     mixed = mix_sources(docs, carry=[c for c in COLUMNS if c not in ("doc_id", "source")]).filter("taken > 0")
     times = (F.col("taken") / F.col("size")).cast("int")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length, with their ids."""
+    """Sequences of power-of-two length, with their ids. A null text is its end id alone; repeated rows are packed each, and very long texts whole."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
