@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from seqcast.llm.licenses import LOWER, RULES, SENTENCES, UPPER
+from seqcast.llm.licenses import LOWER, RULES, UPPER, known_sentences
 
-_KNOWN = ", ".join(f"('{s}', {i + 1})" for i, s in enumerate(SENTENCES.values()))
-_NUMBER = {name: i + 1 for i, name in enumerate(SENTENCES)}
+_SAID = known_sentences()
+_NUMBER = {name: i + 1 for i, name in enumerate(dict.fromkeys(_SAID.values()))}
+_KNOWN = ", ".join(f"('{s}', {_NUMBER[name]})" for s, name in _SAID.items())
 _RULES = ", ".join(f"('{rule}', '{license}', {[_NUMBER[s] for s in run]}, {k})"
                    for k, (rule, (license, run)) in enumerate(sorted(RULES.items(), key=lambda r: -len(r[1][1]))))
 _LONGEST = max(len(run) for _, run in RULES.values())
+_MOST_LINES = max(s.count(" ") + 1 for s in _SAID)
 
 OP1 = f"""
 WITH known(sentence, n) AS (VALUES {_KNOWN}),
 rules(rule, license, run, k) AS (VALUES {_RULES}),
-cut AS (
+normal AS (
   SELECT row_number() OVER () AS r, doc_id,
-         list_filter(list_transform(
-             string_split(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
-                                         '([.!?;:])[ \\t\\r\\x0B\\x0C]+', '\\1' || chr(10), 'g'), chr(10)),
-             lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s
-  FROM documents),
-sentences AS (SELECT r, doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS place FROM cut),
-hits AS (SELECT r, doc_id, place, n FROM sentences JOIN known USING (sentence)),
+         regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '([.!?;:])(?:[ \t\r\x0B\x0C]+|\n)', '\1\n\n', 'g'),
+                                       '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM documents),
+paragraphs AS (SELECT r, doc_id, unnest(regexp_split_to_array(t, '\n\n+')) AS p, generate_subscripts(regexp_split_to_array(t, '\n\n+'), 1) AS a FROM normal),
+cut AS (SELECT r, doc_id, a, list_filter(list_transform(string_split(p, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS lines FROM paragraphs),
+lines AS (SELECT r, doc_id, a, lines, unnest(range(1, len(lines) + 1)) AS i FROM cut),
+runs AS (SELECT r, a, i, k, array_to_string(lines[i : i + k - 1], ' ') AS sentence
+         FROM (SELECT *, unnest(range(1, least({_MOST_LINES}, len(lines) - i + 1) + 1)) AS k FROM lines)),
+said AS (SELECT r, a, i, max(k) AS k, max_by(n, k) AS n FROM runs JOIN known USING (sentence) GROUP BY ALL),
+reached AS (SELECT r, doc_id, a, i, said.k, said.n, max(i + said.k) OVER (PARTITION BY r, a ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over
+            FROM lines LEFT JOIN said USING (r, a, i)),
+sentences AS (SELECT r, doc_id, n, row_number() OVER (PARTITION BY r ORDER BY a, i) AS place FROM reached WHERE over IS NULL OR over <= i),
+hits AS (SELECT r, doc_id, place, n FROM sentences WHERE n IS NOT NULL),
 following AS (
   SELECT r, doc_id, place, list(n) OVER w AS ns, list(place) OVER w AS ats
   FROM hits WINDOW w AS (PARTITION BY r ORDER BY place ROWS BETWEEN CURRENT ROW AND {_LONGEST - 1} FOLLOWING)),
