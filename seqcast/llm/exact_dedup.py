@@ -24,7 +24,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     neighbour. The range sort already has equal texts side by side, so the window adds no
     exchange. The range key is a text's first ``HEAD`` characters and then its hash, so that the sample which
     Spark brings to the driver holds no whole texts and texts with one beginning still spread. A text with more rows than an average partition would fill a range by itself:
-    its rows get a salt as a second sort key and so spread over several ranges; the few runs
+    its rows get a salt as a second sort key, from their place in the table, and so spread over several ranges whatever their ids; the few runs
     that result, one per salt, are then compared in full and merged. Such texts are found by
     a count over all rows; there are fewer of them than partitions, which bounds what is
     broadcast.
@@ -70,12 +70,12 @@ def _runs(docs: DataFrame, id_column: str, text_column: str, keep: str, normalis
     spark = docs.sparkSession
     change = normalise or (lambda c: c)
     base = docs.select(F.col(id_column).alias("id"), F.coalesce(change(F.col(text_column)), F.lit("")).alias("text"),
-                       F.col(text_column).isNotNull().alias("had_text"),
+                       F.col(text_column).isNotNull().alias("had_text"), F.monotonically_increasing_id().alias("place"),
                        *(F.col(c).alias(f"_kept_{i}") for i, c in enumerate(carry) if c != text_column))
     hot = _hot_texts(base, docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = (base.withColumn("h", F.xxhash64("text")).join(F.broadcast(hot), "h", "left")
               .withColumn("head", F.substring("text", 1, HEAD)).withColumn("hot", F.col("parts").isNotNull())
-              .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0).cast("long"))).drop("parts"))
+              .withColumn("salt", F.coalesce(F.pmod("place", "parts"), F.lit(0).cast("long"))).drop("parts", "place"))
     run = Window.partitionBy("head", "h", "salt", "text")
     ordered = run.orderBy(_first("id", keep))
     return (salted.repartitionByRange("head", "h", "salt")

@@ -4,7 +4,7 @@ import pytest
 from edge_tables import documents, empty
 from pyspark.sql import functions as F
 
-from seqcast.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from seqcast.llm.exact_dedup import _runs, drop_exact_duplicates, exact_duplicates
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
@@ -42,6 +42,17 @@ def test_a_hot_text_is_spread_and_merged(spark, keep):
     assert len(kept) == len(want) and all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_a_hot_text_on_rows_without_ids_is_spread(spark):
+    """The salt comes from a row's place, so rows that are alike in all else do not come to one task."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(
+        F.concat(F.lit("t"), F.col("id") % 100)).alias("text")).repartition(5)
+    rows = exact_duplicates(df).collect()
+    hot = [r for r in rows if r.text_sha256 == hashlib.sha256(b"hot").hexdigest()]
+    assert len(rows) == 3000 and len(hot) == 2000 and {(r.keep_id, r.group_size) for r in hot} == {(None, 2000)} and sum(r.kept for r in hot) == 1
+    tasks = _runs(df, "doc_id", "text", "smallest", None, ()).filter("hot").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 1500
+
+
 def test_plan_sorts_once_and_runs_no_python(spark):
     out = exact_duplicates(documents(spark))
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
