@@ -117,18 +117,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
 
     A source is taken whole as often as its target allows. For the rest, its documents are
     counted by exact length, ``fit_budget`` finds how many of each length to take, and a hash
-    of seed and id draws that many. The fit of a source sees one row per distinct length, not
+    of seed, id, text and carried columns draws that many. The fit of a source sees one row per distinct length, not
     its documents. To draw without bringing all documents of one length together, they are
     first counted by slices of the hash; whole slices are in or out, and only the slice at the
     edge is ranked.
 
     Null or empty text has size 0 and is never taken. A null source is a source of its own.
-    Rows that repeat an id are documents of their own that draw next to each other. An empty table gives no
+    Rows that repeat an id are documents of their own; those that are the same in all that comes out are interchangeable. Which of the rows without an id
+    are taken depends on the table's files. Very long texts are counted whole. An empty table gives no
     rows. Columns not named in ``carry`` do not matter.
     """
     ship_package(docs.sparkSession.sparkContext)
     carry = list(carry)
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # Rows without an id may be many and alike: their place in the table tells them apart.
+    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()), F.col("text"), *carry)
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("_draw"),
                        F.shiftrightunsigned(hashed, 64 - SLICE_BITS).alias("_slice"),
                        *(F.col(c).alias(f"_kept_{i}") for i, c in enumerate(carry)))

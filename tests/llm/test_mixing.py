@@ -96,3 +96,20 @@ def test_many_documents_of_one_length(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source"))
     got = mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) < 3 for r in got)
+
+
+def test_many_documents_without_ids(spark):
+    """They are drawn by their place and are as good as others; a run over the same files agrees."""
+    df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source")).union(
+        spark.createDataFrame([(9999, "w " * 9000, "y")], "doc_id long, text string, source string"))
+    got = mix_sources(df, weights=(1, 2)).filter("source = 'x'")
+    rows = got.groupBy().agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count(F.lit(1)).alias("n")).first()
+    assert rows.n == 4000 and abs(rows.taken - rows.target) < 3
+    assert sorted(map(str, got.collect())) == sorted(map(str, mix_sources(df, weights=(1, 2)).filter("source = 'x'").collect()))
+
+
+def test_rows_that_share_an_id_are_told_apart_by_what_comes_out(spark):
+    rows = [(5, f"{chr(97 + i % 26)}{i} b c", "x") for i in range(300)] + [(1, "w " * 900, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (sorted((r.text, r.taken) for r in mix_sources(d, weights=(1, 9), carry=["text"]).collect()) for d in (df.repartition(2), df.repartition(7)))
+    assert first == again and len({t for text, t in first if len(text) < 99}) == 2
