@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -20,6 +20,9 @@ from seqcast.sources.ship import ship_package
 BITS = 20
 # Labelled documents to learn from, at most; those with the smallest hashes of their ids.
 MOST_LABELLED = 16_000
+# Features of all these documents together, and those of one of them, at most; a document that has more or comes after is not learned from.
+MOST_FEATURES = 12_000_000
+MOST_OF_ONE = 200_000
 
 
 @dataclass(frozen=True)
@@ -97,18 +100,22 @@ def _spread(ids: pd.Series) -> np.ndarray:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED,
-                   settings: Ftrl = Ftrl(), bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse weights learned from at most ``most`` labelled documents outside the held-out fold.
+                   settings: Ftrl = Ftrl(), bits: int = BITS, most_features: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse weights learned from at most ``most`` labelled documents outside the held-out fold, with at most ``most_features`` features.
 
-    The learner is sequential, so it runs in one task; ``most`` bounds what that task gets, whatever the
-    table's size. Features are made where the documents are. Of rows that repeat an id one is learned from.
+    The learner is sequential, so it runs in one task; the two bound what that task gets, whatever the
+    table's size and the texts' lengths. Features are made where the documents are. Of rows that repeat an id one is learned from.
     """
     ship_package(docs.sparkSession.sparkContext)
     chosen = smallest_hashes(training_labels(labels, label), "doc_id", most)
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
             .join(F.broadcast(chosen), "doc_id")
             .select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, features array<int>")
+            .filter(F.size("features") <= MOST_OF_ONE)
             .groupBy("doc_id").agg(F.min("label").alias("label"), F.min("features").alias("features")))
+    # At most ``most`` rows, and only their ids and sizes are summed up.
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("held", F.sum(F.size("features")).over(so_far)).filter(F.col("held") <= most_features).drop("held")
     learned = rows.repartition(1).mapInPandas(_fit_task(settings, bits), "at long, weight double").toPandas()
     return learned["at"].to_numpy(np.int64), learned["weight"].to_numpy(float)
 

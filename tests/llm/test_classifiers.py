@@ -10,7 +10,7 @@ from seqcast.llm.labelled import held_out, training_labels
 from seqcast.llm.quality import STATISTICS, fit_discriminant, quality, statistics
 from seqcast.llm.sampling import smallest_hashes
 from seqcast.llm.text_arrays import texts_of, word_hashes
-from seqcast.llm.toxicity import Ftrl, features, fit, reject_toxic, toxicity
+from seqcast.llm.toxicity import Ftrl, features, fit, reject_toxic, toxicity, train_toxicity
 
 
 def made(spark, n=400):
@@ -71,13 +71,65 @@ def test_edge_cases(spark, operator, label):
     assert [r.score for r in none] == [0.5] * 5
 
 
+def plain_ftrl(rows, labels, s):
+    """The published update of one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else s.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = -1.0 if z[i] < 0 else 1.0
+        return -(z[i] - sign * l1) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.passes):
+        for row, y in zip(rows, labels):
+            at = [*row, "bias"]
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + np.exp(-max(min(sum(w.values()), 35), -35)))
+            g = (p - y) * (s.positive_weight if y else 1.0)
+            for i in at:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / s.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+@pytest.mark.parametrize("settings", [Ftrl(l1=0.5), Ftrl(alpha=0.05, beta=0.5, l1=2.0, l2=0.1, passes=2, positive_weight=1.0)])
+def test_every_step_is_the_published_update(settings):
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 12))).astype(np.int32) for _ in range(150)]
+    labels = np.array([float(5 in r or rng.random() < 0.1) for r in rows])
+    at, values = fit(rows, labels, settings, bits=6)
+    want = plain_ftrl([r.tolist() for r in rows], labels, settings)
+    assert {("bias" if i == 64 else int(i)) for i in at} == set(want) and len(want) > 5
+    assert all(v == pytest.approx(want["bias" if i == 64 else int(i)], rel=1e-9) for i, v in zip(at, values, strict=True))
+
+
+def test_toxic_documents_of_the_held_out_fold_are_found(spark):
+    docs, labels = (spark.read.parquet(f"{data_dir('0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 20 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02
+
+
+def test_features_to_learn_from_are_bounded(spark):
+    """Many long documents are not all learned from, and the longest not at all."""
+    docs, labels = made(spark)
+    long = docs.withColumn("text", F.when(F.col("doc_id") < 200, F.concat("text", F.lit(" "), F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("v"), i * F.col("doc_id"))), " "))).otherwise(F.col("text")))
+    whole = train_toxicity(long, labels, settings=Ftrl(l1=1.0))
+    cut = train_toxicity(long, labels, settings=Ftrl(l1=1.0), most_features=20_000)
+    assert 0 < len(cut[0]) < len(whole[0]) and len(train_toxicity(long, labels, settings=Ftrl(l1=1.0), most_features=0)[0]) == 0
+
+
 def test_toxicity_on_unseen_documents(spark):
     docs, labels = made(spark)
     rows = [r for r in toxicity(docs, labels, settings=Ftrl(l1=1.0)).collect() if r.held_out]
     assert len(rows) > 40 and np.mean([r.predicted == (r.doc_id % 4 == 0) for r in rows]) > 0.97
 
 
-@pytest.mark.parametrize("operator, label, least", [(toxicity, "toxic", 0.9), (quality, "quality", 0.97)])
+@pytest.mark.parametrize("operator, label, least", [(toxicity, "toxic", 0.97), (quality, "quality", 0.97)])
 def test_held_out_accuracy_on_the_table(spark, operator, label, least):
     docs, labels = (spark.read.parquet(f"{data_dir('0.01')}/{t}.parquet") for t in ("documents", "labels"))
     rows = operator(docs, labels).filter("held_out").join(labels, "doc_id").collect()
