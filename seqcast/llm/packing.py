@@ -18,6 +18,12 @@ CACHED_CHUNKS = 300_000
 LONG_CHUNK = 64
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPECIAL = b"<|"
+# Texts that a tokenizer has to encode by chunks as it does whole: cases, accents, marks within and behind words, digits, other alphabets, white space.
+PROBES = ("Hello, World! Don't stop-ping (now).", "Caf\u00e9 \u00dcber na\u00efve \u00e9\u00e8", "a1b2 3.14 1,000 x_y a@b.c", "\u65e5\u672c\u8a9e \u0440\u0443\u0441 \U0001F600 ok",
+          "tab\tline\r\nend  two", "word word. word", "#tag $5 50% a/b \"q\" 'r' [s]")
+
+# Ids of a bucket's sequences; the bucket's number stands above them.
+BUCKET_BITS = 58
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -41,6 +47,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        for probe in PROBES:
+            whole = np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, "<u4").tobytes()
+            if self(probe.encode()) != whole:
+                raise ValueError(f"{path} does not encode a text as the chunks between its white space and marks")
+        self.young = {}
 
     def _find(self, chunk: bytes) -> bytes | None:
         ids = self.young.get(chunk)
@@ -135,10 +146,12 @@ def pack(docs: DataFrame, longest: int = LONGEST, tokenizer_path: str | None = N
     ``doc_tokens, sequence_id, offset``. A document of n ids gives its binary digits: pieces of
     ``longest`` and then one for each set bit of the rest. A piece is a sequence of its own, so no
     sequence crosses documents and none is padded; a batch takes sequences of one ``length``, which
-    is the bucket (``write_buckets``). Nothing is shuffled: a task sees one document at a time.
-    ``sequence_id`` is the row's place in its task's partition, so a task that runs again gives the same.
+    is the bucket (``write_buckets``): sequences are numbered bucket by bucket, so those of a length have a range of ids to themselves.
+    Nothing is shuffled: a task sees one document at a time.
+    Within a bucket ``sequence_id`` follows the row's place in its task's partition, so a task that runs again gives the same.
 
-    ``tokenizer_path`` defaults to the word vocabulary among the public tokenizers of the machine.
+    ``tokenizer_path`` defaults to the word vocabulary among the public tokenizers of the machine; one that does not encode a text
+    chunk by chunk is refused. Very long texts are encoded whole, a chunk at a time.
     Null text is empty and gives one piece, the end id. Repeated rows and null ids are packed as they
     come. An empty table gives no rows; other columns are ignored.
     """
@@ -146,7 +159,9 @@ def pack(docs: DataFrame, longest: int = LONGEST, tokenizer_path: str | None = N
         raise ValueError("longest is a power of two")
     ship_package(docs.sparkSession.sparkContext)
     pieces = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_pieces(tokenizer_path, longest), PIECES)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    bucket = F.log2("length").cast("long")
+    return (pieces.withColumn("sequence_id", F.shiftleft(bucket, BUCKET_BITS) + F.monotonically_increasing_id())
+            .withColumn("offset", F.lit(0).cast("long")))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -73,3 +73,25 @@ def test_buckets_hold_one_length(spark, tmp_path):
     write_buckets(pack(documents(spark), longest=64), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).filter("bucket <> length").isEmpty()
     assert spark.read.parquet(str(tmp_path / "b" / "bucket=64")).filter("length <> 64").isEmpty()
+
+
+def test_sequences_are_numbered_by_bucket(spark):
+    """Each length has a range of ids to itself, and the ids of a run are those of another."""
+    docs = documents(spark).repartition(3)
+    rows = pack(docs, longest=64).select("sequence_id", "length").collect()
+    ranges = {}
+    for r in rows:
+        ranges.setdefault(r.length, []).append(r.sequence_id)
+    ordered = [ranges[n] for n in sorted(ranges)]
+    assert len(ordered) > 3 and all(max(a) < min(b) for a, b in zip(ordered[:-1], ordered[1:], strict=True)) and min(ordered[0]) >= 0
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, pack(docs, longest=64).select("sequence_id", "length").collect()))
+
+
+def test_a_tokenizer_that_knows_white_space_is_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    byte_level = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, merges=[]))
+    byte_level.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    byte_level.save(str(tmp_path / "bytes.json"))
+    with pytest.raises(ValueError, match="chunks"):
+        ChunkEncoder(str(tmp_path / "bytes.json"))
