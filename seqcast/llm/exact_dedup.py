@@ -36,17 +36,20 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     runs = written(_runs(docs, id_column, text_column, keep, normalise, ())
                    .select("id", "hot", F.when(F.col("hot") & F.col("leads"), F.col("text")).alias("text"),
-                           F.sha2("text", 256).alias("text_sha256"), "run_keep", "run_size", "leads"), "runs")
-    best = F.min if keep == "smallest" else F.max
+                           F.sha2("text", 256).alias("text_sha256"), "run_keep", "run_size", "leads", "salt"), "runs")
+    # Rows that share the best id may lie in runs of several salts: one of these has the row that stays.
+    smallest = keep == "smallest"
+    rank = F.struct(F.col("run_keep").isNull() if smallest else F.col("run_keep").isNotNull(), "run_keep", "salt")
+    best = F.min_by if smallest else F.max_by
     merged = (runs.filter("hot and leads").groupBy("text", "text_sha256")
-              .agg(best("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"))
-              .select(F.lit(True).alias("hot"), "text_sha256", "all_keep", "all_size"))
+              .agg(best(F.struct("run_keep", "salt"), rank).alias("best"), F.sum("run_size").alias("all_size"))
+              .select(F.lit(True).alias("hot"), "text_sha256", F.col("best.run_keep").alias("all_keep"), F.col("best.salt").alias("all_salt"), "all_size"))
     whole = runs.drop("text").join(F.broadcast(merged), ["hot", "text_sha256"], "left")
     keep_id = F.when(F.col("all_size").isNull(), F.col("run_keep")).otherwise(F.col("all_keep"))
     return whole.select(
         F.col("id").alias(id_column), keep_id.alias("keep_id"),
         F.coalesce("all_size", "run_size").alias("group_size"),
-        (F.col("leads") & F.col("run_keep").eqNullSafe(keep_id)).alias("kept"), "text_sha256")
+        (F.col("leads") & F.coalesce(F.col("salt") == F.col("all_salt"), F.lit(True))).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
@@ -80,7 +83,7 @@ def _runs(docs: DataFrame, id_column: str, text_column: str, keep: str, normalis
     ordered = run.orderBy(_first("id", keep))
     return (salted.repartitionByRange("head", "h", "salt")
             .withColumn("run_keep", F.first("id").over(ordered)).withColumn("run_size", F.count(F.lit(1)).over(run))
-            .withColumn("leads", F.row_number().over(ordered) == 1).drop("head", "h", "salt"))
+            .withColumn("leads", F.row_number().over(ordered) == 1).drop("head", "h"))
 
 
 def _hot_texts(base: DataFrame, rows: int, partitions: int) -> DataFrame:

@@ -109,7 +109,7 @@ def test_many_documents_without_ids(spark):
 
 
 def test_rows_that_share_an_id_are_told_apart_by_what_comes_out(spark):
-    rows = [(5, f"{chr(97 + i % 26)}{i} b c", "x") for i in range(300)] + [(1, "w " * 900, "y")]
+    rows = [(5, f"{chr(97 + i % 26)}{i} b c", "x") for i in range(300)] + [(1, "w " * 9000, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     first, again = (sorted((r.text, r.taken) for r in mix_sources(d, weights=(1, 9), carry=["text"]).collect()) for d in (df.repartition(2), df.repartition(7)))
     assert first == again and len({t for text, t in first if len(text) < 99}) == 2
