@@ -29,9 +29,9 @@ MOST_OF_ONE = 200_000
 class Ftrl:
     """Settings of the learner; ``l1`` decides how many weights are not zero."""
 
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 20.0
+    l1: float = 30.0
     l2: float = 1.0
     passes: int = 3
     positive_weight: float = 6.0
