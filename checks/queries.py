@@ -136,7 +136,8 @@ def chrono_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_positions(prepare(daily_bars(spark, sf_dir), SETTINGS))
+    panel = daily_panel(spark, sf_dir)
+    return bar_positions(panel.bars, panel.fit.cells)
 
 
 def date_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,25 +282,22 @@ def epoch_loss_allreduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Shards and batches
 
 
-def _keys(spark: SparkSession, sf_dir: str, split: str | None = TRAIN) -> DataFrame:
-    """Keys of windows. The stand-in has one bar per symbol and date, so that these are enough."""
-    return daily_panel(spark, sf_dir).sequence_keys(split).drop("position")
-
-
 def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(_keys(spark, sf_dir), WORLD, SETTINGS.batch_size)
+    """By keys alone: the stand-in has one bar per symbol and date."""
+    panel = daily_panel(spark, sf_dir)
+    return assign_shards(panel.sequence_keys(TRAIN).drop("position"), WORLD, SETTINGS.batch_size, cells=panel.fit.cells)
 
 
 def epoch_reshuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(_keys(spark, sf_dir), WORLD, SETTINGS.batch_size, epochs=(1, 2))
+    return assign_shards(daily_panel(spark, sf_dir).sequence_keys(TRAIN), WORLD, SETTINGS.batch_size, epochs=(1, 2)).drop("position")
 
 
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(_keys(spark, sf_dir), 1, SETTINGS.batch_size).drop("rank")
+    return assign_shards(daily_panel(spark, sf_dir).sequence_keys(TRAIN), 1, SETTINGS.batch_size).drop("rank", "position")
 
 
 def batches_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered_batches(_keys(spark, sf_dir, None), SETTINGS.batch_size)
+    return ordered_batches(daily_panel(spark, sf_dir).sequence_keys(), SETTINGS.batch_size).drop("position")
 
 
 # Training and scoring

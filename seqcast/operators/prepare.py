@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcast.config import Settings
-from seqcast.operators.ordering import number_groups, number_rows
-from seqcast.operators.windows import Cells
+from seqcast.operators.ordering import number_groups
+from seqcast.operators.windows import Cells, series_positions
 
 
 def filter_symbols(bars: DataFrame, symbols: Sequence[str]) -> DataFrame:
@@ -63,8 +63,11 @@ def sort_bars(bars: DataFrame) -> DataFrame:
 
 
 def bar_positions(bars: DataFrame, cells: Cells = Cells()) -> DataFrame:
-    """0-based place of each bar in symbol and date order over the whole table."""
-    placed = number_rows(bars, "Date", cells=cells.columns(F.lit(0)), within=["Symbol"], into="_place")
+    """0-based place of each bar in symbol and date order over the whole table; a hash of its values orders bars of one symbol and date.
+
+    ``cells`` are those of a fit, so that no task ranks more rows than the fit allows, also where many bars share an instant.
+    """
+    placed = series_positions(bars.withColumn("split", F.lit("")), cells, into="_place").drop("split")
     return number_groups(placed, "Symbol", "_place").drop("_place")
 
 

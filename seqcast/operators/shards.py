@@ -19,6 +19,8 @@ from seqcast.operators.windows import Cells
 PRIME = 2_147_483_647
 VALUE_FACTOR, SEED_FACTOR, EPOCH_FACTOR, ROUND_FACTOR = 1_103_515_245, 69_621, 48_271, 16_807
 ROUNDS = 6
+# Keys of a series with positions that one task ranks.
+CELL_ROWS = 250_000
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -86,9 +88,13 @@ def with_places(numbered: DataFrame, n: int, seed: int, epochs: Sequence[int], n
 
 
 def number_samples(keys: DataFrame, within: Sequence[str] = (), cells: Cells = Cells(), into: str = "_number") -> DataFrame:
-    """Samples numbered in symbol and date order, in the whole table or in each group of ``within``."""
+    """Samples numbered in symbol and date order, in the whole table or in each group of ``within``.
+
+    Keys of one series are ranked by cells: runs of positions where they have one, else ``cells`` of their dates.
+    """
     key = [c for c in ("Symbol", "Date", "position") if c in keys.columns]
-    in_series = number_rows(keys.select(*within, *key), *key[1:], cells=cells.columns(F.lit(0)), within=[*within, "Symbol"], into="_in_series")
+    cut = {"run": F.floor(F.col("position") / CELL_ROWS)} if "position" in key else cells.columns(F.lit(0))
+    in_series = number_rows(keys.select(*within, *key), *key[1:], cells=cut, within=[*within, "Symbol"], into="_in_series")
     return number_groups(in_series, "Symbol", "_in_series", within=within, into=into).select(*within, *key, into)
 
 
