@@ -113,7 +113,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
             .select("doc_id", "label", "text").mapInArrow(_featurise, "doc_id long, label int, features array<int>")
             .filter(F.size("features") <= MOST_OF_ONE)
             .groupBy("doc_id").agg(F.min("label").alias("label"), F.min("features").alias("features")))
-    # At most ``most`` rows, and only their ids and sizes are summed up.
+    # At most ``most`` rows, in the order of a hash; Spark sorts them on disk where memory does not do.
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("held", F.sum(F.size("features")).over(so_far)).filter(F.col("held") <= most_features).drop("held")
     learned = rows.repartition(1).mapInPandas(_fit_task(settings, bits), "at long, weight double").toPandas()
