@@ -63,10 +63,13 @@ def walks(n: int, seed: int, epochs: Sequence[int]) -> int:
     """How often at most a number has to go on: followed from the cells beyond ``n``, of which there are fewer than its root."""
     most = 0
     for epoch in epochs:
-        beyond, taken = np.arange(n, math.prod(sides(n)), dtype=np.int64), 0
-        while len(beyond):
-            beyond, taken = _mixed(beyond, n, seed, epoch), taken + 1
-            beyond = beyond[beyond >= n]
+        start = np.arange(n, math.prod(sides(n)), dtype=np.int64)
+        now, taken = start, 0
+        while len(now):
+            now, taken = _mixed(now, n, seed, epoch), taken + 1
+            # A cell that comes back to itself is on a cycle beyond ``n``, which no number enters.
+            on = (now >= n) & (now != start)
+            start, now = start[on], now[on]
         most = max(most, taken)
     return most
 

@@ -11,7 +11,7 @@ from checks.stand_in import SETTINGS, daily_panel, persistence
 from seqcast.operators.metrics import (batch_losses, mape, rank_epoch_loss, reduced_epoch_loss, regression_metrics,
                                        weighted_epoch_loss)
 from seqcast.operators.scale import unscale
-from seqcast.operators.shards import assign_shards, number_samples, ordered_batches, permuted, sides, steps_per_epoch, with_places
+from seqcast.operators.shards import assign_shards, number_samples, ordered_batches, permuted, sides, steps_per_epoch, walks, with_places
 
 
 def keys(spark, n):
@@ -50,6 +50,10 @@ def test_a_permutation_of_all_numbers(n, seed, epoch):
     assert n <= across * down < n + across
 
 
+def test_walks_end_where_cells_beyond_go_round_among_themselves():
+    assert all(0 <= walks(n, 0, (0, 1)) <= 60 for n in range(1, 1500))
+
+
 def test_large_numbers_neither_overflow_nor_meet():
     n = 10**15 + 37
     numbers = np.concatenate([np.arange(1000), np.arange(n - 1000, n)])
