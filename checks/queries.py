@@ -32,7 +32,7 @@ from seqcast.plans.window_regressor import WindowRegressor, fit_window_regressor
 from seqcast.sources.bars import read_bars
 from seqcast.sources.runs import (CURVE_SCHEMA, METRICS_FIELD, WEIGHTS_SCHEMA, append_summary, parameter_counts, read_summaries,
                                   read_table, summarise, write_table)
-from seqcast.sources.shared import new_table_path
+from seqcast.sources.shared import new_table_path, written
 from seqcast.sources.store import read_store, stored_sequences, write_store
 
 FEATURES = SETTINGS.features
@@ -303,9 +303,14 @@ def batches_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Training and scoring
 
 
+def bars_once(spark: SparkSession, sf_dir: str, settings: Settings) -> Panel:
+    """A panel of bars that are made once: a run looks at them some nine times, for a row per symbol and day of however many orders."""
+    return build_panel(written(daily_bars(spark, sf_dir), "bars"), settings)
+
+
 def _trained(spark: SparkSession, sf_dir: str, settings: Settings, single: bool = False) -> DataFrame:
     """Summary of a run over all train windows."""
-    panel = daily_panel(spark, sf_dir, settings)
+    panel = bars_once(spark, sf_dir, settings)
     model = train_single(panel) if single else train(panel)
     return summary_of(spark, model, forecast(panel, model.weights, TEST), datetime.now())
 

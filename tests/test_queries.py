@@ -1,9 +1,13 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from checks import queries
 from checks.compare import database, difference
 from checks.queries import QUERIES
+from checks.stand_in import SETTINGS, daily_panel
 from conftest import data_dir
 
 SCALE = "0.001"
@@ -38,3 +42,15 @@ def test_regression_on_60_bars(spark):
 def test_trained_queries_give_a_summary(spark):
     summary = contract.queries()["train_single"](spark, data_dir("0.001").replace("0.001", "0.01")).first()
     assert summary.run_type == "standalone" and summary.total_training_samples == 5273
+
+
+def test_training_reads_the_orders_once(spark, monkeypatch):
+    """Whatever a run looks at comes from bars that are made already."""
+    seen = []
+    monkeypatch.setattr(queries, "forecast", lambda panel, *_: panel.bars)
+    monkeypatch.setattr(queries, "summary_of", lambda *_: None)
+    monkeypatch.setattr(queries, "train", lambda panel: seen.append(panel) or SimpleNamespace(weights=None))
+    queries._trained(spark, data_dir(SCALE), SETTINGS)
+    assert not [f for f in seen[0].bars.inputFiles() if "orders" in f]
+    plain = daily_panel(spark, data_dir(SCALE))
+    assert seen[0].fit == plain.fit and sorted(seen[0].bars.collect()) == sorted(plain.bars.collect())
