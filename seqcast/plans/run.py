@@ -69,7 +69,7 @@ def run_panel(panel: Panel, output_dir: str | None = None, single: bool = False)
 
         write_table(weights_table(spark, model.weights, summary.run_id), path("weights"))
         write_table(curve_table(spark, model.curve, summary.run_id), path("curve"))
-        append_summary(spark.createDataFrame([summary], SUMMARY_SCHEMA).coalesce(1), path("summary"))
+        append_summary(spark.createDataFrame([summary], SUMMARY_SCHEMA).coalesce(1), path("summary"), compression="none")
     return RunResult(model, summary, forecasts)
 
 

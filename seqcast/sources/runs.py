@@ -16,6 +16,8 @@ from seqcast.operators.metrics import METRICS
 WEIGHTS_SCHEMA = "run_id string, name string, shape array<int>, values array<double>"
 CURVE_SCHEMA = "run_id string, epoch int, train_loss double, val_loss double"
 METRICS_FIELD = "aggregate_performance_metrics"
+# Rows of a file of summaries.
+ROWS_OF_FILE = 1_000_000
 SUMMARY_SCHEMA = (
     "run_id string, run_name string, run_type string, num_processes int, storage string, stocks_analyzed array<string>, "
     "total_training_samples bigint, training_time_seconds double, stopped_at_epoch int, "
@@ -67,8 +69,12 @@ def summarise(runs: DataFrame, unique: Column, run_type: Column, world_size: Col
         F.struct(*[F.round(F.col(m), 4).alias(m) for m in METRICS]).alias(METRICS_FIELD))
 
 
-def append_summary(summary: DataFrame, path: str) -> None:
-    summary.write.mode("append").json(path)
+def append_summary(summary: DataFrame, path: str, compression: str = "gzip") -> None:
+    """JSON lines, whose field names take several times the room of the values unless they are compressed.
+
+    A compressed file is read by one task, so none gets more than ``ROWS_OF_FILE`` rows.
+    """
+    summary.write.mode("append").option("maxRecordsPerFile", ROWS_OF_FILE).json(path, compression=compression)
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:

@@ -3,9 +3,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import _summaries
+from conftest import data_dir
 from panels import settings
 from seqcast.operators.prepare import prepare
 from seqcast.plans.run import run
+from seqcast.sources import runs
 from seqcast.sources.bars import BarsNotFound, read_bars
 
 
@@ -60,3 +63,19 @@ def test_missing_column_is_named(spark, tmp_path):
     path = write(tmp_path, "Date,Symbol,Open,High,Low,Volume\n2020-01-01,A,1,1,1,1\n")
     with pytest.raises(ValueError, match="Close"):
         read_bars(spark, path)
+
+
+def test_a_log_of_summaries_takes_little_room(spark, tmp_path, monkeypatch):
+    """Less than a fifth of the plain lines, in files of so many rows, and the same rows again beside plain ones."""
+    monkeypatch.setattr(runs, "ROWS_OF_FILE", 1000, raising=False)
+    summaries = _summaries(spark, data_dir("0.001"))
+    summaries.write.json(str(tmp_path / "plain"))
+    runs.append_summary(summaries.coalesce(1), str(tmp_path / "log"))
+
+    def room(name):
+        return sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+
+    assert 5 * room("log") < room("plain") and len(list((tmp_path / "log").glob("part-*"))) == -(-summaries.count() // 1000)
+    assert sorted(map(str, runs.read_summaries(spark, str(tmp_path / "log")).collect())) == sorted(map(str, summaries.collect()))
+    summaries.write.mode("append").json(str(tmp_path / "log"))
+    assert runs.read_summaries(spark, str(tmp_path / "log")).count() == 2 * summaries.count()
