@@ -25,7 +25,7 @@ MOST_SHINGLES = 400_000
 MOST_SETS = 10_000
 # Cells of a product of sets, and of the table it is made of, that are filled at a time.
 CELLS = 4_000_000
-# Ids that may be broadcast to read the texts behind candidate groups; beyond that the texts are joined by shuffle.
+# Members of candidate groups that may be broadcast to read the texts behind them; beyond that the texts are joined by shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 # Documents in which common shingles are looked for, and in how many of them such a one is found.
 SAMPLED = 2_000
@@ -323,18 +323,25 @@ def _chunks(shingles: str, sets: str) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(shingles) / MOST_SHINGLES), F.ceil(F.col(sets) / MOST_SETS))
 
 
+def _with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``members`` (by ``id``) with their texts, a row for each of an id's texts.
+
+    Members that are few are broadcast, whatever the planner thinks of their size, so that no text is moved to them.
+    """
+    members = written(members, "members")
+    side = F.broadcast(members) if members.count() <= MOST_BROADCAST_IDS else members
+    return docs.join(side, docs["doc_id"] == side["id"]).select(*members.columns, "text")
+
+
 def _verified(groups: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
     """``a, b``: links among the members of each group of ``groups(hub, node, n, sets)``, enough to connect what links connect.
 
-    Texts are read again from the documents; the ids wanted are broadcast if there are few of them, else joined by shuffle. A
+    Texts are read again from the documents; the members are broadcast if there are few of them, else joined by shuffle. A
     group with many shingles or sets is cut into chunks, and each is compared in a task, together with the hub. What
     is connected with the hub there is one component, so only the rest needs to meet others: these ids are cut into chunks by themselves, and each
     of these meets each other chunk. So no task holds more than twice ``MOST_SHINGLES`` or ``MOST_SETS`` or so, and
     a text is sent twice and as often again as the rest has chunks.
     """
-    wanted = written(groups.select(F.col("node").alias("id")).distinct(), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
-    texts = docs.join(side, docs["doc_id"] == side["id"]).select("id", "text")
     # A row's chunk hangs on its text too, so that rows that repeat an id are spread.
     place = F.xxhash64("id", "text")
 
@@ -344,8 +351,8 @@ def _verified(groups: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame
 
     total = groups.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("sets").alias("sets")).select("hub", _chunks("n", "sets").alias("chunks"))
     own = F.pmod(place, F.col("chunks"))
-    met = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
-    chunked = (groups.select("hub", "node").join(total, "hub").join(texts, F.col("node") == F.col("id"))
+    met = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
+    chunked = (_with_texts(groups.select("hub", F.col("node").alias("id")).join(total, "hub"), docs)
                .select("hub", "id", "text", (F.col("chunks") > 1).alias("tell"), F.explode(met).alias("i")))
     found = written(compared(chunked.withColumns({"j": F.col("i"), "own": F.col("i")})).distinct(), "found")
 
@@ -361,7 +368,7 @@ def _verified(groups: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame
     # Chunks of connected ids come first, those of the rest after them.
     own = F.when(F.col("loose"), F.col("tied") + F.pmod(place, F.col("rest"))).otherwise(F.pmod(place, F.col("tied")))
     others = F.sequence(F.when(F.col("loose"), F.lit(0).cast("long")).otherwise(F.col("tied")), F.col("tied") + F.col("rest") - 1)
-    pairs = (apart.select("hub", "node", "loose").join(counts, "hub").join(texts, F.col("node") == F.col("id"))
+    pairs = (_with_texts(apart.select("hub", F.col("node").alias("id"), "loose").join(counts, "hub"), docs)
              .select("hub", "id", "text", own.alias("own"), F.explode(others).alias("other"))
              .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "tell": F.lit(False)}))
     return links.union(written(compared(pairs).select("a", "b").distinct(), "found"))

@@ -1,3 +1,4 @@
+import re
 import tracemalloc
 
 import numpy as np
@@ -212,3 +213,28 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 200: 100, 300: 100} | {i: 1000 for i in range(1000, 1300)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_of_few_members_are_moved_once(spark, monkeypatch):
+    """To the groups they are compared in, also where the planner finds the members too many to broadcast."""
+    plans = []
+    keep = jaccard_join.written
+
+    def seen(df, name):
+        if name == "found":
+            plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return keep(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    monkeypatch.setattr(jaccard_join, "MOST_SETS", 3)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    like = Similarity(4, 85)
+    rows = [(i, " ".join([*(f"w{k}" for k in range(30)), *(f"x{i}_{k}" for k in range(1 + i % 3))])) for i in range(1, 25)]
+    rows += [(100 + i, " ".join([*(f"w{k}" for k in range(12)), *(f"y{i}_{k}" for k in range(20))])) for i in range(12)]
+    try:
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert {tuple(r) for r in got} == brute(rows, like)
+    assert plans and all(len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\btext#", plan)) == 1 for plan in plans)
